@@ -41,20 +41,19 @@ _NO_LEVELS = "array<struct<price:double,size:double>>"
 
 def _levels(records: DataFrame, keep: Sequence[str]) -> DataFrame:
     """One row per level with its position ``i`` in the record; price rounded to 8 digits."""
-    sided = F.concat(
-        *[
-            F.transform(
-                F.coalesce(F.col(name), F.array().cast(_NO_LEVELS)),
-                lambda v, i, s=side: F.struct(
-                    F.lit(s).alias("side"),
-                    F.round(v["price"], 8).alias("price"),
-                    v["size"].alias("size"),
-                    i.alias("i"),
-                ),
-            )
-            for name, side in (("bids", "bid"), ("asks", "ask"))
-        ]
-    )
+
+    def entries(name: str, side: str) -> Column:
+        return F.transform(
+            F.coalesce(F.col(name), F.array().cast(_NO_LEVELS)),
+            lambda v, i: F.struct(
+                F.lit(side).alias("side"),
+                F.round(v["price"], 8).alias("price"),
+                v["size"].alias("size"),
+                i.alias("i"),
+            ),
+        )
+
+    sided = F.concat(entries("bids", "bid"), entries("asks", "ask"))
     return records.select(*keep, F.explode(sided).alias("_lv")).select(*keep, "_lv.*")
 
 

@@ -1 +1,6 @@
+"""Registered queries."""
 
+from tapeline.plans import books, market  # noqa: F401
+from tapeline.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
