@@ -15,6 +15,8 @@ from tapeline.functions.timefns import MONDAY_ORIGIN, bucket_ns, detect_unit_sca
 
 # Grid points made per row of the first explode; keeps arrays short.
 _GRID_CHUNK = 4096
+# ... and at most this many nanoseconds, far from the end of BIGINT.
+_GRID_REACH = 10**17
 
 
 def _moment(ts: str, tie: Sequence[str]) -> Column:
@@ -109,7 +111,7 @@ def time_grid(spans: DataFrame, width: int, out: str) -> DataFrame:
 
     Exploded in two levels so that no row holds an array of the whole span.
     """
-    chunk = width * _GRID_CHUNK
+    chunk = width * max(1, min(_GRID_CHUNK, _GRID_REACH // width))
     starts = spans.where(F.col("_lo") <= F.col("_hi")).withColumn(
         "_from", F.explode(F.sequence("_lo", "_hi", F.lit(chunk)))
     )
