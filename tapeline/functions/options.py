@@ -70,76 +70,80 @@ def valid_inputs(s: Column, k: Column, t: Column, kind: Column) -> Column:
     return (s >= 0) & (k >= 0) & (t >= 0) & F.lower(kind).isin("c", "call", "p", "put")
 
 
-def _d1_d2(s, k, t, r, sigma, q):
-    root = sigma * F.sqrt(t)
-    d1 = F.try_divide(F.ln(F.try_divide(s, k)) + (r - q + 0.5 * sigma * sigma) * t, root)
-    return d1, d1 - root
+def _sign(kind: Column) -> Column:
+    return F.when(is_call(kind), 1.0).otherwise(-1.0)
 
 
-def option_price(
-    s: Column, k: Column, t: Column, r: Column, sigma: Column, q: Column, kind: Column
-) -> Column:
-    """Value with continuous yield; null for invalid inputs.
+def _d1(s, k, t, r, sigma, q) -> Column:
+    drift = (r - q + 0.5 * sigma * sigma) * t
+    return F.try_divide(F.ln(F.try_divide(s, k)) + drift, sigma * F.sqrt(t))
 
-    At expiry the intrinsic value; with a worthless underlying 0 for calls and puts
-    alike; without volatility the discounted intrinsic value.
-    """
-    call = is_call(kind)
-    d1, d2 = _d1_d2(s, k, t, r, sigma, q)
+
+def _value(s, k, t, r, sigma, q, kind, n1: Column, n2: Column) -> Column:
+    """Value from the two probabilities, signed by the option type."""
+    sign = _sign(kind)
     fwd, pv = s * F.exp(-q * t), k * F.exp(-r * t)
     zero = F.lit(0.0)
     value = (
-        F.when(t == 0, F.greatest(zero, F.when(call, s - k).otherwise(k - s)))
+        F.when(t == 0, F.greatest(zero, sign * (s - k)))
         .when(s == 0, zero)
-        .when(k == 0, F.when(call, fwd).otherwise(zero))
-        .when(sigma <= 0, F.greatest(zero, F.when(call, fwd - pv).otherwise(pv - fwd)))
-        .when(call, fwd * norm_cdf(d1) - pv * norm_cdf(d2))
-        .otherwise(pv * norm_cdf(-d2) - fwd * norm_cdf(-d1))
+        .when(k == 0, F.when(is_call(kind), fwd).otherwise(zero))
+        .when(sigma <= 0, F.greatest(zero, sign * (fwd - pv)))
+        .otherwise(sign * (fwd * n1 - pv * n2))
     )
     return F.when(valid_inputs(s, k, t, kind), value)
 
 
-def option_greeks(
-    s: Column, k: Column, t: Column, r: Column, sigma: Column, q: Column, kind: Column
-) -> dict[str, Column]:
-    """delta, gamma, theta (per year), vega and rho; null for invalid inputs."""
-    call = is_call(kind)
+def _greeks(s, k, t, r, sigma, q, kind, d1, n1: Column, n2: Column) -> dict[str, Column]:
+    sign, call = _sign(kind), is_call(kind)
     ok = valid_inputs(s, k, t, kind)
-    d1, d2 = _d1_d2(s, k, t, r, sigma, q)
     dq, dr = F.exp(-q * t), F.exp(-r * t)
     root = F.sqrt(t)
     density = norm_pdf(d1)
     zero = F.lit(0.0)
-    worthless_strike = (k == 0) & (s > 0) & (t > 0)
+    no_strike = (k == 0) & (s > 0) & (t > 0)
     flat = (t == 0) | (s == 0) | (k == 0) | (sigma <= 0)
-    step = F.when(call & (s > k), 1.0).when(~call & (s < k), -1.0).otherwise(0.0)
+    step = F.when(sign * (s - k) > 0, sign).otherwise(0.0)
+    decay = F.try_divide(-(s * dq * density * sigma), 2.0 * root)
 
-    def pick(at_zero_strike: Column, at_flat: Column, value: Column) -> Column:
-        return F.when(
-            ok, F.when(worthless_strike, at_zero_strike).when(flat, at_flat).otherwise(value)
-        )
+    def pick(at_no_strike: Column, at_flat: Column, value: Column) -> Column:
+        return F.when(ok, F.when(no_strike, at_no_strike).when(flat, at_flat).otherwise(value))
 
-    decay = F.try_divide(-(s * dq * density * sigma), 2.0 * root)
-    theta = F.when(
-        call, decay + q * s * dq * norm_cdf(d1) - r * k * dr * norm_cdf(d2)
-    ).otherwise(decay - q * s * dq * norm_cdf(-d1) + r * k * dr * norm_cdf(-d2))
     return {
-        "delta": pick(
-            F.when(call, dq).otherwise(zero),
-            step,
-            F.when(call, dq * norm_cdf(d1)).otherwise(-dq * norm_cdf(-d1)),
-        ),
+        "delta": pick(F.when(call, dq).otherwise(zero), step, sign * dq * n1),
         "gamma": pick(zero, zero, F.try_divide(dq * density, s * sigma * root)),
-        "theta": pick(F.when(call, -q * s * dq).otherwise(zero), zero, theta),
-        "vega": pick(zero, zero, s * dq * root * density),
-        "rho": pick(
+        "theta": pick(
+            F.when(call, -q * s * dq).otherwise(zero),
             zero,
-            zero,
-            F.when(call, k * t * dr * norm_cdf(d2)).otherwise(-k * t * dr * norm_cdf(-d2)),
+            decay + sign * (q * s * dq * n1 - r * k * dr * n2),
         ),
+        "vega": pick(zero, zero, s * dq * root * density),
+        "rho": pick(zero, zero, sign * k * t * dr * n2),
     }
 
 
+def option_price(
+    s: Column, k: Column, t: Column, r: Column, sigma: Column, q: Column, kind: Column
+) -> Column:
+    """Value with continuous yield; null for invalid inputs.
+
+    At expiry the intrinsic value; with a worthless underlying 0 for calls and puts
+    alike; without volatility the discounted intrinsic value.
+    """
+    sign, d1 = _sign(kind), _d1(s, k, t, r, sigma, q)
+    n1, n2 = norm_cdf(sign * d1), norm_cdf(sign * (d1 - sigma * F.sqrt(t)))
+    return _value(s, k, t, r, sigma, q, kind, n1, n2)
+
+
+def option_greeks(
+    s: Column, k: Column, t: Column, r: Column, sigma: Column, q: Column, kind: Column
+) -> dict[str, Column]:
+    """delta, gamma, theta (per year), vega and rho; null for invalid inputs."""
+    sign, d1 = _sign(kind), _d1(s, k, t, r, sigma, q)
+    n1, n2 = norm_cdf(sign * d1), norm_cdf(sign * (d1 - sigma * F.sqrt(t)))
+    return _greeks(s, k, t, r, sigma, q, kind, d1, n1, n2)
+
+
 def _iv_batch(price, s, k, t, r, q, call, steps: int = 100, tol: float = 1e-6):
     """Safeguarded Newton on arrays; rows leave the working set as they finish."""
     import numpy as np
@@ -236,4 +240,15 @@ def enrich_chain(
 ) -> DataFrame:
     """Option rows with their value and Greeks."""
     args = [F.col(c) for c in (spot, strike, years, rate, sigma, dividend, kind)]
-    return chain.withColumns({"model_price": option_price(*args), **option_greeks(*args)})
+    s, k, t, r, v, q, kind_ = args
+    # intermediate columns keep the distribution function from being repeated per Greek
+    staged = (
+        chain.withColumn("_d1", _d1(s, k, t, r, v, q))
+        .withColumns({"_x1": _sign(kind_) * F.col("_d1"), "_x2": _sign(kind_) * (F.col("_d1") - v * F.sqrt(t))})
+        .withColumns({"_n1": norm_cdf(F.col("_x1")), "_n2": norm_cdf(F.col("_x2"))})
+    )
+    n1, n2 = F.col("_n1"), F.col("_n2")
+    out = staged.withColumns(
+        {"model_price": _value(*args, n1, n2), **_greeks(*args, F.col("_d1"), n1, n2)}
+    )
+    return out.drop("_d1", "_x1", "_x2", "_n1", "_n2")

@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from tapeline.plans import books, derivs, market, refdata  # noqa: F401
+from tapeline.plans import books, derivs, lakeq, market, refdata, streams  # noqa: F401
 from tapeline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -58,8 +58,7 @@ c AS (SELECT *, {_cdf('d1')} AS n1, {_cdf('d2')} AS n2, {_cdf('(-d1)')} AS m1, {
     f"""WITH {CHAIN} SELECT contract, {rnd('CASE WHEN call THEN s * dq * n1 - k * dr * n2 ELSE k * dr * m2 - s * dq * m1 END')} AS model_price FROM c""",
 )
 def option_price(spark, d):
-    args = [F.col(c) for c in ("spot", "strike", "years", "rate", "sigma", "dividend", "type")]
-    return r6(chain(spark, d).select("contract", op.option_price(*args).alias("model_price")), "model_price")
+    return r6(op.enrich_chain(chain(spark, d)).select("contract", "model_price"), "model_price")
 
 
 GREEKS = ["delta", "gamma", "theta", "vega", "rho"]
@@ -82,9 +81,7 @@ def option_greeks(spark, d):
 )
 def option_iv(spark, d):
     """The volatility found from the model price is the one that made it."""
-    args = {c: F.col(c) for c in ("spot", "strike", "years", "rate", "dividend", "type")}
-    price = op.option_price(
-        args["spot"], args["strike"], args["years"], args["rate"], F.col("sigma"), args["dividend"], args["type"]
-    )
-    out = chain(spark, d).select("contract", op.option_iv(price, *args.values()).alias("implied_volatility"))
+    args = [F.col(c) for c in ("model_price", "spot", "strike", "years", "rate", "dividend", "type")]
+    priced = op.enrich_chain(chain(spark, d))
+    out = priced.select("contract", op.option_iv(*args).alias("implied_volatility"))
     return r6(out, "implied_volatility", digits=3)

@@ -14,8 +14,11 @@ BUCKETS = 128
 SAFE_KEY = r"^[A-Za-z0-9._-]+$"
 
 
-def derive_partition_cols(df: DataFrame, channel: str) -> DataFrame:
-    """Add channel, date, bucket and exchange; rename the fields that clash with them."""
+def derive_partition_cols(df: DataFrame, channel: str, buckets: int = BUCKETS) -> DataFrame:
+    """Add channel, date, bucket and exchange; rename the fields that clash with them.
+
+    A small lake wants fewer buckets: every (provider, date, bucket) is a folder.
+    """
     if channel in RENAMES:
         record_name, table_name = RENAMES[channel]
         if record_name in df.columns and table_name not in df.columns:
@@ -24,7 +27,7 @@ def derive_partition_cols(df: DataFrame, channel: str) -> DataFrame:
         {
             "channel": F.lit(channel),
             "date": date_from_ns(F.col("local_ts")),
-            "bucket": F.pmod(F.hash("symbol"), F.lit(BUCKETS)).cast("int"),
+            "bucket": F.pmod(F.hash("symbol"), F.lit(buckets)).cast("int"),
             "exchange": F.col("provider"),
         }
     )

@@ -12,7 +12,12 @@ from pyspark.sql import types as T
 
 from tapeline.schema import PARTITION_COLUMNS, channel_schema
 from tapeline.session import materialize
-from tapeline.sinks.conform import conform_channel, derive_partition_cols, drop_unsafe_keys
+from tapeline.sinks.conform import (
+    BUCKETS,
+    conform_channel,
+    derive_partition_cols,
+    drop_unsafe_keys,
+)
 
 EXPORT_FORMATS = ("parquet", "csv", "arrow", "json", "jsonl")
 
@@ -35,17 +40,17 @@ def _write_partitions(df: DataFrame, root: str, mode: str, **options: str) -> No
     )
 
 
-def lake_rows(df: DataFrame, channel: str) -> DataFrame:
+def lake_rows(df: DataFrame, channel: str, buckets: int = BUCKETS) -> DataFrame:
     """Records as rows of the channel table."""
-    return conform_channel(derive_partition_cols(df, channel), channel)
+    return conform_channel(derive_partition_cols(df, channel, buckets), channel)
 
 
-def lake_write(df: DataFrame, channel: str, root: str) -> None:
+def lake_write(df: DataFrame, channel: str, root: str, *, buckets: int = BUCKETS) -> None:
     """Append records to ``root/provider=/channel=/date=/bucket=``.
 
     Rows with an unsafe provider are left out; get them from ``drop_unsafe_keys``.
     """
-    safe, _ = drop_unsafe_keys(lake_rows(df, channel))
+    safe, _ = drop_unsafe_keys(lake_rows(df, channel, buckets))
     _write_partitions(safe, root, "append")
 
 

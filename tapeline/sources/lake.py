@@ -135,7 +135,7 @@ def lake_sql(spark: SparkSession, root: str, sql: str) -> DataFrame:
 
 def lake_summary(spark: SparkSession, root: str) -> DataFrame:
     """Rows per channel. Reads folder names and file footers, no column data."""
-    fields = {"provider": "string", "channel": "string", "date": "string", "bucket": "int"}
+    fields = {"provider": "string", "channel": "string", "date": "string", "bucket": "integer"}
     schema = T.StructType()
     for name in PARTITION_COLUMNS:
         schema = schema.add(name, fields[name])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tapeline.session import scratch_path
+from tapeline.sinks.conform import BUCKETS
 from tapeline.sinks.lake import lake_write
 
 _BROKEN = "_broken"
@@ -40,11 +41,12 @@ def lake_write_stream(
     *,
     checkpoint: str,
     every: str | None = "5 seconds",
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Append a stream to a channel; ``every=None`` drains what is there and stops."""
 
     def write(batch: DataFrame, _: int) -> None:
-        lake_write(batch, channel, root)
+        lake_write(batch, channel, root, buckets=buckets)
 
     writer = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
@@ -60,12 +62,13 @@ def frames_write_stream(
     *,
     checkpoint: str,
     every: str | None = "5 seconds",
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Decode raw frames; records go to the lake, malformed frames to a table."""
 
     def write(batch: DataFrame, _: int) -> None:
         good, bad = decode_frames(batch, schema)
-        lake_write(to_records(good), channel, root)
+        lake_write(to_records(good), channel, root, buckets=buckets)
         bad.write.mode("append").parquet(dead_letters)
 
     writer = frames.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
