@@ -1,6 +1,15 @@
 """Registered queries."""
 
-from tapeline.plans import books, derivs, lakeq, market, refdata, streams  # noqa: F401
+from tapeline.plans import (  # noqa: F401
+    books,
+    chainq,
+    derivs,
+    lakeq,
+    market,
+    refdata,
+    streams,
+    vendorq,
+)
 from tapeline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -452,52 +452,54 @@ def src_identifier_map(jobs: DataFrame, mapping: DataFrame) -> DataFrame:
 
 # -- message frames ---------------------------------------------------------------
 
-FRAME_ITEM = (
-    "struct<T string, S string, t string, i string, p double, s double, x string,"
-    " c string, z string, bp double, bs double, ap double, `as` double,"
-    " o double, h double, l double, v double, vw double, n long>"
-)
-
-
 def src_trade_quote_bar_frames(
     frames: DataFrame, *, provider: str = "alpaca", consolidated: bool = False
 ) -> dict[str, DataFrame]:
     """JSON frame arrays (local_ts, payload) to trade, quote and bar records by their ``T``.
 
-    An unknown tape reads ``unknown``; an item without symbol, time or price is skipped
-    and leaves the rest of its frame. ``c`` is the condition list of trades and quotes
-    but the close of bars, so it is read as text first.
+    An unknown tape reads ``unknown``; an item without symbol, time or a needed number
+    is skipped and leaves the rest of its frame. Items are read as text maps, since
+    their names differ only in case (``S`` symbol, ``s`` size) and ``c`` is a list in
+    trades and quotes but the close in bars.
     """
-    items = frames.select("local_ts", F.explode(F.from_json("payload", f"array<{FRAME_ITEM}>")).alias("_i"))
-    items = items.select("local_ts", "_i.*")
-    source = rfc3339_to_ns(F.col("t"))
-    common = _record(provider, F.col("S"), F.col("S"), source, F.col("local_ts"))
-    tape = F.when(F.col("z").isin(*TAPES), F.col("z")).otherwise("unknown").alias("tape")
-    conditions = F.from_json("c", "array<string>").alias("conditions")
-    whole = F.col("S").isNotNull() & source.isNotNull()
+    items = frames.select(
+        "local_ts", F.explode(F.from_json("payload", "array<map<string,string>>")).alias("_i")
+    )
+
+    def text(name: str) -> Column:
+        return F.col("_i")[name]
+
+    def num(name: str) -> Column:
+        return text(name).try_cast("double")
+
+    source = rfc3339_to_ns(text("t"))
+    common = _record(provider, text("S"), text("S"), source, F.col("local_ts"))
+    tape = F.when(text("z").isin(*TAPES), text("z")).otherwise("unknown").alias("tape")
+    conditions = F.from_json(text("c"), "array<string>").alias("conditions")
+    whole = text("S").isNotNull() & source.isNotNull()
 
     def having(kind: str, *needed: str) -> DataFrame:
-        ok = whole & (F.col("T") == kind)
+        ok = whole & (text("T") == kind)
         for name in needed:
-            ok = ok & F.col(f"`{name}`").isNotNull()
+            ok = ok & num(name).isNotNull()
         return items.where(ok)
 
     return {
         "trade": having("t", "p", "s").select(
             *common,
-            F.coalesce("i", F.lit("")).alias("id"),
-            F.col("p").alias("price"),
-            F.col("s").alias("size"),
+            F.coalesce(text("i"), F.lit("")).alias("id"),
+            num("p").alias("price"),
+            num("s").alias("size"),
             conditions,
             tape,
-            F.col("x").alias("venue"),
+            text("x").alias("venue"),
         ),
         "quote": having("q", "bp", "bs", "ap", "as").select(
             *common,
-            F.col("bp").alias("bid_px"),
-            F.col("bs").alias("bid_sz"),
-            F.col("ap").alias("ask_px"),
-            F.col("`as`").alias("ask_sz"),
+            num("bp").alias("bid_px"),
+            num("bs").alias("bid_sz"),
+            num("ap").alias("ask_px"),
+            num("as").alias("ask_sz"),
             F.lit(False).alias("is_nbbo"),
             F.lit(consolidated).alias("is_consolidated"),
             conditions,
@@ -507,13 +509,13 @@ def src_trade_quote_bar_frames(
             *common,
             *_bar(
                 F.lit("1m"),
-                F.col("o"),
-                F.col("h"),
-                F.col("l"),
-                F.col("c").try_cast("double"),
-                F.col("v"),
-                F.col("vw"),
-                F.col("n"),
+                num("o"),
+                num("h"),
+                num("l"),
+                num("c"),
+                num("v"),
+                num("vw"),
+                text("n").try_cast("long"),
             ),
         ),
     }
