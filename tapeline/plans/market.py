@@ -227,6 +227,34 @@ def time_units(spark, d):
     )
 
 
+@query("ms_to_ns", "SELECT event_id AS id, epoch_us(ts) // 1000 * 1000000 AS ns FROM events")
+def ms_to_ns(spark, d):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    ev = table(spark, d, "events")
+    return ev.select(F.col("event_id").alias("id"), tf.ms_to_ns(tf.int_div(us, 1000)).alias("ns"))
+
+
+@query("us_to_ns", "SELECT event_id AS id, epoch_us(ts) * 1000 AS ns FROM events")
+def us_to_ns(spark, d):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), tf.us_to_ns(us).alias("ns"))
+
+
+@query("rfc3339_to_ns", "SELECT event_id AS id, epoch_us(ts) * 1000 AS ns FROM events")
+def rfc3339_to_ns(spark, d):
+    """Each event type writes the zone its own way."""
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    east = F.date_format(F.col("ts") + F.expr("INTERVAL 330 MINUTES"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    kind = F.col("event_type")
+    text = (
+        F.when(kind == "click", F.concat(stamp, F.lit("Z")))
+        .when(kind == "view", stamp)
+        .when(kind == "error", F.concat(stamp, F.lit("000+00:00")))
+        .otherwise(F.concat(east, F.lit("+05:30")))
+    )
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), tf.rfc3339_to_ns(text).alias("ns"))
+
+
 @query(
     "parse_interval",
     f"""WITH {TRADES} SELECT symbol, count(DISTINCT {bucket_sql('local_ts', 90 * 10**9)}) AS b90s,
