@@ -219,7 +219,8 @@ def option_iv(
     price: Column, s: Column, k: Column, t: Column, r: Column, q: Column, kind: Column
 ) -> Column:
     """Implied volatility; NaN outside the no-arbitrage bounds or without convergence."""
-    return _iv_udf(price, s, k, t, r, q, is_call(kind))
+    # Arrow carries NaN as null
+    return F.coalesce(_iv_udf(price, s, k, t, r, q, is_call(kind)), F.lit(float("nan")))
 
 
 def register(spark) -> None:

@@ -66,8 +66,10 @@ def read_eod_csv(spark: SparkSession, path: str) -> DataFrame:
     The symbol is the file name without its extension, upper-cased. Files of both
     styles may lie in one folder: every file is read by its own header line.
     """
+    # file names come percent-encoded
+    name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
     lines = spark.read.text(path).select(
-        F.upper(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)).alias("symbol"),
+        F.upper(F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1)).alias("symbol"),
         F.col("_metadata.file_path").alias("_file"),
         F.split(F.regexp_replace("value", r"\r$", ""), ",").alias("_cells"),
     )

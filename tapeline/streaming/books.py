@@ -125,6 +125,9 @@ class BookResync(StatefulProcessor):
             "buffer", "ord long, first_id long, final_id long, prev_id long"
         )
 
+    def joins(self, before: tuple, delta: tuple) -> bool:
+        return delta[1] == before[2] + 1 if self.venue == "spot" else delta[3] == before[2]
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         held = self.state.get() if self.state.exists() else (None, None, False)
         sync = Sync(self.venue, _int(held[0]), _int(held[1]))
@@ -158,16 +161,17 @@ class BookResync(StatefulProcessor):
                 waiting, buffer, cleared = False, [], True
                 continue
             delta = (ord_, int(first), final, _int(prev))
-            action = sync.feed(*delta[1:])
-            if action == "RESYNC":
-                if waiting:
+            if waiting:
+                if buffer and not self.joins(buffer[-1], delta):
                     buffer, cleared = [], True
-                waiting = True
-                buffer.append(delta)
-            elif waiting:
                 buffer.append(delta)
-            elif action == "APPLY":
+                continue
+            action = sync.feed(*delta[1:])
+            if action == "APPLY":
                 out.append((key[0], ord_, "delta"))
+            elif action == "RESYNC":
+                waiting = True
+                buffer.append(delta)
         if cleared:
             self.buffer.clear()
             kept_from = 0
@@ -184,7 +188,8 @@ def book_resync(events: DataFrame, venue: str = "spot") -> DataFrame:
     """(symbol, ord, emitted) in output order: delta, snapshot, kept or resync_failed.
 
     A break starts buffering; the next snapshot releases the buffered deltas past it
-    when they continue it unbroken. Another break while waiting drops the buffer.
+    when they continue it unbroken. A break among the buffered deltas starts the buffer
+    anew, since nothing before it could follow the snapshot.
     """
     _check(venue)
     _use_rocksdb(events)
