@@ -1,8 +1,9 @@
 """256-bit words of hex payloads as column expressions.
 
-A word is 64 hex digits. It is read as eight groups of 32 bits, since ``conv`` ends at
-64 bits. A negative word is complemented before it becomes a double; otherwise the
-leading ones would swallow its digits.
+A word is 64 hex digits, read in groups that fit a BIGINT and a double exactly, since
+``conv`` ends at 64 bits. The groups of a negative word are complemented before they
+become doubles; otherwise the leading ones would swallow its digits. Put words into
+columns of their own before reading them, so that they are cut out only once.
 """
 
 from __future__ import annotations
@@ -11,12 +12,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = 64
-_GROUP = 8
+# Digits per group: one short group, then 48 bits each.
+_GROUPS = (4, 12, 12, 12, 12, 12)
+# Leading digits that an amount below 2^96 does not use.
+_HEAD = WORD - 24
 
 
 def strip_0x(text: Column) -> Column:
-    low = F.lower(text)
-    return F.when(low.startswith("0x"), F.substring(low, 3, 1_000_000)).otherwise(low)
+    return F.when(text.startswith("0x"), F.substring(text, 3, 1_000_000)).otherwise(text)
 
 
 def word(data: Column, index: int) -> Column:
@@ -28,35 +31,47 @@ def byte_length(data: Column) -> Column:
     return F.floor(F.length(data) / 2).cast("int")
 
 
-def _group(w: Column, i: int) -> Column:
-    """The i-th 32-bit group from the left."""
-    return F.conv(F.substring(w, 1 + i * _GROUP, _GROUP), 16, 10).cast("long")
+def _group(w: Column, start: int, digits: int) -> Column:
+    return F.conv(F.substring(w, start, digits), 16, 10).cast("long")
 
 
-def unsigned(w: Column) -> Column:
+def _number(w: Column, start: int, groups: tuple[int, ...], complement: bool = False) -> Column:
     out = F.lit(0.0)
-    for i in range(WORD // _GROUP):
-        out = out * 4294967296.0 + _group(w, i).cast("double")
+    for digits in groups:
+        part = _group(w, start, digits)
+        part = F.lit(16**digits - 1) - part if complement else part
+        out = out * float(16**digits) + part.cast("double")
+        start += digits
     return out
 
 
+def _either(w: Column, head: Column, complement: bool) -> Column:
+    """Two groups when the leading digits say nothing, else all of them."""
+    return F.when(head, _number(w, _HEAD + 1, (12, 12), complement)).otherwise(
+        _number(w, 1, _GROUPS, complement)
+    )
+
+
+def unsigned(w: Column) -> Column:
+    """A word as a double."""
+    return _either(w, F.substring(w, 1, _HEAD) == "0" * _HEAD, False)
+
+
 def signed(w: Column) -> Column:
     """Two's complement as a double."""
-    complement = F.lit(0.0)
-    for i in range(WORD // _GROUP):
-        complement = complement * 4294967296.0 + (F.lit(4294967295) - _group(w, i)).cast("double")
-    negative = F.conv(F.substring(w, 1, 1), 16, 10).cast("int") >= 8
-    return F.when(negative, -(complement + 1.0)).otherwise(unsigned(w))
+    negative = F.substring(w, 1, 1) >= "8"
+    ones = F.substring(w, 1, _HEAD).isin("f" * _HEAD, "F" * _HEAD)
+    return F.when(negative, -(_either(w, ones, True) + 1.0)).otherwise(unsigned(w))
 
 
 def exact(w: Column) -> Column:
     """DECIMAL(38,0) of an unsigned word below 2^126; null above."""
-    small = F.substring(w, 1, WORD // 2).rlike("^0*$")
+    fits = F.substring(w, 1, WORD // 2).rlike("^0*$") & (F.substring(w, WORD // 2 + 1, 1) < "4")
     out = F.lit(0).cast("decimal(38,0)")
-    for i in range(4, 8):
-        step = out * F.lit(4294967296).cast("decimal(20,0)") + _group(w, i).cast("decimal(20,0)")
+    for start in range(WORD // 2 + 1, WORD, 8):
+        step = out * F.lit(4294967296).cast("decimal(20,0)") + _group(w, start, 8).cast("decimal(20,0)")
         out = step.try_cast("decimal(38,0)")
-    return F.when(small & (F.substring(w, 33, 1).isin("0", "1", "2", "3")), out)
+    return F.when(fits, out)
 
 
 def address(w: Column) -> Column:

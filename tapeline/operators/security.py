@@ -130,8 +130,9 @@ def resolve_ticker(requests: DataFrame, mappings: DataFrame) -> DataFrame:
     exchanges do not count. Ties go to the smallest symbol.
     """
     asked = requests.select("ticker", "exchange").distinct()
-    named = mappings.select(
-        F.lower("ticker").alias("_t"), F.col("symbol"), F.col("exchange").alias("_mx")
+    # one candidate per (ticker, exchange) is enough
+    named = mappings.groupBy(F.lower("ticker").alias("_t"), F.col("exchange").alias("_mx")).agg(
+        F.min("symbol").alias("symbol")
     )
     fits = F.col("exchange").isNull() | F.col("_mx").isNull() | (F.col("_mx") == F.col("exchange"))
     hit = F.when(F.col("symbol").isNotNull() & fits, F.col("symbol"))

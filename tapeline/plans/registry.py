@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeline.session import tune
+
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
 ORACLES: dict[str, str] = {}
@@ -16,15 +18,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
     """Register a query; ``sql`` is the same result in DuckDB SQL."""
 
     def add(run: Run) -> Run:
-        def in_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+        def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            tune(spark)
             return run(spark, sf_dir.rstrip("/"))
 
-        in_utc.__name__ = run.__name__
-        in_utc.__doc__ = run.__doc__
+        prepared.__name__ = run.__name__
+        prepared.__doc__ = run.__doc__
         if name in QUERIES:
             raise ValueError(f"query {name!r} registered twice")
-        QUERIES[name] = in_utc
+        QUERIES[name] = prepared
         if sql is not None:
             ORACLES[name] = sql.strip()
         return run

@@ -24,7 +24,19 @@ def local_session(cores: str = "*", **conf: str) -> SparkSession:
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    tune(spark)
+    return spark
+
+
+def tune(spark: SparkSession) -> None:
+    """Session settings that the operators rely on for speed.
+
+    The JIT compiler leaves methods above 8000 bytes of bytecode uncompiled, and long
+    column formulas (Greeks, hex words, holidays) fused into one method pass that
+    easily. With this limit such stages are split into small methods instead.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -36,6 +36,12 @@ def _scale(decimals: Column) -> Column:
     return F.pow(F.lit(10.0), decimals.cast("double"))
 
 
+def _words(logs: DataFrame, count: int) -> DataFrame:
+    """The first words of the payload as columns."""
+    bare = logs.withColumn("_data", strip_0x(F.col("data")))
+    return bare.withColumns({f"_w{i}": word(F.col("_data"), i) for i in range(count)})
+
+
 def _trades(rows: DataFrame, base: Column, quote: Column, is_buy: Column, local_ts: Column | None) -> DataFrame:
     symbol = F.concat(F.lit(f"{PROVIDER}:"), F.col("pool"))
     source = F.col("block_ts").cast("long") * SECOND
@@ -58,8 +64,8 @@ def _trades(rows: DataFrame, base: Column, quote: Column, is_buy: Column, local_
 
 def src_swap_logs_v3(logs: DataFrame, pools: DataFrame, *, local_ts: Column | None = None) -> DataFrame:
     """Concentrated-liquidity swaps: two signed amounts; the base leaving the pool is a buy."""
-    data = strip_0x(F.col("data"))
-    rows = logs.join(pools, "pool").withColumns({"_0": signed(word(data, 0)), "_1": signed(word(data, 1))})
+    rows = _words(logs, 2).join(pools, "pool")
+    rows = rows.withColumns({f"_{i}": signed(F.col(f"_w{i}")) for i in range(2)})
     flip = F.col("is_flipped")
     base_raw = F.when(flip, F.col("_1")).otherwise(F.col("_0"))
     quote_raw = F.when(flip, F.col("_0")).otherwise(F.col("_1"))
@@ -70,8 +76,8 @@ def src_swap_logs_v3(logs: DataFrame, pools: DataFrame, *, local_ts: Column | No
 
 def src_swap_logs_v2(logs: DataFrame, pools: DataFrame, *, local_ts: Column | None = None) -> DataFrame:
     """Constant-product swaps: amounts in and out per token; base going out is a buy."""
-    data = strip_0x(F.col("data"))
-    rows = logs.join(pools, "pool").withColumns({f"_{i}": unsigned(word(data, i)) for i in range(4)})
+    rows = _words(logs, 4).join(pools, "pool")
+    rows = rows.withColumns({f"_{i}": unsigned(F.col(f"_w{i}")) for i in range(4)})
     flip = F.col("is_flipped")
 
     def moved(token: int) -> Column:
@@ -240,7 +246,7 @@ def ladder_quote(books: DataFrame) -> DataFrame:
     )
 
 
-def _lending(rows: DataFrame, local_ts: Column | None) -> list[Column]:
+def _lending(local_ts: Column | None) -> list[Column]:
     ts = F.col("block_ts").cast("long") * SECOND
     return [
         F.lit(PROVIDER).alias("provider"),
@@ -253,30 +259,30 @@ def _lending(rows: DataFrame, local_ts: Column | None) -> list[Column]:
 
 def src_lending_logs(logs: DataFrame, *, local_ts: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(reserve updates, liquidation calls) by first topic."""
-    data = strip_0x(F.col("data"))
+    rows = _words(logs, 5)
     topic = F.lower(F.get("topics", F.lit(0)))
 
     def named(i: int) -> Column:
         return address(F.get("topics", F.lit(i)))
 
-    updates = logs.where(topic == RESERVE_DATA_UPDATED).select(
-        *_lending(logs, local_ts),
+    updates = rows.where(topic == RESERVE_DATA_UPDATED).select(
+        *_lending(local_ts),
         named(1).alias("reserve"),
-        (unsigned(word(data, 0)) / RAY).alias("liquidity_rate"),
-        (unsigned(word(data, 1)) / RAY).alias("stable_borrow_rate"),
-        (unsigned(word(data, 2)) / RAY).alias("variable_borrow_rate"),
-        exact(word(data, 3)).alias("liquidity_index"),
-        exact(word(data, 4)).alias("variable_borrow_index"),
+        (unsigned(F.col("_w0")) / RAY).alias("liquidity_rate"),
+        (unsigned(F.col("_w1")) / RAY).alias("stable_borrow_rate"),
+        (unsigned(F.col("_w2")) / RAY).alias("variable_borrow_rate"),
+        exact(F.col("_w3")).alias("liquidity_index"),
+        exact(F.col("_w4")).alias("variable_borrow_index"),
     )
-    calls = logs.where(topic == LIQUIDATION_CALL).select(
-        *_lending(logs, local_ts),
+    calls = rows.where(topic == LIQUIDATION_CALL).select(
+        *_lending(local_ts),
         named(1).alias("collateral_asset"),
         named(2).alias("debt_asset"),
         named(3).alias("user"),
-        unsigned(word(data, 0)).alias("debt_to_cover"),
-        unsigned(word(data, 1)).alias("liquidated_collateral_amount"),
-        address(word(data, 2)).alias("liquidator"),
-        (unsigned(word(data, 3)) > 0).alias("receive_a_token"),
+        unsigned(F.col("_w0")).alias("debt_to_cover"),
+        unsigned(F.col("_w1")).alias("liquidated_collateral_amount"),
+        address(F.col("_w2")).alias("liquidator"),
+        (unsigned(F.col("_w3")) > 0).alias("receive_a_token"),
     )
     return updates, calls
 
@@ -292,7 +298,7 @@ def src_limit_order_logs(
     token and the last one to the maker the taker token. The match is an equi-join on
     (tx_hash, maker).
     """
-    data = strip_0x(F.col("data"))
+    logs = _words(logs, 7)
     topic = F.lower(F.get("topics", F.lit(0)))
     count = F.size("topics")
 
@@ -300,7 +306,7 @@ def src_limit_order_logs(
         return F.when(count > i, address(F.get("topics", F.lit(i)))).otherwise(ZERO_ADDRESS)
 
     def hash_(w: Column) -> Column:
-        return F.concat(F.lit("0x"), w)
+        return F.concat(F.lit("0x"), F.lower(w))
 
     def words(*by_layout: Column) -> Column:
         one, two, more = by_layout
@@ -310,14 +316,14 @@ def src_limit_order_logs(
         {
             "protocol": F.lit("1inch"),
             "order_hash": words(
-                hash_(word(data, 0)),
+                hash_(F.col("_w0")),
                 F.lower(F.get("topics", F.lit(1))),
                 F.coalesce(F.lower(F.get("topics", F.lit(1))), F.lit(ZERO_HASH)),
             ),
-            "maker": words(address(word(data, 1)), address(word(data, 0)), spare(2)),
-            "taker": words(address(word(data, 2)), address(word(data, 1)), spare(3)),
-            "maker_amount": words(*[unsigned(word(data, i)) for i in (4, 3, 1)]),
-            "taker_amount": words(*[unsigned(word(data, i)) for i in (5, 4, 2)]),
+            "maker": words(address(F.col("_w1")), address(F.col("_w0")), spare(2)),
+            "taker": words(address(F.col("_w2")), address(F.col("_w1")), spare(3)),
+            "maker_amount": words(*[unsigned(F.col(f"_w{i}")) for i in (4, 3, 1)]),
+            "taker_amount": words(*[unsigned(F.col(f"_w{i}")) for i in (5, 4, 2)]),
         }
     )
     keys = ["tx_hash", "maker"]
@@ -341,7 +347,7 @@ def src_limit_order_logs(
         }
     )
 
-    size = byte_length(data)
+    size = byte_length(F.col("_data"))
     full = size >= 7 * WORD // 2
     indexed = (count > 1) & (size == 5 * WORD // 2)
 
@@ -351,13 +357,13 @@ def src_limit_order_logs(
     second = logs.where(topic == LIMIT_ORDER_FILLED).withColumns(
         {
             "protocol": F.lit("0x"),
-            "maker": pick(spare(1), address(word(data, 0)), ZERO_ADDRESS),
-            "taker": pick(spare(2), address(word(data, 1)), ZERO_ADDRESS),
-            "maker_token": pick(address(word(data, 0)), address(word(data, 2)), ZERO_ADDRESS),
-            "taker_token": pick(address(word(data, 1)), address(word(data, 3)), ZERO_ADDRESS),
-            "maker_amount": pick(unsigned(word(data, 2)), unsigned(word(data, 4)), 0.0),
-            "taker_amount": pick(unsigned(word(data, 3)), unsigned(word(data, 5)), 0.0),
-            "order_hash": pick(hash_(word(data, 4)), hash_(word(data, 6)), ZERO_HASH),
+            "maker": pick(spare(1), address(F.col("_w0")), ZERO_ADDRESS),
+            "taker": pick(spare(2), address(F.col("_w1")), ZERO_ADDRESS),
+            "maker_token": pick(address(F.col("_w0")), address(F.col("_w2")), ZERO_ADDRESS),
+            "taker_token": pick(address(F.col("_w1")), address(F.col("_w3")), ZERO_ADDRESS),
+            "maker_amount": pick(unsigned(F.col("_w2")), unsigned(F.col("_w4")), 0.0),
+            "taker_amount": pick(unsigned(F.col("_w3")), unsigned(F.col("_w5")), 0.0),
+            "order_hash": pick(hash_(F.col("_w4")), hash_(F.col("_w6")), ZERO_HASH),
         }
     )
     ts = F.col("block_ts").cast("long") * SECOND
