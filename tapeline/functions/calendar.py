@@ -138,29 +138,18 @@ def session_filter(
     records: DataFrame,
     *,
     ts: str = "local_ts",
-    first: str = "1990-01-01",
-    last: str = "2099-12-31",
     custom: Sequence[str] = (),
 ) -> DataFrame:
-    """Rows inside market hours, both ends inclusive.
-
-    The calendar is broadcast: it holds one row per date between ``first`` and
-    ``last`` and never grows with the data.
-    """
+    """Rows inside market hours, both ends inclusive; the hours follow from each row's
+    own date, whatever its year."""
     minute = 60 * SECOND
     day, clock = market_clock(F.col(ts))
-    hours = calendar_table(records.sparkSession, first, last, custom).where("is_trading_day")
-    hours = hours.select(
-        F.col("date").alias("_day"),
-        (F.col("open_minute") * minute).alias("_open"),
-        (F.col("close_minute") * minute).alias("_close"),
-    )
-    return (
-        records.withColumns({"_day": day, "_clock": clock})
-        .join(F.broadcast(hours), "_day")
-        .where(F.col("_clock").between(F.col("_open"), F.col("_close")))
-        .select(*records.columns)
-    )
+    close = F.when(is_early_close(F.col("_day")), EARLY_CLOSE_MIN).otherwise(CLOSE_MIN)
+    timed = records.withColumns({"_day": day, "_clock": clock})
+    return timed.where(
+        F.col("_clock").between(F.lit(OPEN_MIN * minute), close * minute)
+        & is_trading_day(F.col("_day"), custom)
+    ).select(*records.columns)
 
 
 def period_key(day: Column, interval: str) -> Column:

@@ -19,7 +19,7 @@ _HEAD = WORD - 24
 
 
 def strip_0x(text: Column) -> Column:
-    return F.when(text.startswith("0x"), F.substring(text, 3, 1_000_000)).otherwise(text)
+    return F.when(text.startswith("0x"), F.right(text, F.length(text) - 2)).otherwise(text)
 
 
 def word(data: Column, index: int) -> Column:

@@ -81,7 +81,7 @@ def metric_value(text: Column, label: Column) -> tuple[Column, Column]:
     blank = raw.isNull() | F.upper(raw).isin(*METRIC_BLANKS)
     sign = F.substring(raw, 1, 1)
     has_sign = sign.isin(*CURRENCIES)
-    body = F.when(has_sign, F.substring(raw, 2, 1_000_000)).otherwise(raw)
+    body = F.when(has_sign, F.right(raw, F.length(raw) - 1)).otherwise(raw)
     currency = F.lit("USD")
     for mark, code in CURRENCIES.items():
         currency = F.when(sign == mark, code).otherwise(currency)

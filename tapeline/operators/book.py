@@ -129,7 +129,7 @@ def book_resample(
     )
     # at most one change per price and boundary is left
     changes = lay_out(
-        per_boundary, [*keys, "_epoch", "side", "price"], ["-_from"], bounded=True
+        per_boundary, [*keys, "_epoch", "side", "price"], ["-_from"], segment=None
     )
     until = lag_columns(changes, {"_next": (F.col("_from"), 1)}).done()
     lived = (

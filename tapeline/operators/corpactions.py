@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.operators.ordered import lag_columns, lay_out
+from tapeline.operators.ordered import DAY_NS, Segment, lag_columns, lay_out
 
 # Action types. Fixed values.
 SPLIT, STOCK_DIVIDEND, SPIN_OFF, CASH_DIVIDEND = (
@@ -177,13 +177,13 @@ def total_return(
     keys: Sequence[str] = ("symbol",),
     date: str = "date",
     order: Sequence[str] | None = None,
-    bounded: bool = False,
+    segment: Segment = DAY_NS,
 ) -> DataFrame:
     """(adj_close + adjusted dividend) / previous adj_close - 1 per key.
 
     Null on the first row and after a zero price.
     """
-    layout = lay_out(adjusted, keys, order or [date], bounded)
+    layout = lay_out(adjusted, keys, order or [date], segment)
     out = lag_columns(layout, {"_prev": (F.col("adj_close"), 1)}).done()
     gain = F.col("adj_close") + F.try_divide("div_cash", F.coalesce("cfacpr", F.lit(1.0)))
     value = F.when(F.col("_prev") != 0.0, F.try_divide(gain, F.col("_prev")) - 1.0)
@@ -197,10 +197,20 @@ def adjust_dataframe(
     keys: Sequence[str] = ("symbol",),
     date: str = "date",
     base_date: str | None = None,
-    bounded: bool = False,
+    unknown_as_split: bool = False,
+    segment: Segment = DAY_NS,
 ) -> DataFrame:
-    """Factors, adjusted prices, dividends and total returns in one plan."""
-    factors = cumulative_factors(prices, actions, keys=keys, date=date, base_date=base_date)
+    """Factors, adjusted prices, dividends and total returns in one plan.
+
+    Actions of an unknown type or without a readable date take no part; they are the
+    second table of ``known_actions``, for a dead-letter output. ``unknown_as_split``
+    takes unknown types as splits instead.
+    """
+    if not unknown_as_split:
+        actions, _ = known_actions(actions)
+    factors = cumulative_factors(
+        prices, actions, keys=keys, date=date, base_date=base_date, unknown_as_split=unknown_as_split
+    )
     wide = factor_join(prices, factors, keys=keys, date=date)
     wide = dividend_join(wide, actions, keys=keys, date=date)
-    return total_return(adjust_prices(wide), keys=keys, date=date, bounded=bounded)
+    return total_return(adjust_prices(wide), keys=keys, date=date, segment=segment)

@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeline.operators.ordered import (
+    DAY_NS,
     Blend,
     Layout,
+    Segment,
     lag_columns,
     lay_out,
     recurrences,
@@ -47,11 +49,11 @@ def sma(
     keys: Sequence[str] = ("symbol",),
     order: Sequence[str] = ("local_ts",),
     out: str = "sma",
-    bounded: bool = False,
+    segment: Segment = DAY_NS,
 ) -> DataFrame:
     """Rolling mean; null until the window is full."""
     _check(period)
-    layout = with_context(lay_out(prices, keys, order, bounded), period - 1)
+    layout = with_context(lay_out(prices, keys, order, segment), period - 1)
     return layout.with_df(layout.df.withColumn(out, _full(layout, price, period, F.avg))).done()
 
 
@@ -69,11 +71,11 @@ def bollinger(
     price: str = "price",
     keys: Sequence[str] = ("symbol",),
     order: Sequence[str] = ("local_ts",),
-    bounded: bool = False,
+    segment: Segment = DAY_NS,
 ) -> DataFrame:
     """Rolling mean plus and minus ``k`` population standard deviations."""
     _check(period)
-    layout = with_context(lay_out(prices, keys, order, bounded), period - 1)
+    layout = with_context(lay_out(prices, keys, order, segment), period - 1)
     return layout.with_df(layout.df.withColumns(_bands(layout, price, period, k))).done()
 
 
@@ -118,11 +120,11 @@ def ema(
     keys: Sequence[str] = ("symbol",),
     order: Sequence[str] = ("local_ts",),
     out: str = "ema",
-    bounded: bool = False,
+    segment: Segment = DAY_NS,
 ) -> DataFrame:
     """Exponential mean with weight 2 / (period + 1), seeded with the first price."""
     _check(period)
-    layout = _mark_gaps(lay_out(prices, keys, order, bounded), price)
+    layout = _mark_gaps(lay_out(prices, keys, order, segment), price)
     layout = layout.with_df(layout.df.withColumns(_ema_terms(period, price, "e")))
     done = recurrences(layout, {out: ("_a_e", "_b_e")}).done()
     return done.withColumn(out, F.when(finite(F.col(price)), F.col(out))).drop(
@@ -166,11 +168,11 @@ def macd(
     price: str = "price",
     keys: Sequence[str] = ("symbol",),
     order: Sequence[str] = ("local_ts",),
-    bounded: bool = False,
+    segment: Segment = DAY_NS,
 ) -> DataFrame:
     """Fast minus slow exponential mean, its signal mean and their difference."""
     _check(fast, slow, signal)
-    layout = _mark_gaps(lay_out(prices, keys, order, bounded), price)
+    layout = _mark_gaps(lay_out(prices, keys, order, segment), price)
     layout = layout.with_df(layout.df.withColumns(_macd_steps(price, fast, slow, signal)))
     return _macd_out(recurrences(layout, _MACD_TERMS).done(), price).drop(_GAP, "_pos")
 
@@ -218,11 +220,11 @@ def rsi(
     keys: Sequence[str] = ("symbol",),
     order: Sequence[str] = ("local_ts",),
     out: str = "rsi",
-    bounded: bool = False,
+    segment: Segment = DAY_NS,
 ) -> DataFrame:
     """Wilder's index: flat prices give 50, no losses 100; null for the first ``period`` rows."""
     _check(period)
-    layout = _with_change(lay_out(prices, keys, order, bounded), price)
+    layout = _with_change(lay_out(prices, keys, order, segment), price)
     layout = running(layout, {"_pos": ("count", F.lit(1))})
     layout = layout.with_df(layout.df.withColumns(_rsi_steps(period)))
     return _rsi_out(recurrences(layout, _RSI_TERMS).done(), period, out).drop("_pos")
@@ -248,7 +250,7 @@ def indicators_all(
     """
     _check(period, fast, slow, signal, bb_period)
     bars = ohlcv_trades(trades, interval, keys=keys, tie=tie)
-    layout = lay_out(bars, keys, ["bar"], bounded=True)
+    layout = lay_out(bars, keys, ["bar"], segment=None)
     layout = _with_change(layout, "close")
     layout = _mark_gaps(layout, "close")
     columns = {

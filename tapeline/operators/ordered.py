@@ -1,13 +1,13 @@
 """Ordered work per key (lag, rolling frames, running totals, recurrences) that
 holds when one key owns a large part of the table.
 
-A plain ``Window.partitionBy(key)`` puts a whole key into one task. Here the rows
-per key are counted first (one aggregate that reads the key columns only). When
-every key fits the limit, the plain window is used. When one does not, the table
-is range-partitioned by (key, order), which cuts long keys into segments of about
-the limit, and written once so that the segment numbers stay fixed. Segments are
-then tied together exactly: rolling frames get the last rows of the segments
-before them, running totals get the summary of the segments before them.
+A plain ``Window.partitionBy(key)`` puts a whole key into one task. Here a key is cut
+into segments by a column of the row itself, by default the UTC day of a nanosecond
+time, so the same plan serves tables of every size and a row's segment never changes.
+Segments are tied together exactly: rolling frames get the last rows of the segments
+before them, running totals and recurrences the summary of the segments before them.
+Building a plan starts no job. A caller who knows that keys are short (bars hold one row
+per interval) passes ``segment=None`` and gets the plain window.
 """
 
 from __future__ import annotations
@@ -20,10 +20,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapeline.session import materialize
-
-LIMIT_CONF = "spark.tapeline.rowsPerSegment"
-DEFAULT_LIMIT = 10_000_000
+# Nanoseconds of a day: the width of a segment along a numeric order column.
+DAY_NS = 86_400_000_000_000
+Segment = Column | int | None
 SEGMENT = "_seg"
 OWN = "_own"
 
@@ -54,6 +53,19 @@ class Layout:
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.part).orderBy(*sort_columns(self.order))
 
+    def segments(self) -> WindowSpec:
+        """The segments of a key in the order of its rows."""
+        col = F.col(SEGMENT)
+        return Window.partitionBy(*self.keys).orderBy(col.desc() if self.descending else col.asc())
+
+    @property
+    def descending(self) -> bool:
+        return self.order[0].startswith("-")
+
+    def place(self) -> Column:
+        """Rises along the order, for ``max_by``; descending columns must be numeric."""
+        return F.struct(*[-F.col(c[1:]) if c.startswith("-") else F.col(c) for c in self.order])
+
     def with_df(self, df: DataFrame) -> Layout:
         return replace(self, df=df)
 
@@ -70,31 +82,37 @@ class Layout:
         return out.drop(SEGMENT, OWN)
 
 
-def row_limit(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(LIMIT_CONF, str(DEFAULT_LIMIT)))
+def _segment_of(df: DataFrame, order: Sequence[str], width: int) -> Column | None:
+    """Segments along the first order column: steps of ``width``, or days of a timestamp.
+
+    Dates fall into years, other types are not cut. A missing time counts as the first.
+    """
+    name = order[0].lstrip("-")
+    kind, col = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
+        at = col.cast("long")
+        return F.coalesce(F.call_function("div", at - F.pmod(at, F.lit(width)), F.lit(width)), F.lit(-(2**62)))
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.coalesce(F.unix_date(F.to_date(col)), F.lit(-(2**30)))
+    if isinstance(kind, T.DateType):
+        return F.coalesce(F.year(col), F.lit(-(2**30)))
+    return None
 
 
 def lay_out(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bounded: bool = False
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], segment: Segment = DAY_NS
 ) -> Layout:
-    """Decide how ``df`` is cut for ordered work.
+    """Cut ``df`` for ordered work.
 
-    ``bounded``: the caller knows that no key is long (bars hold one row per
-    interval), so the count is skipped.
+    ``segment`` is a column that never falls along the order (never rises, if the first
+    order column is descending), or the width of a step along the first order column, or
+    None for keys that are short as a whole.
     """
-    plain = Layout(df, tuple(keys), tuple(order), split=False)
-    if bounded:
-        return plain
-    limit = row_limit(df)
-    longest, total = (
-        df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first() or (0, 0)
-    )
-    if (longest or 0) <= limit:
-        return plain
-    pieces = max(2, -(-int(total) // limit) * 2)
-    ranged = df.repartitionByRange(pieces, *[F.col(k) for k in keys], *sort_columns(order))
-    numbered = ranged.withColumn(SEGMENT, F.spark_partition_id())
-    return Layout(materialize(numbered, "segments"), tuple(keys), tuple(order), split=True)
+    if isinstance(segment, int):
+        segment = _segment_of(df, order, segment)
+    if segment is None:
+        return Layout(df, tuple(keys), tuple(order), split=False)
+    return Layout(df.withColumn(SEGMENT, segment), tuple(keys), tuple(order), split=True)
 
 
 def with_context(layout: Layout, rows: int) -> Layout:
@@ -105,12 +123,12 @@ def with_context(layout: Layout, rows: int) -> Layout:
     """
     if not layout.split or rows <= 0:
         return layout
-    keys, part = list(layout.keys), layout.part
+    part = layout.part
     backwards = Window.partitionBy(*part).orderBy(*sort_columns(layout.order, reverse=True))
     tails = layout.df.withColumn("_back", F.row_number().over(backwards)).where(
         F.col("_back") <= rows
     )
-    by_segment = Window.partitionBy(*keys).orderBy(SEGMENT)
+    by_segment = layout.segments()
     pieces = (
         layout.df.groupBy(*part)
         .agg(F.count(F.lit(1)).alias("_len"))
@@ -155,16 +173,14 @@ def running(
     if not layout.split:
         return layout.with_df(df)
 
-    place = F.struct(*[F.col(c.lstrip("-")) for c in layout.order])
+    place = layout.place()
     totals = []
     for name, (kind, expr) in columns.items():
         if kind == "last":
             totals.append(F.max_by(expr, F.when(expr.isNotNull(), place)).alias(f"_t_{name}"))
         else:
             totals.append(aggregate[kind](expr).alias(f"_t_{name}"))
-    before = (
-        Window.partitionBy(*layout.keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    before = layout.segments().rowsBetween(Window.unboundedPreceding, -1)
     carried = layout.df.groupBy(*layout.part).agg(*totals)
     for name, (kind, _) in columns.items():
         total = F.col(f"_t_{name}")
@@ -296,17 +312,16 @@ def recurrences(
         return layout.with_df(solved)
 
     # entry value of a segment = what the segments before it end with
-    solved = materialize(solved, "recurrence")
-    place = F.struct(*[F.col(c.lstrip("-")) for c in layout.order])
+    place = layout.place()
     ends = solved.groupBy(*layout.part).agg(
         *[F.max_by(n, place).alias(f"_y_{n}") for n in names],
         *[F.max_by(f"_p_{n}", place).alias(f"_a_{n}") for n in names],
     )
     folded = recurrences(
-        Layout(ends, layout.keys, (SEGMENT,), split=False),
+        Layout(ends, layout.keys, ("-" + SEGMENT if layout.descending else SEGMENT,), split=False),
         {f"_e_{n}": (f"_a_{n}", f"_y_{n}") for n in names},
     ).df
-    earlier = Window.partitionBy(*layout.keys).orderBy(SEGMENT)
+    earlier = layout.segments()
     entry = folded.select(
         *layout.part, *[F.lag(f"_e_{n}").over(earlier).alias(f"_e_{n}") for n in names]
     )

@@ -70,7 +70,7 @@ def ohlcv_trades(
 def ohlcv_trades_df(trades: DataFrame, interval: str, **options) -> DataFrame:
     """``ohlcv_trades`` keyed by whichever of symbol, provider, symbol_raw exist.
 
-    The unit of the timestamps (ns, us or ms) is judged per key from its first one.
+    The unit of the timestamps is nanoseconds; ``ohlcv_any_unit`` judges it per key.
     """
     keys = [c for c in ("symbol", "provider", "symbol_raw") if c in trades.columns]
     return ohlcv_trades(trades, interval, keys=keys, **options)
@@ -244,9 +244,12 @@ def order_violations(
     arrival: Sequence[str],
     ts: str = "local_ts",
 ) -> DataFrame:
-    """Rows whose timestamp lies before an earlier arrival of the same key."""
-    from tapeline.operators.ordered import lag_columns, lay_out
+    """Rows whose timestamp lies before that of any earlier arrival of the same key.
+
+    ``prev_ts`` is the latest time seen before the row.
+    """
+    from tapeline.operators.ordered import lay_out, running
 
     layout = lay_out(records, keys, arrival)
-    seen = lag_columns(layout, {"prev_ts": (F.col(ts), 1)}).done()
+    seen = running(layout, {"prev_ts": ("max", F.col(ts))}, inclusive=False).done()
     return seen.where(F.col(ts) < F.col("prev_ts"))

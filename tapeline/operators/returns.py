@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.operators.ordered import lag_columns, lay_out
+from tapeline.operators.ordered import DAY_NS, Segment, lag_columns, lay_out
 
 NAN = float("nan")
 
@@ -31,8 +31,8 @@ def log_return(price: Column, prev: Column) -> Column:
     return F.when(ok, F.ln(price / F.nullif(prev, F.lit(0.0)))).otherwise(F.lit(NAN))
 
 
-def _returns(prices, formula, out, price, keys, order, bounded):
-    layout = lag_columns(lay_out(prices, keys, order, bounded), {"_prev": (F.col(price), 1)})
+def _returns(prices, formula, out, price, keys, order, segment):
+    layout = lag_columns(lay_out(prices, keys, order, segment), {"_prev": (F.col(price), 1)})
     return layout.done().withColumn(out, formula(F.col(price), F.col("_prev"))).drop("_prev")
 
 
@@ -43,10 +43,10 @@ def simple_returns(
     keys: Sequence[str] = ("symbol",),
     order: Sequence[str] = ("local_ts",),
     out: str = "simple_return",
-    bounded: bool = False,
+    segment: Segment = DAY_NS,
 ) -> DataFrame:
     """(p - prev) / prev per key; NaN on the first row and where either side is unusable."""
-    return _returns(prices, simple_return, out, price, keys, order, bounded)
+    return _returns(prices, simple_return, out, price, keys, order, segment)
 
 
 def log_returns(
@@ -56,10 +56,10 @@ def log_returns(
     keys: Sequence[str] = ("symbol",),
     order: Sequence[str] = ("local_ts",),
     out: str = "log_return",
-    bounded: bool = False,
+    segment: Segment = DAY_NS,
 ) -> DataFrame:
     """ln(p / prev) per key; NaN on the first row and where either side is not positive."""
-    return _returns(prices, log_return, out, price, keys, order, bounded)
+    return _returns(prices, log_return, out, price, keys, order, segment)
 
 
 def beta(

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tapeline.operators.ordered import lag_columns, lay_out, running
+from tapeline.operators.ordered import DAY_NS, Segment, lag_columns, lay_out, running
 
 
 def seq_gap(
@@ -16,7 +18,7 @@ def seq_gap(
     seq: str = "seq",
     keys: Sequence[str] = ("symbol",),
     order: Sequence[str] = ("local_ts",),
-    bounded: bool = False,
+    segment: Segment = DAY_NS,
 ) -> DataFrame:
     """Compare each sequence number with the one expected.
 
@@ -25,7 +27,7 @@ def seq_gap(
     falls, so it is the running maximum of the earlier rows.
     """
     layout = running(
-        lay_out(records, keys, order, bounded), {"_base": ("max", F.col(seq))}, inclusive=False
+        lay_out(records, keys, order, segment), {"_base": ("max", F.col(seq))}, inclusive=False
     )
     expected = F.col("_base") + 1
     got = F.col(seq)
@@ -47,46 +49,58 @@ def seq_gap(
 def reorg_detect(
     blocks: DataFrame,
     *,
-    keys: Sequence[str] = (),
+    keys: Sequence[str] = ("chain",),
     max_depth: int = 100,
     arrival: str = "arrival",
 ) -> DataFrame:
-    """Blocks whose parent hash is not the hash last stored for the block before.
+    """Blocks whose parent is not the stored block before them, by the rule of the live
+    version (`streaming.books`).
 
-    ``arrival`` numbers the blocks as they came in. A block is compared with the latest
-    earlier arrival of the block before it, found by an equi-join on the block number,
-    so one long chain spreads over all tasks. A parent that came more than ``max_depth``
-    arrivals ago is no longer kept. Returns (block_number, fork_point, expected, got).
-    The live version (`streaming.books`) also forgets the blocks above a fork point.
+    The fork point and the blocks above it are forgotten, and the odd block itself is not
+    stored; ``max_depth`` blocks are kept. What is stored depends on every earlier block
+    of the chain, so a chain passes one task, as a stream in order of ``arrival`` that
+    holds ``max_depth`` hashes; chains spread over tasks. Returns the keys,
+    (block_number, fork_point, expected, got).
     """
-    parent = blocks.select(
-        *keys,
-        (F.col("block_number") + 1).alias("block_number"),
-        F.col("block_hash").alias("expected"),
-        F.col(arrival).alias("_at"),
-    )
-    stored = (
-        blocks.join(parent, [*keys, "block_number"])
-        .where(F.col("_at") < F.col(arrival))
-        .groupBy(*keys, "block_number", arrival, "parent_hash")
-        .agg(F.max_by("expected", "_at").alias("expected"), F.max("_at").alias("_at"))
-        .where((F.col("expected") != F.col("parent_hash")) & (F.col(arrival) - F.col("_at") <= max_depth))
-    )
-    return stored.select(
-        *keys,
-        "block_number",
-        (F.col("block_number") - 1).alias("fork_point"),
-        "expected",
-        F.col("parent_hash").alias("got"),
+    columns = [*keys, arrival, "block_number", "block_hash", "parent_hash"]
+    rows = blocks.select(*columns).repartition(*keys).sortWithinPartitions(*keys, arrival)
+    out = T.StructType(
+        [blocks.schema[k] for k in keys]
+        + [T.StructField(n, T.LongType()) for n in ("block_number", "fork_point")]
+        + [T.StructField(n, T.StringType()) for n in ("expected", "got")]
     )
 
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        import pyarrow as pa
+
+        chain, held = None, {}
+        for batch in batches:
+            found = []
+            for row in batch.to_pylist():
+                own = tuple(row[k] for k in keys)
+                if own != chain:
+                    chain, held = own, {}
+                number = row["block_number"]
+                while len(held) >= max_depth:
+                    del held[min(held)]
+                known = held.get(number - 1)
+                if known is not None and known != row["parent_hash"]:
+                    found.append((*own, number, number - 1, known, row["parent_hash"]))
+                    held = {n: h for n, h in held.items() if n < number - 1}
+                else:
+                    held[number] = row["block_hash"]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=out.names)
+
+    return rows.mapInArrow(run, out)
+
 
 def book_gap(
     records: DataFrame,
     *,
     keys: Sequence[str] = ("symbol",),
     order: Sequence[str] = ("local_ts", "seq"),
-    bounded: bool = False,
+    segment: Segment = DAY_NS,
 ) -> DataFrame:
     """Continuity of book deltas within the stretch that a snapshot starts.
 
@@ -97,7 +111,7 @@ def book_gap(
     """
     snap = F.col("is_snapshot")
     layout = running(
-        lay_out(records, keys, order, bounded),
+        lay_out(records, keys, order, segment),
         {
             "_snaps": ("count", F.when(snap, F.lit(1))),
             # a snapshot without a number clears the last one, hence the wrapped value

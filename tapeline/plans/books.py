@@ -387,8 +387,12 @@ def blocks(spark, d):
 
 @query(
     "reorg_detect",
-    """SELECT b.o_orderkey AS block_number, b.o_orderkey - 1 AS fork_point, 'h' || p.o_orderkey AS expected, 'x' || p.o_orderkey AS got
-FROM orders b JOIN orders p ON p.o_orderkey = b.o_orderkey - 1 WHERE b.o_orderpriority = '1-URGENT'""",
+    """WITH runs AS (
+  SELECT o_orderkey AS n, o_orderkey - row_number() OVER (ORDER BY o_orderkey) AS run FROM orders WHERE o_orderpriority = '1-URGENT'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY n) AS place, min(n) OVER (PARTITION BY run) AS first_n FROM runs)
+SELECT 'c' AS chain, n AS block_number, n - 1 AS fork_point, 'h' || (n - 1) AS expected, 'x' || (n - 1) AS got
+FROM placed LEFT JOIN orders p ON p.o_orderkey = first_n - 1
+WHERE (place + CASE WHEN p.o_orderkey IS NULL THEN 1 ELSE 0 END) % 2 = 1""",
 )
 def reorg_detect(spark, d):
     return sq.reorg_detect(blocks(spark, d))

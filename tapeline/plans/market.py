@@ -137,7 +137,8 @@ def vwap(spark, d):
 @query(
     "stream_order_check",
     f"""WITH {TRADES}, t AS (
-  SELECT symbol, id, local_ts, lag(local_ts) OVER (PARTITION BY symbol ORDER BY price, id) AS prev_ts
+  SELECT symbol, id, local_ts, max(local_ts) OVER (PARTITION BY symbol ORDER BY price, id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_ts
   FROM trades)
 SELECT symbol, id, local_ts, prev_ts FROM t WHERE local_ts < prev_ts""",
 )
@@ -304,7 +305,7 @@ market AS (
 
 def _asset_returns(spark, d):
     bars = hourly(spark, d).select("symbol", "bar", "close")
-    return ret.simple_returns(bars, price="close", order=["bar"], out="ret", bounded=True)
+    return ret.simple_returns(bars, price="close", order=["bar"], out="ret", segment=None)
 
 
 @query(
@@ -318,7 +319,7 @@ def beta(spark, d):
     """Hourly beta of each symbol against bars over all trades."""
     t = trades(spark, d).withColumn("symbol", F.lit("index"))
     index = rs.ohlcv_trades(t, "1h", tie=["id"]).select("symbol", "bar", "close")
-    market = ret.simple_returns(index, price="close", order=["bar"], out="market_ret", bounded=True)
+    market = ret.simple_returns(index, price="close", order=["bar"], out="market_ret", segment=None)
     out = ret.beta(_asset_returns(spark, d), market.select("bar", "market_ret"), on=["bar"])
     return r6(out, "beta")
 
@@ -534,7 +535,7 @@ def adjust_prices(spark, d):
 def total_return(spark, d):
     prices, acts = daily_prices(spark, d), corporate_actions(spark, d)
     wide = ca.factor_join(prices, ca.cumulative_factors(prices, acts))
-    out = ca.total_return(ca.adjust_prices(ca.dividend_join(wide, acts)), bounded=True)
+    out = ca.total_return(ca.adjust_prices(ca.dividend_join(wide, acts)), segment=None)
     return r6(out.select("symbol", "date", "total_return"), "total_return")
 
 
@@ -546,7 +547,7 @@ def total_return(spark, d):
        round(CASE WHEN prev <> 0 THEN (adj_close + div_cash / cfacpr) / prev - 1 END + 2.7e-8, 6) AS total_return FROM tr""",
 )
 def adjust_dataframe(spark, d):
-    out = ca.adjust_dataframe(daily_prices(spark, d), corporate_actions(spark, d), bounded=True)
+    out = ca.adjust_dataframe(daily_prices(spark, d), corporate_actions(spark, d), segment=None)
     out = r6(out, "close", "cfacpr", "cfacshr", "div_cash", "total_return")
     out = r6(out, *_ADJ, digits=4)
     return out.select("symbol", "date", "close", "cfacpr", "cfacshr", "div_cash", *_ADJ, "total_return")

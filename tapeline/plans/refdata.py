@@ -78,7 +78,7 @@ def order_facts(spark, d):
         F.col("o_totalprice").alias("val"),
         F.concat(year.cast("string"), F.lit("-12-31")).alias("end"),
         year.cast("long").alias("fy"),
-        F.lit("FY").alias("fp"),
+        F.when(F.col("o_orderstatus") == "F", "Q4").otherwise("FY").alias("fp"),
         F.when(F.col("o_orderstatus") != "P", F.date_format("o_orderdate", "yyyy-MM")).alias("filed"),
         F.when(F.col("o_orderstatus") == "O", F.lit("CY")).alias("frame"),
         F.col("o_orderkey").alias("ord"),
@@ -87,16 +87,16 @@ def order_facts(spark, d):
 
 FACTS = """facts AS (
   SELECT 'cust:' || o_custkey AS symbol, o_orderpriority AS tag, o_totalprice AS val, year(o_orderdate) || '-12-31' AS "end",
-         year(o_orderdate) AS fy, CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y-%m') END AS filed,
+         year(o_orderdate) AS fy, CASE WHEN o_orderstatus = 'F' THEN 'Q4' ELSE 'FY' END AS fp, CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y-%m') END AS filed,
          CASE WHEN o_orderstatus = 'O' THEN 'CY' END AS frame, o_orderkey AS ord FROM orders),
 latest AS (
-  SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY symbol, tag, "end" ORDER BY coalesce(filed, '') DESC, frame IS NOT NULL DESC, ord) = 1)"""
+  SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY symbol, tag, "end", fp ORDER BY coalesce(filed, '') DESC, frame IS NOT NULL DESC, ord) = 1)"""
 
 
-@query("facts_latest", f"""WITH {FACTS} SELECT symbol, tag, "end", fy, val, filed, frame, ord FROM latest""")
+@query("facts_latest", f"""WITH {FACTS} SELECT symbol, tag, "end", fy, fp, val, filed, frame, ord FROM latest""")
 def facts_latest(spark, d):
     out = fc.facts_latest(order_facts(spark, d), ord="ord")
-    return out.select("symbol", "tag", "end", "fy", "val", "filed", "frame", "ord")
+    return out.select("symbol", "tag", "end", "fy", "fp", "val", "filed", "frame", "ord")
 
 
 RATIO_TAGS = {
@@ -117,15 +117,15 @@ def _tag(name):
 
 @query(
     "ratios",
-    f"""WITH {FACTS} SELECT symbol, "end", """
+    f"""WITH {FACTS} SELECT symbol, "end", fy, fp, """
     + ", ".join(f"{rnd(f'{_tag(a)} / {_tag(b)}')} AS {n}" for n, (_, a, b) in rt.RATIOS.items())
-    + """ FROM latest GROUP BY 1, 2""",
+    + """ FROM latest GROUP BY 1, 2, 3, 4""",
 )
 def ratios(spark, d):
     facts = order_facts(spark, d)
     latest = fc.facts_latest(facts, ord="ord")
-    out = fc.ratios(latest, RATIO_TAGS)
-    return r6(out.select("symbol", "end", *rt.RATIOS), *rt.RATIOS)
+    out = fc.ratios(latest, RATIO_TAGS, ord="ord")
+    return r6(out.select("symbol", "end", "fy", "fp", *rt.RATIOS), *rt.RATIOS)
 
 
 # -- security master --------------------------------------------------------------

@@ -43,12 +43,11 @@ def quote_stream(spark, d):
 
 
 def _bars(source: str, price: str, width: int, label: str, tie: str, volume: str, vwap: str) -> str:
-    # a bar is out once the newest row is one interval (the allowed delay) past its end
     bar = bucket_sql("local_ts", width)
     return f"""SELECT symbol, {bar} AS bar, '{label}' AS interval, {rnd(f'first({price} ORDER BY local_ts, {tie})')} AS open,
        {rnd(f'max({price})')} AS high, {rnd(f'min({price})')} AS low, {rnd(f'last({price} ORDER BY local_ts, {tie})')} AS close,
        {rnd(volume)} AS volume, {rnd(vwap)} AS vwap, count(*) AS trade_count
-FROM {source} GROUP BY symbol, {bar} HAVING {bar} + {2 * width} <= (SELECT max(local_ts) FROM {source})"""
+FROM {source} GROUP BY symbol, {bar}"""
 
 
 @query(
@@ -56,7 +55,10 @@ FROM {source} GROUP BY symbol, {bar} HAVING {bar} + {2 * width} <= (SELECT max(l
     f"WITH {TRADES} {_bars('trades', 'price', HOUR, '1h', 'id', 'sum(size)', 'sum(price * size) / sum(size)')}",
 )
 def stream_bars(spark, d):
-    return r6(drain(sb.stream_bars(trade_stream(spark, d), "1h", tie=["id"]), "bars"), *BAR_DOUBLES)
+    """The bars that the stream emits and those that its end leaves open."""
+    live = drain(sb.stream_bars(trade_stream(spark, d), "1h", tie=["id"]), "bars")
+    rest = sb.closing_bars(roles.trades(spark, d), "1h", tie=["id"])
+    return r6(live.unionByName(rest), *BAR_DOUBLES)
 
 
 @query(
@@ -65,8 +67,10 @@ def stream_bars(spark, d):
 {_bars('q', 'px', WEEK, '1w', 'id, bid_px, ask_px', '0.0::DOUBLE', 'avg(px)')}""",
 )
 def stream_bars_quotes(spark, d):
-    bars = sb.stream_bars(quote_stream(spark, d), "1w", kind="quote", tie=["id", "bid_px", "ask_px"])
-    return r6(drain(bars, "quote-bars"), *BAR_DOUBLES)
+    how = {"kind": "quote", "tie": ["id", "bid_px", "ask_px"]}
+    live = drain(sb.stream_bars(quote_stream(spark, d), "1w", **how), "quote-bars")
+    rest = sb.closing_bars(roles.fills(spark, d), "1w", **how)
+    return r6(live.unionByName(rest), *BAR_DOUBLES)
 
 
 @query("stream_dedup", "SELECT event_id AS id, event_type AS provider FROM events")

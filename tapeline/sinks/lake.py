@@ -19,6 +19,7 @@ from tapeline.sinks.conform import (
     drop_unsafe_keys,
 )
 
+REJECTED = "_rejected"
 EXPORT_FORMATS = ("parquet", "csv", "arrow", "json", "jsonl")
 
 
@@ -48,22 +49,51 @@ def lake_rows(df: DataFrame, channel: str, buckets: int = BUCKETS) -> DataFrame:
 def lake_write(df: DataFrame, channel: str, root: str, *, buckets: int = BUCKETS) -> None:
     """Append records to ``root/provider=/channel=/date=/bucket=``.
 
-    Rows with an unsafe provider are left out; get them from ``drop_unsafe_keys``.
+    Rows whose provider may not name a folder go to ``root/_rejected/<channel>``. The
+    number of buckets is noted with the lake, so that scans can prune by it; a lake keeps
+    the number it began with.
     """
-    safe, _ = drop_unsafe_keys(lake_rows(df, channel, buckets))
+    note_buckets(df.sparkSession, root, buckets)
+    safe, unsafe = drop_unsafe_keys(lake_rows(df, channel, buckets))
     _write_partitions(safe, root, "append")
+    unsafe.write.mode("append").parquet(f"{root}/{REJECTED}/{channel}")
+
+
+def note_buckets(spark: SparkSession, root: str, buckets: int) -> None:
+    from tapeline.sources.lake import BUCKET_NOTE, bucket_count
+
+    noted = bucket_count(spark, root)
+    if noted is None:
+        one = spark.range(1).select(F.lit(buckets).cast("int").alias("buckets"))
+        one.coalesce(1).write.mode("ignore").parquet(f"{root}/{BUCKET_NOTE}")
+    elif noted != buckets:
+        raise ValueError(f"the lake has {noted} buckets, not {buckets}")
 
 
 def compact(spark: SparkSession, root: str, channel: str, date: str) -> None:
     """Rewrite one (channel, date) as few files, ordered by symbol and time.
 
-    The rows are staged first, then the touched folders are swapped in one commit.
+    The rows are staged first, then the touched folders are swapped in one commit. Files
+    that an older writer left without a bucket get theirs and are removed once their rows
+    are in the new folders. The staged table stays until then; a stop in between leaves
+    the old files to be removed by hand. Appends to the same date must wait.
     """
-    from tapeline.sources.lake import read_channel
+    from tapeline.sources.lake import bucket_count, read_channel
 
+    flat = _files(spark, f"{root}/provider=*/channel={channel}/date={date}/*.parquet")
     rows = read_channel(spark, root, channel, dates=[date])
+    own = F.pmod(F.hash("symbol"), F.lit(bucket_count(spark, root) or BUCKETS)).cast("int")
+    rows = rows.withColumn("bucket", F.coalesce("bucket", own))
     staged = materialize(rows.select(*channel_schema(channel).names), "compact")
     _write_partitions(staged, root, "overwrite", partitionOverwriteMode="dynamic")
+    for path in flat:
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+
+
+def _files(spark: SparkSession, glob: str) -> list:
+    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return [s.getPath() for s in found if s.isFile()]
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -155,4 +185,5 @@ def limit_rows(df: DataFrame, limit: int | None, order: str = "local_ts") -> Dat
         return df
     if limit < 0:
         raise ValueError(f"limit must be >= 0, got {limit}")
-    return df.orderBy(order).limit(limit)
+    ties = [c for c in ("provider", "symbol", "source_ts") if c in df.columns and c != order]
+    return df.orderBy(order, *ties).limit(limit)

@@ -14,8 +14,10 @@ from tapeline.functions.timefns import date_bounds
 from tapeline.schema import CHANNELS, PARTITION_COLUMNS, channel_schema
 
 LONG_MAX = 9_223_372_036_854_775_807
-# Ranges up to this many days are listed folder by folder instead of all at once.
-MAX_LISTED_DAYS = 400
+# A one-row table below the lake's root; its name keeps it out of the data folders.
+BUCKET_NOTE = "_buckets"
+# Equal times fall into the same order in every run.
+SCAN_ORDER = ["local_ts", "provider", "symbol", "source_ts"]
 
 
 def _read(spark: SparkSession, root: str, schema: T.StructType, glob: str) -> DataFrame | None:
@@ -57,16 +59,33 @@ def read_channel(
 
 
 def dates_between(start_ns: int, end_ns: int) -> list[str] | None:
-    """UTC dates of an inclusive range; none when there are too many to list."""
+    """UTC dates of an inclusive range; none for a range without a last day."""
     import datetime as dt
 
     first, last = (dt.date.fromisoformat(d) for d in date_bounds(start_ns, end_ns))
-    days = (last - first).days + 1
-    if days > MAX_LISTED_DAYS:
+    if end_ns >= LONG_MAX:
         return None
+    days = (last - first).days + 1
     return [(first + dt.timedelta(days=i)).isoformat() for i in range(days)]
 
 
+def bucket_count(spark: SparkSession, root: str) -> int | None:
+    """The number of buckets that the lake's writer noted, if it did."""
+    try:
+        noted = spark.read.schema("buckets int").parquet(f"{root}/{BUCKET_NOTE}").first()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return noted["buckets"] if noted else None
+
+
+def filter_buckets(df: DataFrame, symbols: Sequence[str], buckets: int) -> DataFrame:
+    """Only the folders that can hold the symbols, and files without a bucket."""
+    wanted = [F.pmod(F.hash(F.lit(s)), F.lit(buckets)) for s in symbols]
+    return df.where(F.col("bucket").isin(*wanted) | F.col("bucket").isNull())
+
+
 def filter_symbol_time(
     df: DataFrame, symbols: Sequence[str] | None, start_ns: int | None, end_ns: int | None
 ) -> DataFrame:
@@ -101,8 +120,10 @@ def lake_scan_many(
         return spark.createDataFrame([], channel_schema(channel))
     df = read_channel(spark, root, channel, dates_between(start_ns, end_ns))
     first, last = date_bounds(start_ns, end_ns)
+    if symbols is not None and (buckets := bucket_count(spark, root)):
+        df = filter_buckets(df, symbols, buckets)
     df = filter_symbol_time(df.where(F.col("date").between(first, last)), symbols, start_ns, end_ns)
-    return df.orderBy("local_ts") if ordered else df
+    return df.orderBy(*SCAN_ORDER) if ordered else df
 
 
 def lake_scan(

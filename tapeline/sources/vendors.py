@@ -344,10 +344,6 @@ def src_company_facts(
         facts = facts.withColumn("_sym", _null("string"))
     symbol = F.coalesce("_sym", F.concat(F.lit("CIK"), normalize_cik(F.col("cik").cast("string"))))
     fp = F.when(F.col("_f.fp").isin(*FISCAL_PERIODS), F.col("_f.fp"))
-    # place in the file: the first of equal facts wins later on
-    place = F.lit(0).cast("long")
-    for col in ("_o1", "_o2", "_o3"):
-        place = (place + F.col(col)) * 100_000
     return facts.select(
         *_record(provider, symbol, symbol, _null("long"), F.lit(0) if local_ts is None else local_ts),
         "taxonomy",
@@ -359,7 +355,8 @@ def src_company_facts(
         F.col("_f.fy").alias("fy"),
         fp.alias("fp"),
         *[F.col(f"_f.{c}").alias(c) for c in ("form", "filed", "accn", "frame")],
-        (place + F.col("_o4")).alias("ord"),
+        # place in the file: the first of equal facts wins later on
+        F.array("_o1", "_o2", "_o3", "_o4").alias("ord"),
     )
 
 

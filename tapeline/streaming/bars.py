@@ -85,6 +85,24 @@ def stream_bars(
     )
 
 
+def closing_bars(records: DataFrame, interval: str, *, ts: str = "local_ts", delay: str | None = None, **options) -> DataFrame:
+    """Bars that a bounded stream leaves open when its source ends.
+
+    ``records`` is the same source read as a table. A stream emits a bar once the newest
+    row is ``delay`` past its end; this gives the other bars, from their rows alone, so
+    that both together are complete.
+    """
+    width = parse_interval(interval)
+    wait = F.expr(f"INTERVAL {delay}") if delay else F.expr(f"INTERVAL {width // 1000} MICROSECONDS")
+    newest = records.agg(F.max(ts).alias("_n")).select((ts_from_ns(F.col("_n")) - wait).alias("_mark"))
+    shift = MONDAY_ORIGIN % width if width > DAY or DAY % width else 0
+    window = F.window("_t", f"{width // 1000} microseconds", startTime=f"{shift // 1000} microseconds")
+    timed = records.withColumn("_t", ts_from_ns(F.col(ts))).withColumn("_end", window["end"])
+    # one row on the right: the mark that the stream's watermark ended at
+    open_rows = timed.join(F.broadcast(newest), F.col("_end") > F.col("_mark")).select(*records.columns)
+    return stream_bars(open_rows, interval, ts=ts, delay=delay, **options)
+
+
 def stream_dedup(
     records: DataFrame,
     *,

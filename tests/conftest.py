@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tapeline.operators.ordered import LIMIT_CONF  # noqa: E402
+from tapeline.operators import ordered  # noqa: E402
 from tapeline.session import local_session  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -19,13 +19,15 @@ def spark():
     session.stop()
 
 
-@pytest.fixture(params=[None, 7], ids=["whole", "split"])
-def segments(request, spark):
-    """Run a test with whole keys and with keys cut into tiny segments."""
-    if request.param:
-        spark.conf.set(LIMIT_CONF, str(request.param))
-    yield request.param
-    spark.conf.unset(LIMIT_CONF)
+@pytest.fixture(params=[None, 7, 70], ids=["whole", "rows", "split"])
+def segments(request, monkeypatch):
+    """Run a test with whole keys and with keys cut into segments of other widths."""
+    cut = ordered._segment_of
+    width = request.param
+    monkeypatch.setattr(
+        ordered, "_segment_of", lambda df, order, _: cut(df, order, width) if width else None
+    )
+    return width
 
 
 def near(got, want, tol=1e-9):

@@ -58,6 +58,7 @@ def test_scan_prunes(spark, lake):
     assert all("date=2023-11-14" in f for f in df.inputFiles())
     assert src.dates_between(DAY1, DAY2) == ["2023-11-14", "2023-11-15"]
     assert src.dates_between(0, 9_999_999_999_999_999_999) is None
+    assert len(src.dates_between(0, 500 * 86_400 * 10**9)) == 501
 
 
 def test_unbucketed_files(spark, tmp_path):
@@ -83,6 +84,45 @@ def test_compact(spark, tmp_path):
     assert src.read_channel(spark, root, "trade").count() == 12
 
 
+def test_compact_moves_files_without_a_bucket(spark, tmp_path):
+    """Rows of an older writer move into buckets once, and stay once."""
+    root = str(tmp_path)
+    old = out.lake_rows(trades(spark), "trade").drop("bucket", "venue", "exchange")
+    old.write.mode("append").partitionBy("provider", "channel", "date").parquet(root)
+    out.lake_write(trades(spark), "trade", root)
+    before = src.read_channel(spark, root, "trade").count()
+    for _ in range(2):
+        out.compact(spark, root, "trade", "2023-11-14")
+        back = src.read_channel(spark, root, "trade")
+        assert back.count() == before
+        assert back.where("date = '2023-11-14' AND bucket IS NULL").isEmpty()
+
+
+def test_scan_reads_one_bucket(spark, tmp_path):
+    root = str(tmp_path)
+    many = spark.range(200).select(
+        F.lit("p").alias("provider"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("symbol"),
+        F.lit("x").alias("symbol_raw"), F.lit(DAY1).alias("local_ts"), F.lit(1.0).alias("price"), F.lit(1.0).alias("size"),
+    )
+    out.lake_write(many, "trade", root, buckets=16)
+    got = src.lake_scan(spark, root, "trade", "s7", DAY1, DAY2)
+    assert [r.symbol for r in got.collect()] == ["s7"]
+    folders = {f.rsplit("/", 2)[1] for f in src.filter_buckets(src.read_channel(spark, root, "trade"), ["s7"], 16).select(F.input_file_name()).distinct().toPandas().iloc[:, 0]}
+    assert len(folders) == 1
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters", 1)[1].split("]", 1)[0]
+    with pytest.raises(ValueError):
+        out.lake_write(many, "trade", root, buckets=8)
+
+
+def test_rejected_rows_are_kept(spark, tmp_path):
+    root = str(tmp_path)
+    bad = trades(spark).withColumn("provider", F.lit("no folder/name"))
+    out.lake_write(bad, "trade", root)
+    assert src.read_channel(spark, root, "trade").count() == 0
+    assert spark.read.parquet(f"{root}/{out.REJECTED}/trade").count() == bad.count()
+
+
 def test_conform(spark):
     lv = "array<struct<price:double,amount:double>>"
     df = spark.createDataFrame([("p", "s", 1, [(1.0, 2.0)], None)], f"provider string, symbol string, local_ts long, bids {lv}, asks {lv}")

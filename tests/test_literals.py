@@ -274,7 +274,8 @@ def test_calendar_2026(spark):
         return int(dt.datetime(*a, tzinfo=dt.UTC).timestamp()) * S
 
     stamps = {ns(2026, 1, 7, 15, 0): True, ns(2026, 1, 7, 14, 0): False, ns(2026, 1, 7, 21, 0): True, ns(2026, 1, 7, 21, 30): False,
-              ns(2026, 7, 1, 13, 30): True, ns(2026, 11, 27, 18, 0): True, ns(2026, 11, 27, 18, 1): False, ns(2026, 1, 10, 16, 0): False}
+              ns(2026, 7, 1, 13, 30): True, ns(2026, 11, 27, 18, 0): True, ns(2026, 11, 27, 18, 1): False, ns(2026, 1, 10, 16, 0): False,
+              ns(1985, 1, 8, 16, 0): True, ns(2101, 1, 5, 16, 0): True}
     df = spark.createDataFrame([(t,) for t in stamps], "local_ts long")
     kept = {r.local_ts for r in cal.session_filter(df).collect()}
     assert kept == {t for t, ok in stamps.items() if ok}

@@ -8,6 +8,7 @@ from conftest import all_near
 from pyspark.sql import functions as F
 
 from tapeline.operators import indicators as ind
+from tapeline.operators import resample as rs
 from tapeline.operators import returns as ret
 from tapeline.operators import sequence as sq
 from tapeline.operators.ordered import lag_columns, lay_out, running
@@ -237,11 +238,44 @@ def test_seq_gap(spark, segments):
 
 def test_segments_are_bounded(spark):
     """One key with all rows is really cut, and its rows stay whole."""
-    spark.conf.set("spark.tapeline.rowsPerSegment", "50")
-    try:
-        df = spark.range(1000).select(F.lit("k").alias("symbol"), F.col("id").alias("local_ts"))
-        layout = lay_out(df, ["symbol"], ["local_ts"])
-        sizes = [r["count"] for r in layout.df.groupBy(*layout.part).count().collect()]
-        assert layout.split and sum(sizes) == 1000 and len(sizes) > 10 and max(sizes) < 200
-    finally:
-        spark.conf.unset("spark.tapeline.rowsPerSegment")
+    df = spark.range(1000).select(F.lit("k").alias("symbol"), F.col("id").alias("local_ts"))
+    layout = lay_out(df, ["symbol"], ["local_ts"], 50)
+    sizes = [r["count"] for r in layout.df.groupBy(*layout.part).count().collect()]
+    assert layout.split and sizes == [50] * 20
+
+
+def test_building_a_plan_starts_no_job(spark):
+    sc = spark.sparkContext
+    sc.setJobGroup("plan-only", "no job may start here")
+    df = frame(spark, prices(3))
+    ret.simple_returns(df)
+    ind.ema(df, 5)
+    ind.macd(df)
+    ind.rsi(df, 5)
+    sq.seq_gap(df.withColumn("seq", F.col("local_ts")))
+    assert list(sc.statusTracker().getJobIdsForGroup("plan-only")) == []
+    sc.setJobGroup("", "")
+
+
+def test_descending_order(spark, segments):
+    """Running values and lags from the newest row back."""
+    rows = prices(11, holes=0.3)
+    layout = lay_out(frame(spark, rows), ["symbol"], ["-local_ts"])
+    price = F.col("price")
+    layout = running(layout, {"seen": ("last", price), "n": ("count", price)}, inclusive=False)
+    got = lag_columns(layout, {"next": (price, 1)}).done()
+
+    def seen(xs):
+        return [next((x for x in xs[i + 1 :] if x is not None), None) for i in range(len(xs))]
+
+    check(got, "seen", rows, seen)
+    check(got, "n", rows, lambda xs: [sum(x is not None for x in xs[i + 1 :]) for i in range(len(xs))])
+    check(got, "next", rows, lambda xs: [*xs[1:], None])
+
+
+def test_order_violations_look_at_all_earlier_rows(spark, segments):
+    df = spark.createDataFrame(
+        [("a", i, t) for i, t in enumerate([10, 5, 7, 11, 11])], "symbol string, arrival long, local_ts long"
+    )
+    bad = rs.order_violations(df, arrival=["arrival"]).collect()
+    assert sorted((r.arrival, r.prev_ts) for r in bad) == [(1, 10), (2, 10)]
