@@ -49,7 +49,7 @@ REWEIGHT = 12.833
 BINS, LOW, HIGH = 512, -12.0, 28.0
 SYMBOLS = b"#*$%&|<>"
 FEATURES = ("f1", "f2", "f3", "f4", "f5")
-FLOOR = (0.25, 0.06, 0.30, 0.20, 0.20)
+FLOOR = (0.25, 0.06, 0.30, 0.35, 0.35)
 P = len(FEATURES)
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 #: The covariance of the central share of a normal distribution, times this, is its own:
