@@ -31,7 +31,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -45,7 +44,7 @@ from pyspark.sql import functions as F
 from tapeline.llm.common import chunks, text_bytes, valid_text
 from tapeline.session import materialize
 
-HEAD, CLASS_WORDS, TAIL = 768, 32, 40
+HEAD, CLASS_WORDS, TAIL = 512, 32, 32
 HEAD_CLASSES = HEAD // CLASS_WORDS
 CLASSES = HEAD_CLASSES + TAIL
 SHARED = 65_536
@@ -57,65 +56,85 @@ ROUNDS = 2
 SLOTS = 16
 #: Tokens that a task lays on its streams at a time.
 BATCH_TOKENS = 6_000_000
+#: Words beyond the shared ones that a task remembers.
+REMEMBERED = 250_000
 #: Tokens of a training document that follow each other on a stream; a longer document is
 #: cut, so that streams stay of a length. Scoring never cuts.
 PIECE = 1024
 #: The end token; no word holds a space.
 END = b" "
 #: Steps whose outputs are worked on at a time, so that they stay in the cache.
-OUTPUT_ROWS = 4096
+OUTPUT_ROWS = 8192
 ONES = np.ones(max(CLASSES, CLASS_WORDS), np.float32)
-MARKS = b".,;:!?|&#*$%\"'()"
 
 
 def tail_class(word: bytes) -> int:
-    """Class of a word by its last two bytes before marks, and the mark."""
-    bare = word.rstrip(MARKS)
-    ending = bare[-2:] + (word[-1:] if len(bare) < len(word) else b"")
-    return HEAD_CLASSES + zlib.crc32(ending) % TAIL
+    """Class of a word by its last three bytes."""
+    return HEAD_CLASSES + int.from_bytes(word[-3:], "big") % TAIL
 
 
 def tokens(text: bytes) -> list[bytes]:
-    return [*text.lower().split(), END]
+    words = text.lower().split()
+    words.append(END)
+    return words
 
 
-class InputNumbers(dict):
-    """Input number of a word: a head word's own, or HEAD + tail class, remembered."""
+class Places(dict):
+    """Place of a word among the shared ones; for another, their number + tail class.
 
-    def __init__(self, head: list[bytes]):
-        super().__init__((w, i) for i, w in enumerate(head))
+    Other words are remembered up to a bound.
+    """
+
+    def __init__(self, shared: list[bytes]):
+        super().__init__(zip(shared, range(len(shared))))
+        self.shared = len(shared)
 
     def __missing__(self, word: bytes) -> int:
-        found = self[word] = HEAD + tail_class(word) - HEAD_CLASSES
-        return found
+        place = self[word] = self.shared + tail_class(word) - HEAD_CLASSES
+        return place
+
+    def __reduce__(self):
+        return Places, (sorted((w for w, i in self.items() if i < self.shared), key=self.get),)
 
 
 @dataclass
 class Vocabulary:
-    """What every task knows of the counts: bounded in size, whatever the corpus."""
+    """What every task knows of the counts: bounded in size, whatever the corpus.
+
+    ``shared`` lists the most frequent words with their counts, the first ``HEAD`` of
+    them being those that have a softmax of their own; the end token is among these.
+    """
 
     total: int  # N
     types: int  # V
-    shared: dict[bytes, int]  # counts of the most frequent words
-    head: list[bytes]
+    shared: dict[bytes, int]
     class_mass: np.ndarray
-    known: InputNumbers = field(default_factory=lambda: InputNumbers([]))
+    places: Places = field(init=False)
 
     def __post_init__(self):
-        self.known = InputNumbers(self.head)
-
-    def __getstate__(self):
-        return {**self.__dict__, "known": None}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.known = InputNumbers(self.head)
+        words = list(self.shared)
+        self.places = Places(words)
+        counts = np.array([*self.shared.values(), *[0] * TAIL], float)
+        rare = np.arange(len(words)) >= HEAD
+        kinds = [tail_class(w) - HEAD_CLASSES for w in words[HEAD:]]
+        # input number of each place: a head word's own, or HEAD + tail class
+        self.number = np.array([*range(min(HEAD, len(words))), *(HEAD + k for k in kinds), *range(HEAD, HEAD + TAIL)], np.int32)
+        self.is_shared = np.arange(len(counts)) < len(words)
+        self.known = self.is_shared & (counts > 0)
+        self.log_count = np.where(self.is_shared, np.log10(counts + 0.1), 0.0)
+        self.log_rare = np.where(np.append(rare, [False] * TAIL), self.log_count, 0.0)
+
+    @property
+    def end(self) -> int:
+        return int(self.number[self.places[END]])
+
+    def places_of(self, words: list[bytes]) -> np.ndarray:
+        if len(self.places) > len(self.shared) + REMEMBERED:
+            self.places = Places(list(self.shared))
+        return np.fromiter(map(self.places.__getitem__, words), np.int32, len(words))
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > 300_000:
-            known = self.known = InputNumbers(self.head)
-        return np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+        return self.number[self.places_of(words)]
 
 
 class Model:
@@ -149,8 +168,8 @@ class Model:
         model.uc[:] = rng.normal(0, 0.3, model.uc.shape)
         model.bx[:HIDDEN] = -1.0  # mostly remember
         counts = np.zeros(HEAD)
-        for i, w in enumerate(vocabulary.head):
-            counts[i] = vocabulary.shared[w]
+        first = list(vocabulary.shared.values())[:HEAD]
+        counts[: len(first)] = first
         shares = (counts + 0.1).reshape(HEAD_CLASSES, CLASS_WORDS)
         model.wi[:, HIDDEN] = np.log(shares / shares.sum(axis=1, keepdims=True))
         mass = vocabulary.class_mass
@@ -353,12 +372,17 @@ def score_streams(m: Model, docs: list[np.ndarray], end: int) -> np.ndarray:
     s = lay(docs, end)
     h = np.zeros((s.inputs.shape[1], HIDDEN), np.float32)
     total = np.zeros(len(docs))
-    for i, active in enumerate(s.active.tolist()):
-        part = slice(i * WINDOW, (i + 1) * WINDOW)
+    i = 0
+    while i < len(s.active):
+        # few streams step further at a time; the state goes on in any case
+        active = int(s.active[i])
+        ahead = max(1, min(STREAMS // (2 * active), 64))
+        part = slice(i * WINDOW, (i + ahead) * WINDOW)
         owner = s.owner[part, :active]
         live = owner >= 0
         logp, h = window(m, s.inputs[part, :active], s.targets[part, :active], s.fresh[part, :active], live, h[:active], None)
         total += np.bincount(owner[live], weights=logp[live], minlength=len(docs))
+        i += ahead
     return total
 
 
@@ -383,7 +407,9 @@ def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
         for batch in chunks(batches):
             whole, ends = valid_text(*text_bytes(batch.column("text")))
-            seen.update(whole.lower().split() if len(ends) == 2 else _joined(whole, ends))
+            cut = ends.tolist()
+            for a, b in zip(cut, cut[1:]):
+                seen.update(whole[a:b].lower().split())
             seen[END] += batch.num_rows
             if len(seen) > 400_000:
                 yield out()
@@ -394,21 +420,18 @@ def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return src.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def _joined(whole: bytes, ends: np.ndarray) -> Iterator[bytes]:
-    cut = ends.tolist()
-    for a, b in zip(cut, cut[1:]):
-        yield from whole[a:b].lower().split()
-
-
 def learn_vocabulary(counts: DataFrame) -> Vocabulary:
     """Totals, class masses and the most frequent words: what the driver gathers is bounded."""
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     top = counts.orderBy(F.desc("c"), "word").limit(SHARED).collect()
-    shared = {r["word"].encode("utf-8"): int(r["c"]) for r in top}
-    head = list(shared)[:HEAD]
-    if END not in head:
-        head = [*head[: HEAD - 1], END]
-        shared.setdefault(END, 0)
+    found = {r["word"].encode("utf-8"): int(r["c"]) for r in top}
+    order = list(found)
+    if END not in order[:HEAD]:
+        # the end token always has a place in the head
+        order = [w for w in order if w != END]
+        order.insert(HEAD - 1, END)
+    shared = {w: found.get(w, 0) for w in order}
+    head = order[:HEAD]
     in_head = set(head)
 
     def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,7 +453,7 @@ def learn_vocabulary(counts: DataFrame) -> Vocabulary:
     for i in range(HEAD_CLASSES):
         own = head[i * CLASS_WORDS : (i + 1) * CLASS_WORDS]
         mass[i] = sum(shared[w] + 0.1 for w in own) + 1e-9
-    return Vocabulary(int(totals["n"] or 0), int(totals["v"] or 0), shared, head, mass)
+    return Vocabulary(int(totals["n"] or 0), int(totals["v"] or 0), shared, mass)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
@@ -451,7 +474,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     model = Model.start(vocabulary)
     words = spark.sparkContext.broadcast(vocabulary)
-    end = vocabulary.known[END]
+    end = vocabulary.end
     src = _texts(docs, id_col, text_col)
     turn = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(ROUNDS))
     for r in range(ROUNDS):
@@ -511,31 +534,30 @@ def score(
     """doc_id, n_tokens, n_known, base_score and score (log10) of every whole text."""
     sc = docs.sparkSession.sparkContext
     known, weights = sc.broadcast(vocabulary), sc.broadcast(model.flat)
-    end = vocabulary.known[END]
+    end = vocabulary.end
     src = _texts(docs, id_col, text_col)
     kind = src.schema["doc_id"].dataType.simpleString()
     info = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("lm", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, m = known.value, Model(weights.value.copy())
-        log_c = {w: math.log10(c + 0.1) for w, c in v.shared.items()}
-        share = np.log10(v.class_mass)
-
+        share = np.append(np.zeros(HEAD), np.log10(v.class_mass[HEAD_CLASSES:]))
+        n_shared = len(v.shared)
 
         def finish(docs: list[tuple], numbers: list[np.ndarray]) -> pa.RecordBatch:
             lm = score_streams(m, numbers, end) / math.log(10)
             ids, keys, words, times, notes = [], [], [], [], []
-            for d, (doc_id, key, n_known, base, rare_known, rest) in enumerate(docs):
-                tail = numbers[d][numbers[d] >= HEAD] - HEAD + HEAD_CLASSES
-                own_lm = float(lm[d] + rare_known - share[tail].sum())
-                note = {"n_tokens": len(numbers[d]), "n_known": n_known, "base": base, "lm": own_lm}
+            for d, (doc_id, key, note, rest) in enumerate(docs):
+                note["lm"] += float(lm[d])
                 # a word of its own keeps this row apart from all words
-                for w, t, x in ((f" {key}".encode(), 0, note), *((w, t, None) for w, t in rest)):
-                    ids.append(doc_id)
-                    keys.append(key)
-                    words.append(w)
-                    times.append(t)
-                    notes.append(x)
+                ids += [doc_id] * (len(rest) + 1)
+                keys += [key] * (len(rest) + 1)
+                words.append(f" {key}".encode())
+                words += rest
+                times.append(0)
+                times += rest.values()
+                notes.append(note)
+                notes += [None] * len(rest)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, id_type),
@@ -549,21 +571,29 @@ def score(
 
         docs, numbers, n = [], [], 0
         for batch, lists in _documents(batches):
-            for doc_id, key, own in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), lists):
-                base, n_known, rare_known, rest = 0.0, 0, 0.0, []
-                for w, t in Counter(own).items():
-                    value = log_c.get(w)
-                    if value is None:
-                        rest.append((w, t))
-                        continue
-                    base += t * value
-                    if v.shared[w]:
-                        n_known += t
-                    if v.known[w] >= HEAD:
-                        rare_known += t * value
-                docs.append((doc_id, key, n_known, base, rare_known, rest))
-                numbers.append(v.numbers(own))
-                n += len(own)
+            lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+            starts = np.cumsum(lengths) - lengths
+            flat = [w for own in lists for w in own]
+            places = v.places_of(flat)
+            number = v.number[places]
+            base = np.add.reduceat(v.log_count[places], starts)
+            local = np.add.reduceat(v.log_rare[places] - share[number], starts)
+            known_here = np.add.reduceat(v.known[places].astype(np.int64), starts)
+            rest: list[Counter[bytes]] = [Counter() for _ in lists]
+            rare = np.flatnonzero(places >= n_shared)
+            for d, i in zip((np.searchsorted(starts, rare, side="right") - 1).tolist(), rare.tolist()):
+                rest[d][flat[i]] += 1
+            rows = zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist())
+            for d, (doc_id, key) in enumerate(rows):
+                note = {
+                    "n_tokens": int(lengths[d]),
+                    "n_known": int(known_here[d]),
+                    "base": float(base[d]),
+                    "lm": float(local[d]),
+                }
+                docs.append((doc_id, key, note, rest[d]))
+            numbers += np.split(number, starts[1:])
+            n += len(flat)
             if n >= BATCH_TOKENS:
                 yield finish(docs, numbers)
                 docs, numbers, n = [], [], 0

@@ -195,7 +195,7 @@ def small_vocabulary(rng):
     for k in range(gru.HEAD_CLASSES):
         own = head[k * gru.CLASS_WORDS : (k + 1) * gru.CLASS_WORDS]
         mass[k] = sum(counts[w] + 0.1 for w in own) + 1e-9
-    return gru.Vocabulary(sum(counts.values()), len(counts), dict(top), head, mass), words
+    return gru.Vocabulary(sum(counts.values()), len(counts), dict(top), mass), words
 
 
 @pytest.fixture(scope="module")
@@ -210,7 +210,7 @@ def language():
 
 def test_gradient(language):
     vocabulary, docs, model = language
-    s = gru.lay(docs[:8], vocabulary.known[gru.END])
+    s = gru.lay(docs[:8], vocabulary.end)
     live = s.owner[:7] >= 0
 
     def start():
@@ -237,7 +237,7 @@ def test_gradient(language):
 def test_scores_follow_the_whole_document(language):
     """Step by step in plain Python, whatever documents share the streams."""
     vocabulary, docs, m = language
-    end = vocabulary.known[gru.END]
+    end = vocabulary.end
     together = gru.score_streams(m, docs, end)
     for d, numbers in enumerate(docs[:12]):
         alone = gru.score_streams(m, [numbers], end)[0]
@@ -261,9 +261,9 @@ def test_scores_follow_the_whole_document(language):
 def test_untrained_model_is_the_unigram_model(language):
     vocabulary, docs, _ = language
     m = gru.Model.start(vocabulary)
-    known = {i: w for w, i in vocabulary.known.items() if i < gru.HEAD}
+    known = dict(enumerate(vocabulary.shared))
     numbers = np.array([i for d in docs for i in d if i < gru.HEAD][:50])
-    got = gru.score_streams(m, [numbers], vocabulary.known[gru.END])[0]
+    got = gru.score_streams(m, [numbers], vocabulary.end)[0]
     norm = vocabulary.class_mass.sum()
     want = sum(math.log((vocabulary.shared[known[i]] + 0.1) / norm) for i in numbers.tolist())
     assert got == pytest.approx(want, rel=1e-3)
