@@ -30,6 +30,7 @@ def replay_rows(channel: str, df: DataFrame) -> DataFrame:
         "symbol",
         F.lit(channel).alias("channel"),
         F.to_json(F.struct(*df.columns)).alias("payload"),
+        F.xxhash64(*df.columns).alias("_tie"),
     )
 
 
@@ -56,4 +57,5 @@ def replay_merge(
             df = df.where(F.col("symbol").isin(*symbols))
         parts.append(replay_rows(channel, df))
     merged = reduce(DataFrame.unionByName, parts)
-    return merged.orderBy(*REPLAY_KEY, "channel", "payload")
+    # a hash of the record settles full ties; the payload itself takes no part in the sort
+    return merged.orderBy(*REPLAY_KEY, "channel", "_tie").drop("_tie")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapeline.operators import lakejobs as jobs
 from tapeline.plans.registry import query, r6, rnd, table
-from tapeline.plans.roles import HOUR, TRADES, trades
+from tapeline.plans.roles import HOUR, TRADES, bucket_sql, trades
 from tapeline.session import scratch_path
 from tapeline.sinks import conform as cf
 from tapeline.sinks import lake as out
@@ -212,6 +213,57 @@ def compact(spark, d):
     return r6(back.groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("rows"), F.sum("price").alias("total")), "total")
 
 
+@query(
+    "lake_resample",
+    f"""WITH {TRADES} SELECT symbol, {bucket_sql('local_ts', 6 * HOUR)} AS bar, {rnd('max(price)')} AS high, {rnd('min(price)')} AS low,
+       {rnd('sum(size)')} AS volume, count(*) AS trade_count
+FROM trades WHERE symbol IN ({_LISTED}) AND local_ts BETWEEN {START} AND {END} GROUP BY 1, 2""",
+)
+def lake_resample(spark, d):
+    bars = jobs.lake_resample(spark, shared_lake(spark, d), SYMBOLS, START, END, "6h", tie=["id"])
+    return r6(bars.select("symbol", "bar", "high", "low", "volume", "trade_count"), "high", "low", "volume")
+
+
+@query(
+    "lake_replay",
+    f"""WITH {TRADES}, t AS (SELECT * FROM trades WHERE symbol IN ({_LISTED}) AND local_ts BETWEEN {START} AND {END})
+SELECT local_ts, symbol, 'trade' AS channel FROM t UNION ALL SELECT local_ts, symbol, 'quote' FROM t""",
+)
+def lake_replay(spark, d):
+    merged = jobs.lake_replay(spark, shared_lake(spark, d), ["trade", "quote"], SYMBOLS, START, END)
+    return merged.select("local_ts", "symbol", "channel")
+
+
+@query(
+    "lake_export",
+    f"""WITH {TRADES} SELECT symbol, CAST(id AS VARCHAR) AS id, local_ts, {rnd('price')} AS price FROM trades
+WHERE symbol IN ({_LISTED}) AND local_ts BETWEEN {START} AND {END}""",
+)
+def lake_export(spark, d):
+    dest = scratch_path(spark, "lake-export")
+    jobs.lake_export(spark, shared_lake(spark, d), "trade", SYMBOLS, START, END, "parquet", dest)
+    return r6(spark.read.parquet(dest).select("symbol", "id", "local_ts", "price"), "price")
+
+
+@query(
+    "compact_unbucketed",
+    f"""WITH {TRADES} SELECT symbol, strftime(make_timestamp(local_ts // 1000), '%Y-%m-%d') AS date, count(*) AS rows,
+       CAST(count(*) FILTER (strftime(make_timestamp(local_ts // 1000), '%Y-%m-%d') <> '2024-01-10' AND price >= 40) AS BIGINT) AS unbucketed
+FROM trades GROUP BY 1, 2""",
+)
+def compact_unbucketed(spark, d):
+    """High prices come from a writer without buckets; one date is compacted, twice."""
+    root = scratch_path(spark, "flat")
+    t = feed(spark, d)
+    out.lake_write(t.where("price < 40"), "trade", root, buckets=FEW)
+    old = out.lake_rows(t.where("price >= 40"), "trade").drop("bucket", "exchange")
+    old.write.mode("append").partitionBy("provider", "channel", "date").parquet(root)
+    for _ in range(2):
+        out.compact(spark, root, "trade", "2024-01-10")
+    flat = F.count(F.when(F.col("bucket").isNull(), 1))
+    return src.read_channel(spark, root, "trade").groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("rows"), flat.alias("unbucketed"))
+
+
 @query(
     "export",
     f"""WITH {TRADES}, e AS (SELECT symbol, count(*) AS rows, {rnd('sum(price * 0.5)', 4)} AS total FROM trades GROUP BY 1)

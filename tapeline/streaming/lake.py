@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -34,6 +35,24 @@ def decode_frames(frames: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]
     return good, parsed.where(broken).select("local_ts", "raw", reason.alias("error"))
 
 
+def once(spark: SparkSession, checkpoint: str, batch_id: int, write: Callable[[], None]) -> None:
+    """Run the write of a micro-batch unless it was completed before.
+
+    A note per batch lies beside the query's checkpoint, so a batch that Spark delivers
+    again after a restart is not written twice. Only a stop between the write and its
+    note can repeat a batch.
+    """
+    note = f"{checkpoint}/lake-batches/{batch_id}"
+    try:
+        if not spark.read.schema("done boolean").parquet(note).isEmpty():
+            return
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    write()
+    spark.range(1).select(F.lit(True).alias("done")).coalesce(1).write.mode("overwrite").parquet(note)
+
+
 def lake_write_stream(
     records: DataFrame,
     channel: str,
@@ -45,8 +64,15 @@ def lake_write_stream(
 ) -> StreamingQuery:
     """Append a stream to a channel; ``every=None`` drains what is there and stops."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        lake_write(batch, channel, root, buckets=buckets)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        held = batch.persist()
+        try:
+            once(
+                batch.sparkSession, checkpoint, batch_id,
+                lambda: lake_write(held, channel, root, buckets=buckets),
+            )
+        finally:
+            held.unpersist()
 
     writer = records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
@@ -66,10 +92,18 @@ def frames_write_stream(
 ) -> StreamingQuery:
     """Decode raw frames; records go to the lake, malformed frames to a table."""
 
-    def write(batch: DataFrame, _: int) -> None:
-        good, bad = decode_frames(batch, schema)
-        lake_write(to_records(good), channel, root, buckets=buckets)
-        bad.write.mode("append").parquet(dead_letters)
+    def write(batch: DataFrame, batch_id: int) -> None:
+        held = batch.persist()  # decoded for both tables, read once
+
+        def both() -> None:
+            good, bad = decode_frames(held, schema)
+            lake_write(to_records(good), channel, root, buckets=buckets)
+            bad.write.mode("append").parquet(dead_letters)
+
+        try:
+            once(batch.sparkSession, checkpoint, batch_id, both)
+        finally:
+            held.unpersist()
 
     writer = frames.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -12,7 +12,7 @@ from tapeline.sinks import conform as cf
 from tapeline.sinks import lake as out
 from tapeline.sources import lake as src
 from tapeline.sources import vendors as vn
-from tapeline.streaming.lake import decode_frames, frames_write_stream
+from tapeline.streaming.lake import decode_frames, frames_write_stream, once
 
 DAY1, DAY2 = 1700000000 * 10**9, 1700006400 * 10**9
 S = 10**9
@@ -180,3 +180,14 @@ def test_frames_and_dead_letters(spark, tmp_path):
     assert src.read_channel(spark, root, "trade").count() == 1
     assert spark.read.parquet(dead).count() == 2
     assert os.path.isdir(root)
+
+
+def test_a_repeated_batch_is_written_once(spark, tmp_path):
+    done = []
+    for batch in (0, 0, 1):
+        once(spark, str(tmp_path), batch, lambda batch=batch: done.append(batch))
+    assert done == [0, 1]
+    with pytest.raises(RuntimeError):
+        once(spark, str(tmp_path), 2, lambda: (_ for _ in ()).throw(RuntimeError("stopped")))
+    once(spark, str(tmp_path), 2, lambda: done.append(2))
+    assert done == [0, 1, 2]
