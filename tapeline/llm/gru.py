@@ -51,11 +51,13 @@ SHARED = 65_536
 HIDDEN = 16
 WINDOW = 32
 STREAMS = 512
+#: Streams that are always laid if there are as many documents.
+NARROW = 32
 RATE = 0.01
 ROUNDS = 2
 SLOTS = 16
 #: Tokens that a task lays on its streams at a time.
-BATCH_TOKENS = 6_000_000
+BATCH_TOKENS = 2_000_000
 #: Words beyond the shared ones that a task remembers.
 REMEMBERED = 250_000
 #: Tokens of a training document that follow each other on a stream; a longer document is
@@ -189,8 +191,13 @@ class Streams:
 
 
 def lay(docs: list[np.ndarray], end: int) -> Streams:
-    """Longest document first, each on the stream that is shortest so far."""
-    width = min(STREAMS, max(1, len(docs)))
+    """Longest document first, each on the stream that is shortest so far.
+
+    There are no more streams than keep a length, so that one long document among short
+    ones does not make the arrays many times longer than their tokens.
+    """
+    total, longest = sum(map(len, docs)), max(map(len, docs))
+    width = max(1, min(STREAMS, len(docs), max(NARROW, -(-total // longest))))
     heap = [(0, i) for i in range(width)]
     placed: list[list[int]] = [[] for _ in range(width)]
     for d in sorted(range(len(docs)), key=lambda i: (-len(docs[i]), i)):
@@ -200,22 +207,21 @@ def lay(docs: list[np.ndarray], end: int) -> Streams:
     lengths = [sum(len(docs[d]) for d in p) for p in placed]
     order = sorted(range(width), key=lambda s: -lengths[s])
     steps = max(lengths)
-    shape = (width, steps)
-    inputs, targets = np.full(shape, end, np.int32), np.full(shape, end, np.int32)
+    shape = (steps, width)
+    inputs, targets = np.full(shape, end, np.int16), np.full(shape, end, np.int16)
     fresh, owner = np.ones(shape, np.float32), np.full(shape, -1, np.int32)
-    for row, s in enumerate(order):
+    for column, s in enumerate(order):
         at = 0
         for d in placed[s]:
             n = len(docs[d])
-            targets[row, at : at + n] = docs[d]
-            inputs[row, at + 1 : at + n] = docs[d][:-1]
-            fresh[row, at] = 0
-            owner[row, at : at + n] = d
+            targets[at : at + n, column] = docs[d]
+            inputs[at + 1 : at + n, column] = docs[d][:-1]
+            fresh[at, column] = 0
+            owner[at : at + n, column] = d
             at += n
     used = np.array([lengths[s] for s in order])
     active = (used[None, :] > np.arange(0, steps, WINDOW)[:, None]).sum(axis=1)
-    turn = np.ascontiguousarray
-    return Streams(turn(inputs.T), turn(targets.T), turn(fresh.T), turn(owner.T), active)
+    return Streams(inputs, targets, fresh, owner, active)
 
 
 def classes_of(targets: np.ndarray) -> np.ndarray:
@@ -335,7 +341,7 @@ def window(
     grad.uf += flat_p.T @ flat_d[:, :HIDDEN]
     grad.uc += (f_all.reshape(-1, HIDDEN) * flat_p).T @ flat_d[:, HIDDEN:]
     grad.bx += flat_d.sum(axis=0)
-    source = x.ravel().astype(np.int16 if HEAD + TAIL < 2**15 else np.int32)
+    source = x.ravel()
     order = np.argsort(source, kind="stable")
     source = source[order]
     lead = np.flatnonzero(np.concatenate(([True], source[1:] != source[:-1])))
@@ -423,7 +429,16 @@ def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def learn_vocabulary(counts: DataFrame) -> Vocabulary:
     """Totals, class masses and the most frequent words: what the driver gathers is bounded."""
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(SHARED).collect()
+    # words by narrow steps of their counts: the driver gets few more rows than it keeps
+    step = F.floor(F.log2("c") * 8).cast("int")
+    sizes = counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()
+    least, words = 0, 0
+    for row in sorted(sizes, key=lambda r: -r["step"]):
+        least, words = row["step"], words + row["n"]
+        if words >= SHARED:
+            break
+    frequent = counts.where(step >= least)
+    top = frequent.orderBy(F.desc("c"), "word").limit(SHARED).collect()
     found = {r["word"].encode("utf-8"): int(r["c"]) for r in top}
     order = list(found)
     if END not in order[:HEAD]:
