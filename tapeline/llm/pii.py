@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from tapeline.session import materialize
 
 # Titles tell the gender of a given name; fixed values.
-MALE = "Mr|Herr|Monsieur|Señor|господин|г-н"
-FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|госпожа|г-жа"
+MALE = "Mr|Herr|Monsieur|Señor"
+FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora"
+MALE_CYRILLIC = "господин|г-н"
+FEMALE_CYRILLIC = "госпожа|г-жа"
 NEUTRAL = "Dr|Prof"
 
 # Quantifiers are bounded or start at a word boundary, so that long runs stay linear.
@@ -39,16 +41,23 @@ PATTERNS = {
     "ACCESS_KEY": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
     "API_KEY": r"\b(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,128}",
     "HEX_SECRET": r"\b(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})\b",
-    "PASSWORD": r"(?<=(?i:password|passwd|secret|api_key|apikey|token)[=:])[^\s\"'=:]{6,128}",
+    "PASSWORD": r"(?i:password|passwd|secret|api_key|apikey|token)[=:][^\s\"'=:]{6,128}",
     "IBAN": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "IP": r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b",
     "PHONE": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}\b"
     r"|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}\b|\b[0-9]{3}-[0-9]{3}-[0-9]{4}\b",
     "SSN": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
     "CARD": r"\b[0-9](?:[ -]?[0-9]){12,18}\b",
-    "NAME": rf"(?<![\p{{L}}\p{{N}}])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}\p{{Ll}}{{1,30}}(?: \p{{Lu}}\p{{Ll}}{{1,30}})?",
+    "NAME": rf"(?:\b(?:{MALE}|{FEMALE}|{NEUTRAL})\.?|{MALE_CYRILLIC}|{FEMALE_CYRILLIC})"
+    r" \p{Lu}\p{Ll}{1,30}(?: \p{Lu}\p{Ll}{1,30})?",
 }
 FIND = "|".join(PATTERNS.values())
+# What every mention without a digit or @ holds: texts without either are passed over.
+WITHOUT_DIGITS = (
+    r"(?i:password|passwd|secret|api_key|apikey|token)[=:]|AKIA|ASIA|\b(?:sk|pk|ghp|gho|xoxb|xoxp)[-_]"
+    rf"|[a-f]{{32}}|[A-F]{{32}}|(?:{MALE}|{FEMALE}|{NEUTRAL}|{MALE_CYRILLIC}|{FEMALE_CYRILLIC})\.? \p{{Lu}}"
+)
+KEYWORD = "^[A-Za-z_]+[=:]"
 
 # Names to choose from, by gender and script; fixed values.
 GIVEN = {
@@ -67,10 +76,12 @@ SYLLABLES = {
 
 def _type_of(mention: Column) -> Column:
     """The first type whose pattern covers the mention."""
-    kinds = [
-        F.when(mention.rlike(f"^(?:{p})$"), F.lit(t)) for t, p in PATTERNS.items() if t != "PASSWORD"
-    ]
-    return F.coalesce(*kinds, F.lit("PASSWORD"))
+    return F.coalesce(*[F.when(mention.rlike(f"^(?:{p})$"), F.lit(t)) for t, p in PATTERNS.items()])
+
+
+def _may_mention(text: Column) -> Column:
+    """True for every text with a mention and for some others, at little cost."""
+    return F.coalesce(text.rlike("[0-9@]") | text.rlike(WITHOUT_DIGITS), F.lit(False))
 
 
 def _parts(mention: Column, kind: Column) -> Column:
@@ -78,8 +89,8 @@ def _parts(mention: Column, kind: Column) -> Column:
     words = F.split(mention, " ")
     title = F.element_at(words, 1)
     gender = (
-        F.when(title.rlike(rf"^(?:{MALE})\.?$"), "M")
-        .when(title.rlike(rf"^(?:{FEMALE})\.?$"), "F")
+        F.when(title.rlike(rf"^(?:{MALE}|{MALE_CYRILLIC})\.?$"), "M")
+        .when(title.rlike(rf"^(?:{FEMALE}|{FEMALE_CYRILLIC})\.?$"), "F")
         .otherwise("N")
     )
 
@@ -102,6 +113,7 @@ def _normal(kind: Column, text: Column) -> Column:
     return (
         F.when(kind == "EMAIL", F.lower(text))
         .when(kind.isin("PHONE", "CARD", "IBAN", "SSN"), F.regexp_replace(text, "[^0-9A-Za-z]", ""))
+        .when(kind == "PASSWORD", F.regexp_replace(text, KEYWORD, ""))
         .otherwise(text)
     )
 
@@ -218,6 +230,7 @@ def _rendered(kind: Column, mention: Column, surrogate: Column) -> Column:
         F.when(kind.isNull(), mention)
         .when(kind == "EMAIL", email)
         .when(kind.isin("PHONE", "CARD", "IBAN", "SSN"), spaced)
+        .when(kind == "PASSWORD", F.concat(F.regexp_extract(mention, KEYWORD, 0), surrogate))
         .otherwise(surrogate)
     )
 
@@ -266,7 +279,7 @@ def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
     is kept), part_text and normal.
     """
     text = docs[text_col]
-    found = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("text_key"), F.regexp_extract_all(text, F.lit(FIND), F.lit(0)).alias("found"))
+    found = docs.where(_may_mention(text)).select(F.unhex(F.md5(text.cast("binary"))).alias("text_key"), F.regexp_extract_all(text, F.lit(FIND), F.lit(0)).alias("found"))
     found = found.where(F.size("found") > 0).groupBy("text_key").agg(F.first("found").alias("found"))
     rows = found.select("text_key", F.posexplode("found").alias("place", "mention"))
     rows = rows.withColumn("kind", _type_of(F.col("mention")))
@@ -314,7 +327,9 @@ def replace_pii(docs: DataFrame, text_col: str = "text", key: str = "tapeline",
     )
     lists = materialize(lists, "replacements")
     text = docs[text_col]
-    joined = docs.join(lists, F.unhex(F.md5(text.cast("binary"))) == lists["__pii_key"], "left")
+    # texts that cannot hold a mention stay where they are
+    may = _may_mention(text)
+    joined = docs.where(may).join(lists, F.unhex(F.md5(text.cast("binary"))) == lists["__pii_key"], "left")
     fresh = F.array_join(
         F.zip_with(
             F.split(text, FIND, -1),
@@ -325,9 +340,11 @@ def replace_pii(docs: DataFrame, text_col: str = "text", key: str = "tapeline",
     )
     fresh = F.when(F.col("__pii_new").isNull(), text).otherwise(fresh)
     columns = [fresh.alias(c) if c == text_col else docs[c] for c in docs.columns]
+    others = [docs[c] for c in docs.columns]
     if count_col:
         columns.append(F.coalesce(F.size("__pii_new"), F.lit(0)).cast("long").alias(count_col))
-    return joined.select(*columns)
+        others.append(F.lit(0).cast("long").alias(count_col))
+    return joined.select(*columns).unionByName(docs.where(~may).select(*others))
 
 
 __all__ = ["FIND", "PATTERNS", "mentions", "replace_pii", "surrogates"]
