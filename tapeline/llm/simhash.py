@@ -57,17 +57,17 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
-def shingle_hashes(text: bytes) -> list[int]:
+def shingle_hashes(text: bytes, size: int = SHINGLE) -> list[int]:
     words = text.lower().split()  # bytes: only A-Z change, only the six ASCII spaces part
     if not words:
         return []
     joined = b" ".join(words)
     hashed = xxhash.xxh64_intdigest
-    if len(words) <= SHINGLE:
+    if len(words) <= size:
         return [hashed(joined, 42)]
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[: -SHINGLE] + 1)).tolist()
-    return [hashed(joined[a:b], 42) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist())]
+    starts = np.concatenate(([0], ends[:-size] + 1)).tolist()
+    return [hashed(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :].tolist())]
 
 
 WEIGHTS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -309,7 +309,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Of rows that repeat that id and the text one stays; a class whose ids are all null
     keeps one row of each text. All columns of ``docs`` stay as they are.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    return keep_heads(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
+
+
+def keep_heads(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their class in ``found`` (doc_id, fp, component_id)."""
     found = materialize(found.select("doc_id", "fp", "component_id"), "near")
     heads = (
         found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -7,7 +7,7 @@ import duckdb
 import xxhash
 from helpers import ROWS, empty_documents, odd_documents, table
 
-from tapeline.llm import simhash, syncmers
+from tapeline.llm import jaccard, simhash, syncmers
 from tapeline.llm.graph import connected_components
 
 M = 2**64 - 1
@@ -196,6 +196,62 @@ def test_keep_one(spark):
     assert simhash.keep_one(empty_documents(spark)).count() == 0
 
 
+def near_copies():
+    """Texts, each with copies that have more and more words changed; every text once more."""
+    rng = random.Random(11)
+    rows = []
+    for n in (1, 4, 12, 60, 150, 400):
+        for _ in range(3):
+            words = [f"w{rng.randrange(3000)}" for _ in range(n)]
+            rows.append(" ".join(words))
+            for changed in (1, 1, 2, 4, 8, 12, 16):
+                other = list(words)
+                for _ in range(changed):
+                    other[rng.randrange(n)] = f"v{rng.randrange(3000)}"
+                rows.append(" ".join(other))
+    return [(i, t) for i, t in enumerate(rows + [t.upper() for t in rows])]
+
+
+def jaccard_classes(rows):
+    def shingles(text):
+        words = text.lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = [shingles(t) for _, t in rows]
+    low = list(range(len(rows)))
+
+    def root(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                low[b] = a
+    return {rows[i][0]: rows[root(i)][0] for i in range(len(rows))}
+
+
+def test_near_copies_of_the_pipeline_equal_all_pairs(spark, monkeypatch):
+    import corpus_pipeline
+
+    rows = near_copies()
+    want = jaccard_classes(rows)
+    docs = table(spark, rows).repartition(3)
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    assert {r.doc_id for r in stage(spark, docs, "").collect()} == set(want.values())
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == want
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 2)  # units cut into pairs of blocks
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == want
+
+
+def test_near_copies_of_edge_cases(spark):
+    ids = [r.doc_id for r in jaccard.keep_one(odd_documents(spark)).collect()]
+    assert sorted(i for i in ids if i is not None) == [1, 2, 4, 6, 8, 9] and ids.count(None) == 1
+    assert jaccard.keep_one(empty_documents(spark)).count() == 0
+
+
 def test_fingerprint_text_is_hex_of_the_bits(spark):
     from tapeline.llm.queries import op2_simhash
 
