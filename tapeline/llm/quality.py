@@ -4,9 +4,10 @@ Each text yields counts (words, their characters, symbols, repeated lines, words
 repeated three-word windows), and these a vector of transformed statistics. For every
 (language, source) the minimum covariance determinant (MCD) estimate describes the bulk:
 the mean and covariance of the ``SUPPORT`` share of rows that lie closest under that very
-mean and covariance, found by concentration steps from the coordinates' medians. After a
-reweighting step, a text is rejected if its squared Mahalanobis distance exceeds
-``CUTOFF``. Texts that fail the base rule are rejected in any case and take no part in
+mean and covariance. Concentration steps go on from several starts until the support stays
+the same, ``STEPS`` at most, and the start of least determinant counts. Half of the rows
+are support, so that alike junk may hold any smaller share of a group. After a reweighting
+step, a text is rejected if its squared Mahalanobis distance exceeds ``CUTOFF``. Texts that fail the base rule are rejected in any case and take no part in
 the estimates.
 
 A concentration step is one aggregation: rows fall into narrow bins of their distance,
@@ -38,8 +39,11 @@ from pyspark.sql.window import Window
 from tapeline.llm.common import chunks, text_bytes
 from tapeline.session import materialize
 
-SUPPORT = 0.75
-STEPS = 3
+SUPPORT = 0.5
+STEPS = 40
+#: Logarithms of determinants that differ less are equal (the support ends at a bin's edge);
+#: then the first start counts.
+TIE = 0.25
 MIN_ROWS = 60
 #: Squared distance beyond which a text is rejected.
 CUTOFF = 60.0
@@ -54,7 +58,7 @@ P = len(FEATURES)
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 #: The covariance of the central share of a normal distribution, times this, is its own:
 #: SUPPORT / P(chi2 with p + 2 degrees <= the SUPPORT quantile of chi2 with p), p = 5.
-CONSISTENT = 1.481
+CONSISTENT = 1.912
 
 
 def repeated_words(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -187,7 +191,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 
 def _centre_schema() -> str:
-    return "g string, c_mean array<double>, c_inverse array<double>"
+    return "g string, start int, c_mean array<double>, c_inverse array<double>, c_level double"
 
 
 def _distance(mean: str = "c_mean", inverse: str = "c_inverse") -> Column:
@@ -199,18 +203,20 @@ def _distance(mean: str = "c_mean", inverse: str = "c_inverse") -> Column:
     return sum(terms[1:], terms[0])
 
 
-def centre_of(n: float, sums: list[float], products: list[float], widen: float) -> tuple[list[float], list[float]]:
-    """Mean and inverse covariance from moments, deviations held above the floor."""
+def centre_of(
+    n: float, sums: list[float], products: list[float], widen: float
+) -> tuple[list[float], list[float], float]:
+    """Mean, inverse covariance and its log determinant from moments, deviations above the floor."""
     mean = np.array(sums) / n
     cov = np.zeros((P, P))
     for (i, j), s in zip(PAIRS, products):
         cov[i, j] = cov[j, i] = s / n - mean[i] * mean[j]
     cov = cov * widen + np.diag(np.square(FLOOR))
-    return mean.tolist(), np.linalg.inv(cov).ravel().tolist()
+    return mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])
 
 
 def _solve(moments: DataFrame, widen: float) -> DataFrame:
-    """Centres from one row of moments for each group."""
+    """Centres from one row of moments for each group and start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,19 +224,22 @@ def _solve(moments: DataFrame, widen: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("grp"),
-                    pa.array([m for m, _ in rows], pa.list_(pa.float64())),
-                    pa.array([v for _, v in rows], pa.list_(pa.float64())),
+                    batch.column("start"),
+                    pa.array([m for m, _, _ in rows], pa.list_(pa.float64())),
+                    pa.array([v for _, v, _ in rows], pa.list_(pa.float64())),
+                    pa.array([d for _, _, d in rows], pa.float64()),
                 ],
-                names=["g", "c_mean", "c_inverse"],
+                names=["g", "start", "c_mean", "c_inverse", "c_level"],
             )
 
     packed = moments.select(
         "grp",
+        "start",
         F.col("n").cast("double").alias("n"),
         F.array(*[f"s{i}" for i in range(P)]).alias("sums"),
         F.array(*[f"p{i}{j}" for i, j in PAIRS]).alias("products"),
     )
-    return materialize(packed.mapInArrow(run, _centre_schema()), "centres")
+    return packed.mapInArrow(run, _centre_schema())
 
 
 def _moments() -> list[Column]:
@@ -241,49 +250,97 @@ def _moments() -> list[Column]:
 
 
 def _starts(rows: DataFrame) -> DataFrame:
-    """Medians, and spreads from the quartiles, as the first centres."""
-    quartiles = [
-        F.percentile_approx(f, [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i, f in enumerate(FEATURES)
-    ]
-    found = rows.groupBy("grp").agg(*quartiles)
-    mean = F.array(*[F.element_at(f"q{i}", 2) for i in range(P)])
-    spread = [(F.element_at(f"q{i}", 3) - F.element_at(f"q{i}", 1)) / 1.349 for i in range(P)]
-    inverse = [
-        1 / (spread[i] * spread[i] + FLOOR[i] ** 2) if i == j else F.lit(0.0)
-        for i in range(P)
-        for j in range(P)
-    ]
-    found = found.select(F.col("grp").alias("g"), mean.alias("c_mean"), F.array(*inverse).alias("c_inverse"))
-    return materialize(found, "centres")
+    """First centres: medians with spreads from the quartiles, and the shortest halves of the
+    coordinates, which junk below a half cannot move far, about their middles and the medians.
+    No start may be one that junk has widened: alike junk makes the lesser determinant then."""
+    shares = [i / 40 for i in range(1, 40)]
+    found = rows.groupBy("grp").agg(
+        *[F.percentile_approx(f, shares, 2000).alias(f"q{i}") for i, f in enumerate(FEATURES)]
+    )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                at = np.array([r[f"q{i}"] for i in range(P)])
+                median, quartiles = at[:, 19], (at[:, 29] - at[:, 9]) / 1.349
+                halves = at[:, 20:] - at[:, :19]
+                low, each = halves.argmin(axis=1), np.arange(P)
+                short = halves[each, low]
+                middle = at[each, low] + short / 2
+                # quartiles that reach into junk would let it into the support
+                quartiles = np.where(quartiles <= 1.5 * short / 1.349, quartiles, short / 1.349)
+                for start, (mean, spread) in enumerate(
+                    ((median, quartiles), (middle, short / 1.349), (median, short / 1.349))
+                ):
+                    inverse = np.diag(1 / (np.square(spread) + np.square(FLOOR)))
+                    out.append((r["grp"], start, mean.tolist(), inverse.ravel().tolist(), 0.0))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([o[0] for o in out], pa.string()),
+                    pa.array([o[1] for o in out], pa.int32()),
+                    pa.array([o[2] for o in out], pa.list_(pa.float64())),
+                    pa.array([o[3] for o in out], pa.list_(pa.float64())),
+                    pa.array([o[4] for o in out], pa.float64()),
+                ],
+                names=["g", "start", "c_mean", "c_inverse", "c_level"],
+            )
 
-def mcd_centres(rows: DataFrame) -> DataFrame:
-    """g, c_mean and c_inverse (row by row) of each group ``grp`` of feature rows."""
-    centres = _starts(rows)
+    return materialize(found.mapInArrow(run, _centre_schema()), "centres")
+
+
+def _support_centres(rows: DataFrame, centres: DataFrame) -> DataFrame:
+    """One concentration step: the centres of the rows nearest to the given ones."""
     wide = (HIGH - LOW) / BINS
     sums = ["n", *(f"s{i}" for i in range(P)), *(f"p{i}{j}" for i, j in PAIRS)]
-    for _ in range(STEPS):
-        near = rows.join(centres, F.col("grp") == F.col("g"))
-        level = F.log(F.greatest(_distance(), F.lit(math.exp(LOW))))
-        bin_no = F.least(F.floor((level - LOW) / wide), F.lit(BINS - 1)).cast("int")
-        binned = near.groupBy("grp", bin_no.alias("bin")).agg(*_moments())
-        up = Window.partitionBy("grp").orderBy("bin")
-        whole = Window.partitionBy("grp")
-        upto = binned.select(
-            "grp",
-            F.sum("n").over(whole).alias("rows"),
-            *[F.sum(c).over(up).alias(c) for c in sums],
-        )
-        # the first bin at which the support is reached
-        enough = upto.where(F.col("n") >= F.ceil(SUPPORT * F.col("rows")))
-        chosen = enough.groupBy("grp").agg(F.min(F.struct(*sums)).alias("m")).select("grp", "m.*")
-        centres = _solve(chosen, CONSISTENT)
     near = rows.join(centres, F.col("grp") == F.col("g"))
-    moments = near.where(_distance() <= REWEIGHT).groupBy("grp").agg(*_moments())
-    final = _solve(moments, 1.0)
+    level = F.log(F.greatest(_distance(), F.lit(math.exp(LOW))))
+    bin_no = F.least(F.floor((level - LOW) / wide), F.lit(BINS - 1)).cast("int")
+    binned = near.groupBy("grp", "start", bin_no.alias("bin")).agg(*_moments())
+    up = Window.partitionBy("grp", "start").orderBy("bin")
+    whole = Window.partitionBy("grp", "start")
+    upto = binned.select(
+        "grp",
+        "start",
+        F.sum("n").over(whole).alias("rows"),
+        *[F.sum(c).over(up).alias(c) for c in sums],
+    )
+    # the first bin at which the support is reached
+    enough = upto.where(F.col("n") >= F.ceil(SUPPORT * F.col("rows")))
+    chosen = enough.groupBy("grp", "start").agg(F.min(F.struct(*sums)).alias("m")).select("grp", "start", "m.*")
+    return _solve(chosen, CONSISTENT)
+
+
+def mcd_centres(rows: DataFrame) -> DataFrame:
+    """g, c_mean and c_inverse (row by row) of each group ``grp`` of feature rows."""
+    moving = _starts(rows).withColumn("seen", F.array().cast("array<double>"))
+    settled = None
+    for step in range(STEPS):
+        fresh = _support_centres(rows, moving)
+        old = moving.select(F.col("g").alias("old_g"), F.col("start").alias("old_start"), "seen")
+        both = fresh.join(old, (F.col("g") == F.col("old_g")) & (F.col("start") == F.col("old_start")))
+        # a determinant that comes again is the same support, or a round of supports that
+        # differ by a bin; sums of the same rows differ by their order only
+        still = F.exists("seen", lambda x: F.abs(x - F.col("c_level")) <= 1e-9)
+        seen = F.concat("seen", F.array("c_level"))
+        both = both.select(*fresh.columns, seen.alias("seen"), still.alias("still"))
+        both = materialize(both, "steps")
+        last = step == STEPS - 1
+        done = (both if last else both.where("still")).drop("still", "seen")
+        settled = done if settled is None else settled.unionByName(done)
+        moving = both.where("NOT still").drop("still")
+        if last or moving.isEmpty():
+            break
+    least = Window.partitionBy("g")
+    best = settled.withColumn("least", F.min("c_level").over(least)).where(F.col("c_level") <= F.col("least") + TIE)
+    best = best.groupBy("g").agg(F.min(F.struct("start", "c_mean", "c_inverse", "c_level")).alias("s")).select("g", "s.*")
+    centres = materialize(best, "centres")
+    near = rows.join(centres, F.col("grp") == F.col("g"))
+    moments = near.where(_distance() <= REWEIGHT).groupBy("grp", "start").agg(*_moments())
+    final = materialize(_solve(moments, 1.0), "centres")
     # a group with no row inside keeps its last centre
     missing = centres.join(final.select(F.col("g").alias("done")), F.col("g") == F.col("done"), "left_anti")
-    return materialize(final.unionByName(missing), "centres")
+    return materialize(final.unionByName(missing).select("g", "c_mean", "c_inverse"), "centres")
 
 
 def judge(

@@ -163,6 +163,24 @@ def test_distances_of_one_group(spark):
     assert min(r.d for r in got if r.i < 30) > quality.CUTOFF > max(r.d for r in got if r.i >= 30)
 
 
+def test_alike_junk_of_a_third_goes(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for share in (0.1, 0.3, 0.34):
+        for far in (6, 10, 30):
+            x = rng.normal(0, 1, (1500, 5)) * [0.8, 0.1, 0.5, 0.5, 0.5] + 3
+            junk = rng.random(len(x)) < share
+            x[junk] = rng.normal(0, 0.05, (junk.sum(), 5)) + [3, 3, 3 + far, 3, 3 + far]
+            rows += [(bool(j), f"{share} {far}", *map(float, r)) for j, r in zip(junk, x)]
+    rows = spark.createDataFrame(
+        rows, "junk boolean, grp string, " + ", ".join(f"{f} double" for f in quality.FEATURES)
+    ).repartition(4)
+    centres = quality.mcd_centres(rows)
+    judged = rows.join(centres, F.col("grp") == F.col("g")).withColumn("out", quality._distance() > quality.CUTOFF)
+    for r in judged.groupBy("grp", "junk").agg(F.avg(F.col("out").cast("int")).alias("gone")).collect():
+        assert r.gone == (1 if r.junk else 0), r
+
+
 def test_clean_stays_and_junk_goes(spark):
     rows = quality.judge(spark.read.parquet(f"{SF}/documents.parquet")).collect()
     kind = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
