@@ -1,4 +1,4 @@
-"""Registered queries of the ten document operators, and their SQL where SQL can say it."""
+"""Registered queries of the document operators, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeline.llm import bpe, gru, html_text, linededup, packing, pii, quality, simhash, syncmers, toxicity
+from tapeline.llm import (
+    bpe,
+    gru,
+    html_text,
+    linededup,
+    packing,
+    pii,
+    quality,
+    runs,
+    shards,
+    simhash,
+    syncmers,
+    toxicity,
+    variants,
+)
 from tapeline.llm.common import crc_mod, read_table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -128,6 +142,98 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), path)
 
 
+def op11_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of near equal bytes by a k-d tree over language, source and length."""
+    placed = shards.shard_by_metadata(read_table(spark, sf_dir, "documents"), shards=8)
+    return placed.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+#: ASCII letters and those of Latin-1, in runs.
+LETTER_RUN = "[A-Za-z\u00C0-\u00FF]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: One run in as many, by a hash of its document and itself, loses a letter.
+MISSPELT = 199
+
+
+def misspelt_runs(docs: DataFrame) -> DataFrame:
+    """Column ``word``: every run of letters in lower case, some less one letter.
+
+    Runs under six letters are left out, as they can only get shorter.
+    """
+    runs_ = F.explode(F.regexp_extract_all("text", F.lit(LETTER_RUN), 0)).alias("run")
+    lowered = (
+        docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), runs_)
+        .where(F.length("run") >= 6)
+        .select("id", F.translate("run", UPPER, LOWER).alias("run"))
+    )
+    h = F.crc32(F.concat_ws(":", "id", "run").cast("binary"))
+    at = (F.col("h") % F.length("run")).cast("int")
+    shorter = F.concat(F.left("run", at), F.substr("run", at + 2))
+    return lowered.select("run", h.alias("h")).select(
+        F.when(F.col("h") % MISSPELT == 0, shorter).otherwise(F.col("run")).alias("word")
+    )
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words with the more frequent ones that they are spelling variants of."""
+    found = misspelt_runs(read_table(spark, sf_dir, "documents"))
+    return variants.variant_groups(variants.frequent_words(found, F.col("word")))
+
+
+WORD = "[^\\x20\\x09-\\x0D]+"
+
+
+def repeated_texts(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where every tenth document by a hash of its id repeats itself.
+
+    From a word on, chosen by the hash, such a document's words go on with a period.
+    """
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g, n, a, p = F.floor(F.col("h") / 10), F.col("n"), F.col("a"), F.col("p")
+    drawn = (
+        docs.select("doc_id", "text", h.alias("h"))
+        .withColumn("words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), 0)))
+        .withColumn("n", F.when(F.size("words") > 0, F.size("words").cast("long")))
+        .withColumn("a", g % n)
+        .withColumn("p", 1 + F.floor((n - a) / (3 + g % 8)))
+    )
+    places = F.transform(
+        F.sequence(F.lit(0).cast("long"), n - 1),
+        lambda i: F.get("words", F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")),
+    )
+    changed = F.when(n.isNotNull(), F.array_join(places, " ")).otherwise(F.col("text"))
+    return drawn.select("doc_id", changed.alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in whole texts, the longest one, and digests of the rest."""
+    found = runs.find_runs(repeated_texts(read_table(spark, sf_dir, "documents")))
+    longest = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"]))
+    )
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = found.withColumn("best", longest)
+    length, period = F.col("best.length"), -F.col("best.col3")
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.col2")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(length * 1000 / period).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_syncmers": op1_syncmers,
     "op2_simhash": op2_simhash,
@@ -139,5 +245,8 @@ QUERIES = {
     "op8_gru": op8_gru,
     "op9_html": op9_html,
     "op10_packing": op10_packing,
+    "op11_kd_shards": op11_kd_shards,
+    "op12_variants": op12_variants,
+    "op13_runs": op13_runs,
 }
 ORACLES = {"op6_line_dedup": OP6_SQL.strip()}
