@@ -35,7 +35,7 @@ from tapeline.session import materialize
 
 GROUPS = 12
 LETTERS = 4096
-SUBTREE = 20_000
+SUBTREE = 4_000
 BLOCK = 1 << 17
 #: A near word is a word's form if it is as many times as frequent.
 RATIO = 5

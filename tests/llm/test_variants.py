@@ -85,7 +85,7 @@ def test_groups_equal_plain_python(spark, monkeypatch):
     want = plain_groups(counts)
     assert sum(1 for v in want.values() if v[0]) > 200 and any(want[v[0]][0] for v in want.values() if v[0])
     df = spark.createDataFrame(list(counts.items()), "word string, n long")
-    for subtree, block in ((20_000, 1 << 17), (50, 64), (1, 7)):
+    for subtree, block in ((4_000, 1 << 17), (50, 64), (1, 7)):
         monkeypatch.setattr(variants, "SUBTREE", subtree)
         monkeypatch.setattr(variants, "BLOCK", block)
         assert result(variants.variant_groups(df)) == want
