@@ -10,6 +10,7 @@ from tapeline.plans.roles import HOUR, TRADES, bucket_sql, trades
 from tapeline.session import scratch_path
 from tapeline.sinks import conform as cf
 from tapeline.sinks import lake as out
+from tapeline.sources import catalog
 from tapeline.sources import lake as src
 from tapeline.streaming.lake import decode_frames
 
@@ -193,6 +194,7 @@ def union_files_by_name(spark, d):
         "symbol", "local_ts", "price", "provider", "channel", "date"
     )
     old.write.mode("append").partitionBy("provider", "channel", "date").parquet(root)
+    catalog.adopt(spark, root)
     back = src.read_channel(spark, root, "trade")
     return r6(back.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("size")), "size")
 
@@ -258,6 +260,7 @@ def compact_unbucketed(spark, d):
     out.lake_write(t.where("price < 40"), "trade", root, buckets=FEW)
     old = out.lake_rows(t.where("price >= 40"), "trade").drop("bucket", "exchange")
     old.write.mode("append").partitionBy("provider", "channel", "date").parquet(root)
+    catalog.adopt(spark, root)
     for _ in range(2):
         out.compact(spark, root, "trade", "2024-01-10")
     flat = F.count(F.when(F.col("bucket").isNull(), 1))

@@ -77,8 +77,12 @@ def conform_channel(df: DataFrame, channel: str) -> DataFrame:
     return df.select(*out)
 
 
+def is_safe(name: Column) -> Column:
+    """Whether a text may name a folder."""
+    return F.coalesce(name.rlike(SAFE_KEY) & ~name.isin(".", ".."), F.lit(False))
+
+
 def drop_unsafe_keys(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows whose provider may be a folder name, the rest)."""
-    name = F.col("provider")
-    safe = F.coalesce(name.rlike(SAFE_KEY) & ~name.isin(".", ".."), F.lit(False))
+    safe = is_safe(F.col("provider"))
     return df.where(safe), df.where(~safe)

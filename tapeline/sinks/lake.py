@@ -6,18 +6,14 @@ import os
 from collections.abc import Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeline.schema import PARTITION_COLUMNS, channel_schema
-from tapeline.session import materialize
-from tapeline.sinks.conform import (
-    BUCKETS,
-    conform_channel,
-    derive_partition_cols,
-    drop_unsafe_keys,
-)
+from tapeline.sinks.conform import BUCKETS, conform_channel, derive_partition_cols, is_safe
+from tapeline.sources import catalog
 
 REJECTED = "_rejected"
 EXPORT_FORMATS = ("parquet", "csv", "arrow", "json", "jsonl")
@@ -49,14 +45,41 @@ def lake_rows(df: DataFrame, channel: str, buckets: int = BUCKETS) -> DataFrame:
 def lake_write(df: DataFrame, channel: str, root: str, *, buckets: int = BUCKETS) -> None:
     """Append records to ``root/provider=/channel=/date=/bucket=``.
 
-    Rows whose provider may not name a folder go to ``root/_rejected/<channel>``. The
-    number of buckets is noted with the lake, so that scans can prune by it; a lake keeps
-    the number it began with.
+    The new files are seen when their row stands in the catalog. Rows whose provider may
+    not name a folder go to ``root/_rejected/<channel>``; only if there are any is the
+    input computed again for them. The number of buckets is noted with the lake, so that
+    scans can prune by it; a lake keeps the number it began with.
     """
-    note_buckets(df.sparkSession, root, buckets)
-    safe, unsafe = drop_unsafe_keys(lake_rows(df, channel, buckets))
-    _write_partitions(safe, root, "append")
-    unsafe.write.mode("append").parquet(f"{root}/{REJECTED}/{channel}")
+    spark = df.sparkSession
+    note_buckets(spark, root, buckets)
+    if catalog.entries(spark, root) is None:
+        catalog.adopt(spark, root)
+    rows = lake_rows(df, channel, buckets)
+    safe = is_safe(F.col("provider"))
+    folder = F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.col(c)) for c in PARTITION_COLUMNS])
+    seen = Observation()
+    watched = rows.observe(
+        seen, F.collect_set(F.when(safe, folder)).alias("folders"), F.count_if(~safe).alias("unsafe")
+    )
+    _write_partitions(watched.where(safe), root, "append")
+    folders, unsafe = _observed(seen)
+    added = catalog.written(spark, root, folders)
+    if unsafe:
+        rows.where(~safe).write.mode("append").parquet(f"{root}/{REJECTED}/{channel}")
+    if added:
+        catalog.commit(spark, root, channel, added)
+
+
+def _observed(seen: Observation) -> tuple[list[str], bool]:
+    """Folders that got rows, and whether other rows may have been left out.
+
+    A plan that Spark can tell to write nothing has no figures.
+    """
+    try:
+        found = seen.get
+    except Py4JJavaError:
+        return [], True
+    return found["folders"], found["unsafe"] > 0
 
 
 def note_buckets(spark: SparkSession, root: str, buckets: int) -> None:
@@ -73,27 +96,36 @@ def note_buckets(spark: SparkSession, root: str, buckets: int) -> None:
 def compact(spark: SparkSession, root: str, channel: str, date: str) -> None:
     """Rewrite one (channel, date) as few files, ordered by symbol and time.
 
-    The rows are staged first, then the touched folders are swapped in one commit. Files
-    that an older writer left without a bucket get theirs and are removed once their rows
-    are in the new folders. The staged table stays until then; a stop in between leaves
-    the old files to be removed by hand. Appends to the same date must wait.
+    The new files lie beside the old ones until one commit of the catalog puts them in
+    their place: a reader sees all old or all new files, and rows appended meanwhile stay.
+    Files that an older writer left without a bucket get theirs. The old files are removed
+    afterwards; after a stop before that they take up room, but no scan reads them.
     """
-    from tapeline.sources.lake import bucket_count, read_channel
-
-    flat = _files(spark, f"{root}/provider=*/channel={channel}/date={date}/*.parquet")
-    rows = read_channel(spark, root, channel, dates=[date])
+    from tapeline.sources.lake import bucket_count, read_files
+
+    if catalog.entries(spark, root) is None:
+        catalog.adopt(spark, root)
+    files = catalog.live_files(spark, root, channel)
+    if files is None:
+        return
+    files = files.where(F.col("date") == date)
+    old = [r["path"] for r in files.select("path").collect()]
+    if not old:
+        return
+    chosen = files.where(F.col("path").isin(*old))
+    rows = read_files(spark, root, channel, chosen)
     own = F.pmod(F.hash("symbol"), F.lit(bucket_count(spark, root) or BUCKETS)).cast("int")
     rows = rows.withColumn("bucket", F.coalesce("bucket", own))
-    staged = materialize(rows.select(*channel_schema(channel).names), "compact")
-    _write_partitions(staged, root, "overwrite", partitionOverwriteMode="dynamic")
-    for path in flat:
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+    _write_partitions(rows.select(*channel_schema(channel).names), root, "append")
+    added = catalog.written(spark, root, [f"provider=*/channel={channel}/date={date}/bucket=*"])
+    catalog.commit(spark, root, channel, added, removed=old)
+    _delete(spark, [f"{root}/{p}" for p in old])
 
 
-def _files(spark: SparkSession, glob: str) -> list:
-    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    return [s.getPath() for s in found if s.isFile()]
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
 
 
 def _flat(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tapeline.schema import CHANNELS
 from tapeline.sinks import conform as cf
 from tapeline.sinks import lake as out
+from tapeline.sources import catalog
 from tapeline.sources import lake as src
 from tapeline.sources import vendors as vn
 from tapeline.streaming.lake import decode_frames, frames_write_stream, once
@@ -191,3 +192,102 @@ def test_a_repeated_batch_is_written_once(spark, tmp_path):
         once(spark, str(tmp_path), 2, lambda: (_ for _ in ()).throw(RuntimeError("stopped")))
     once(spark, str(tmp_path), 2, lambda: done.append(2))
     assert done == [0, 1, 2]
+
+
+def days_of_symbols(spark, days=3, symbols=40):
+    """A row for every symbol, day and hour."""
+    hours = spark.range(days * 24 * symbols)
+    return hours.select(
+        F.lit("p").alias("provider"),
+        F.concat(F.lit("s"), F.col("id") % symbols).alias("symbol"),
+        F.lit("x").alias("symbol_raw"),
+        (F.lit(1700006400 * S) + F.floor(F.col("id") / symbols) * 3600 * S).alias("local_ts"),
+        F.col("id").cast("double").alias("price"),
+        F.lit(1.0).alias("size"),
+    )
+
+
+@pytest.mark.parametrize("listed", [256, 2])
+def test_scans_choose_files_from_the_catalog(spark, tmp_path, monkeypatch, listed):
+    """One symbol and one day read one file, and nothing lists the lake's folders."""
+    root = str(tmp_path)
+    monkeypatch.setattr(catalog, "LISTED", listed)
+    out.lake_write(days_of_symbols(spark), "trade", root, buckets=16)
+    out.lake_write(days_of_symbols(spark).withColumn("symbol", F.concat(F.lit("t"), "symbol")), "trade", root, buckets=16)
+    monkeypatch.setattr(src, "_read_layouts", None)
+    day = 1700006400 * S
+    got = src.lake_scan(spark, root, "trade", "s7", day, day + 86_400 * S - 1)
+    assert len(got.inputFiles()) == 1 and got.count() == 24
+    assert src.lake_scan(spark, root, "trade", "s7", day + 3 * 86_400 * S, day + 9 * 86_400 * S).inputFiles() == []
+    assert src.lake_scan(spark, root, "trade", "nothing", day, day + 86_400 * S).count() == 0
+    assert {r.channel: r["rows"] for r in src.lake_summary(spark, root).collect()} == {"trade": 2 * 3 * 24 * 40}
+    assert src.lake_symbols(spark, root, "trade").count() == 80
+    for symbols in (None, ["s7"], ["s7", "ts9", "nothing"]):
+        assert tuple(src.lake_time_range(spark, root, "trade", symbols).first()) == (day, day + 71 * 3600 * S)
+    assert tuple(src.lake_time_range(spark, root, "trade", ["nothing"]).first()) == (None, None)
+    assert src.lake_views(spark, root) == ["trade"] and src.read_channel(spark, root, "quote").count() == 0
+    plan = src.lake_time_range(spark, root, "trade")._jdf.queryExecution().executedPlan().toString()
+    assert "provider=" not in plan  # no file of rows
+
+
+def test_bloom_filter_loses_no_symbol(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    monkeypatch.setattr(catalog, "LISTED", 0)
+    out.lake_write(days_of_symbols(spark, 1, 300), "trade", root, buckets=1)
+    files = catalog.live_files(spark, root, "trade")
+    held = files.select(*[catalog.may_hold([f"s{i}"]).alias(f"c{i}") for i in range(300)]).collect()
+    assert all(any(row[f"c{i}"] for row in held) for i in range(300))
+    wrong = files.select(*[catalog.may_hold([f"no{i}"]).alias(f"c{i}") for i in range(300)]).collect()
+    assert sum(any(row[f"c{i}"] for row in wrong) for i in range(300)) < 15
+
+
+def test_files_of_other_writers_are_adopted(spark, tmp_path):
+    root = str(tmp_path)
+    out.lake_write(days_of_symbols(spark), "trade", root, buckets=2)
+    other = out.lake_rows(days_of_symbols(spark), "quote", 2)
+    other.write.mode("append").partitionBy("provider", "channel", "date", "bucket").parquet(root)
+    assert src.read_channel(spark, root, "quote").count() == 0
+    for _ in range(2):
+        catalog.adopt(spark, root)
+        assert src.read_channel(spark, root, "quote").count() == 3 * 24 * 40
+        assert src.read_channel(spark, root, "trade").count() == 3 * 24 * 40
+
+
+def test_compact_is_one_step(spark, tmp_path, monkeypatch):
+    """A stop at any point leaves every row once, and appends meanwhile stay."""
+    root, day = str(tmp_path), "2023-11-15"
+    for _ in range(2):
+        out.lake_write(days_of_symbols(spark), "trade", root, buckets=2)
+    count = src.read_channel(spark, root, "trade").count()
+
+    def stopped(*_, **__):
+        raise RuntimeError("stopped")
+
+    def appended(*args):
+        added = written(*args)
+        patch.undo()
+        out.lake_write(days_of_symbols(spark, 1, 1), "trade", root, buckets=2)
+        return added
+
+    written = catalog.written
+    with monkeypatch.context() as patch:
+        patch.setattr(catalog, "commit", stopped)
+        with pytest.raises(RuntimeError):
+            out.compact(spark, root, "trade", day)
+    assert src.read_channel(spark, root, "trade").count() == count
+    with monkeypatch.context() as patch:
+        patch.setattr(out, "_delete", stopped)
+        with pytest.raises(RuntimeError):
+            out.compact(spark, root, "trade", day)
+    assert src.read_channel(spark, root, "trade").count() == count
+    # rows that come in before the commit
+    with monkeypatch.context() as patch:
+        patch.setattr(catalog, "written", appended)
+        out.compact(spark, root, "trade", day)
+    assert src.read_channel(spark, root, "trade").count() == count + 24
+    count += 24
+    catalog.fold(spark, root, "trade")
+    assert len(glob.glob(f"{root}/_files/channel=trade/*.parquet")) == 1
+    assert src.read_channel(spark, root, "trade").count() == count
+    assert src.lake_scan(spark, root, "trade", "s7", DAY1, DAY2 + 86_400 * S).count() == 50
+    assert src.lake_scan(spark, root, "trade", "s0", DAY1, DAY2 + 86_400 * S).count() == 50 + 24
