@@ -1,13 +1,11 @@
-"""Sequence numbers, block hashes and book-delta continuity."""
+"""Sequence numbers and book-delta continuity."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from typing import Any
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tapeline.operators.ordered import DAY_NS, Segment, lag_columns, lay_out, running
 
@@ -46,55 +44,6 @@ def seq_gap(
     )
 
 
-def reorg_detect(
-    blocks: DataFrame,
-    *,
-    keys: Sequence[str] = ("chain",),
-    max_depth: int = 100,
-    arrival: str = "arrival",
-) -> DataFrame:
-    """Blocks whose parent is not the stored block before them, by the rule of the live
-    version (`streaming.books`).
-
-    The fork point and the blocks above it are forgotten, and the odd block itself is not
-    stored; ``max_depth`` blocks are kept. What is stored depends on every earlier block
-    of the chain, so a chain passes one task, as a stream in order of ``arrival`` that
-    holds ``max_depth`` hashes; chains spread over tasks. Returns the keys,
-    (block_number, fork_point, expected, got).
-    """
-    columns = [*keys, arrival, "block_number", "block_hash", "parent_hash"]
-    rows = blocks.select(*columns).repartition(*keys).sortWithinPartitions(*keys, arrival)
-    out = T.StructType(
-        [blocks.schema[k] for k in keys]
-        + [T.StructField(n, T.LongType()) for n in ("block_number", "fork_point")]
-        + [T.StructField(n, T.StringType()) for n in ("expected", "got")]
-    )
-
-    def run(batches: Iterator[Any]) -> Iterator[Any]:
-        import pyarrow as pa
-
-        chain, held = None, {}
-        for batch in batches:
-            found = []
-            for row in batch.to_pylist():
-                own = tuple(row[k] for k in keys)
-                if own != chain:
-                    chain, held = own, {}
-                number = row["block_number"]
-                while len(held) >= max_depth:
-                    del held[min(held)]
-                known = held.get(number - 1)
-                if known is not None and known != row["parent_hash"]:
-                    found.append((*own, number, number - 1, known, row["parent_hash"]))
-                    held = {n: h for n, h in held.items() if n < number - 1}
-                else:
-                    held[number] = row["block_hash"]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], names=out.names)
-
-    return rows.mapInArrow(run, out)
-
-
 def book_gap(
     records: DataFrame,
     *,

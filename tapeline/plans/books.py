@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tapeline.functions.timefns import micros_to_ns
 from tapeline.operators import book as bk
 from tapeline.operators import depth as dp
+from tapeline.operators import reorg as ro
 from tapeline.operators import replay as rp
 from tapeline.operators import sequence as sq
 from tapeline.operators import stats as st
@@ -395,7 +396,27 @@ FROM placed LEFT JOIN orders p ON p.o_orderkey = first_n - 1
 WHERE (place + CASE WHEN p.o_orderkey IS NULL THEN 1 ELSE 0 END) % 2 = 1""",
 )
 def reorg_detect(spark, d):
-    return sq.reorg_detect(blocks(spark, d))
+    return ro.reorg_detect(blocks(spark, d))
+
+
+@query(
+    "reorg_chains",
+    """WITH b AS (
+  SELECT o_orderkey AS n, 'all' AS chain, o_orderpriority = '1-URGENT' AS odd FROM orders
+  UNION ALL SELECT o_orderkey, 'c' || CAST(floor(sqrt(o_orderkey) / 40) AS BIGINT), o_orderpriority = '1-URGENT' FROM orders),
+runs AS (SELECT *, n - row_number() OVER (PARTITION BY chain ORDER BY n) AS run FROM b WHERE odd),
+placed AS (SELECT *, row_number() OVER (PARTITION BY chain, run ORDER BY n) AS place,
+                  min(n) OVER (PARTITION BY chain, run) AS first_n FROM runs)
+SELECT r.chain, r.n AS block_number, r.n - 1 AS fork_point, 'h' || (r.n - 1) AS expected, 'x' || (r.n - 1) AS got
+FROM placed r LEFT JOIN b p ON p.chain = r.chain AND p.n = first_n - 1
+WHERE (place + CASE WHEN p.n IS NULL THEN 1 ELSE 0 END) % 2 = 1""",
+)
+def reorg_chains(spark, d):
+    """Chains of unequal length, and one that holds every block."""
+    every = blocks(spark, d)
+    own = F.floor(F.sqrt("block_number") / 40).cast("string")
+    cut = every.withColumn("chain", F.concat(F.lit("c"), own))
+    return ro.reorg_detect(every.withColumn("chain", F.lit("all")).unionByName(cut))
 
 
 # -- order, replay, projections ---------------------------------------------------

@@ -31,7 +31,8 @@ class _Stream:
     def parquet(self, path):
         folder, name = path.rsplit("/", 1)
         schema = self.spark.read.parquet(path).schema
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+        reader = self.spark.readStream.schema(schema).option("pathGlobFilter", name)
+        return reader.option("maxFilesPerTrigger", 8).parquet(folder)
 
 
 def trade_stream(spark, d):

@@ -14,8 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor
 
+from tapeline.operators.reorg import advance
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 VENUES = ("spot", "futures")
+# Stands for a hash that stays in the state unread.
+_UNREAD = object()
 
 
 def _use_rocksdb(df: DataFrame) -> None:
@@ -308,37 +312,48 @@ def stream_book(records: DataFrame) -> DataFrame:
 
 
 class Reorg(StatefulProcessor):
-    """The last ``depth`` block hashes of a chain."""
+    """Forks of a chain's blocks, by the rule of `operators.reorg`.
+
+    The numbers held are one value; hashes are keyed by number, and a micro-batch reads
+    only those of numbers just before its own blocks.
+    """
 
     def __init__(self, depth: int):
         self.depth = depth
 
     def init(self, handle) -> None:
+        self.numbers = handle.getValueState("numbers", "held array<long>")
         self.hashes = handle.getMapState("hashes", "number long", "hash string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = {int(n[0]): h[0] for n, h in self.hashes.iterator()}
-        before = dict(held)
-        out = []
         batch = _ordered(rows)
-        for number, hash_, parent in zip(
-            batch["block_number"], batch["block_hash"], batch["parent_hash"]
-        ):
-            number = int(number)
-            while len(held) >= self.depth:
-                del held[min(held)]
-            known = held.get(number - 1)
-            if known is not None and known != parent:
-                out.append((key[0], number, number - 1, known, parent))
-                held = {n: h for n, h in held.items() if n < number - 1}
-            else:
-                held[number] = hash_
-        for number in before.keys() - held.keys():
-            self.hashes.removeKey((number,))
+        before = set(self.numbers.get()[0]) if self.numbers.exists() else set()
+        parents = batch["block_number"] - 1
+        asked = before & set(parents)
+        read = {n: self.hashes.getValue((int(n),))[0] for n in asked}
+        # a block is doubtful if a hash for the number before it is not its parent
+        own = batch.groupby("block_number")["block_hash"].agg(["min", "max"])
+        doubtful = pd.Series(False, index=batch.index)
+        for known in (parents.map(read), parents.map(own["min"]), parents.map(own["max"])):
+            doubtful |= known.notna() & (known != batch["parent_hash"])
+        forks, held = advance(
+            {n: read.get(n, _UNREAD) for n in before},
+            batch["block_number"].tolist(),
+            batch["block_hash"].tolist(),
+            batch["parent_hash"].tolist(),
+            doubtful.to_numpy().nonzero()[0].tolist(),
+            self.depth,
+        )
+        for number in before - held.keys():
+            self.hashes.removeKey((int(number),))
         for number, hash_ in held.items():
-            if before.get(number) != hash_:
-                self.hashes.updateValue((number,), (hash_,))
-        yield pd.DataFrame(out, columns=["chain", "block_number", "fork_point", "expected", "got"])
+            if hash_ is not _UNREAD and read.get(number, _UNREAD) != hash_:
+                self.hashes.updateValue((int(number),), (hash_,))
+        self.numbers.update((sorted(int(n) for n in held),))
+        yield pd.DataFrame(
+            [(key[0], *fork) for fork in forks],
+            columns=["chain", "block_number", "fork_point", "expected", "got"],
+        )
 
     def close(self) -> None:
         pass
@@ -347,8 +362,8 @@ class Reorg(StatefulProcessor):
 def stream_reorg(blocks: DataFrame, *, depth: int = 100) -> DataFrame:
     """Fork points of a block stream (chain, ord, block_number, block_hash, parent_hash).
 
-    A block whose parent is not the stored block before it names that block as the fork
-    point; it and the blocks above it are forgotten, and so is the odd block itself.
+    A block whose parent is not the one held before it names that as the fork point; it
+    and the blocks above it are forgotten, and the odd block itself is not held.
     """
     _use_rocksdb(blocks)
     return blocks.groupBy("chain").transformWithStateInPandas(
