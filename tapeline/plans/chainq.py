@@ -273,16 +273,15 @@ def _hex40(sql: str) -> str:
     f"""WITH l AS (SELECT *, 'tx-' || l_orderkey || '-' || l_partkey AS tx FROM lineitem)
 SELECT tx AS tx_hash, CAST(l_linenumber AS BIGINT) AS log_index, CASE WHEN l_returnflag = 'R' THEN '0x' ELSE '1inch' END AS protocol,
        '0x' || lpad(lower(to_hex(l_orderkey)), 64, '0') AS order_hash, {_hex40('l_partkey')} AS maker, {_hex40('l_suppkey')} AS taker,
-       CASE WHEN l_returnflag = 'R' THEN {_hex40('l_partkey + 1')} ELSE {_hex40('l_linenumber + 7')} END AS maker_token,
+       CASE WHEN l_returnflag = 'R' THEN {_hex40('l_partkey + 1')} ELSE {_hex40('max(l_linenumber) OVER (PARTITION BY tx) + 7')} END AS maker_token,
        CASE WHEN l_returnflag = 'R' THEN {_hex40('l_partkey + 2')} ELSE '0x{"0" * 40}' END AS taker_token,
        {rnd('l_quantity')} AS maker_amount, {rnd('l_quantity + 1')} AS taker_amount
-FROM l QUALIFY count(*) OVER (PARTITION BY tx) = 1""",
+FROM l""",
 )
 def src_limit_order_logs(spark, d):
-    """Every layout of both protocols; one transfer per transaction leaves the maker."""
+    """Every layout of both protocols. A transaction may hold several fills of a maker; of
+    the transfers that leave the maker in it the last one counts."""
     i = items(spark, d)
-    once = i.groupBy("tx_hash").count().where("count = 1").select("tx_hash")
-    i = i.join(once, "tx_hash", "left_semi")
     hash_, maker, taker = addr(F.col("l_orderkey")), addr(F.col("l_partkey")), addr(F.col("l_suppkey"))
     gave, got = addr(F.col("l_partkey") + 1), addr(F.col("l_partkey") + 2)
     n, m = word(F.col("l_quantity").cast("long")), word(F.col("l_quantity").cast("long") + 1)

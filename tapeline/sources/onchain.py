@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeline.functions.hexwords import WORD, address, byte_length, exact, signed, strip_0x, unsigned, word
+from tapeline.functions.hexwords import WORD, address, byte_length, numbers, strip_0x, word
 from tapeline.functions.timefns import SECOND
 from tapeline.schema import LEVELS
 
@@ -37,11 +37,17 @@ def _scale(decimals: Column) -> Column:
 
 
 def _words(logs: DataFrame, count: int) -> DataFrame:
-    """The first words of the payload as columns."""
+    """The first words of the payload as columns of text."""
     bare = logs.withColumn("_data", strip_0x(F.col("data")))
     return bare.withColumns({f"_w{i}": word(F.col("_data"), i) for i in range(count)})
 
 
+def _numbers(logs: DataFrame, *kinds: str) -> DataFrame:
+    """The first words of the payload as numbers, columns ``_0``, ``_1``, ..."""
+    read = logs.withColumn("_n", numbers(F.col("data"), kinds))
+    return read.withColumns({f"_{i}": F.col(f"_n.w{i}") for i in range(len(kinds))}).drop("_n")
+
+
 def _trades(rows: DataFrame, base: Column, quote: Column, is_buy: Column, local_ts: Column | None) -> DataFrame:
     symbol = F.concat(F.lit(f"{PROVIDER}:"), F.col("pool"))
     source = F.col("block_ts").cast("long") * SECOND
@@ -64,8 +70,7 @@ def _trades(rows: DataFrame, base: Column, quote: Column, is_buy: Column, local_
 
 def src_swap_logs_v3(logs: DataFrame, pools: DataFrame, *, local_ts: Column | None = None) -> DataFrame:
     """Concentrated-liquidity swaps: two signed amounts; the base leaving the pool is a buy."""
-    rows = _words(logs, 2).join(pools, "pool")
-    rows = rows.withColumns({f"_{i}": signed(F.col(f"_w{i}")) for i in range(2)})
+    rows = _numbers(logs, "signed", "signed").join(pools, "pool")
     flip = F.col("is_flipped")
     base_raw = F.when(flip, F.col("_1")).otherwise(F.col("_0"))
     quote_raw = F.when(flip, F.col("_0")).otherwise(F.col("_1"))
@@ -76,8 +81,7 @@ def src_swap_logs_v3(logs: DataFrame, pools: DataFrame, *, local_ts: Column | No
 
 def src_swap_logs_v2(logs: DataFrame, pools: DataFrame, *, local_ts: Column | None = None) -> DataFrame:
     """Constant-product swaps: amounts in and out per token; base going out is a buy."""
-    rows = _words(logs, 4).join(pools, "pool")
-    rows = rows.withColumns({f"_{i}": unsigned(F.col(f"_w{i}")) for i in range(4)})
+    rows = _numbers(logs, *["unsigned"] * 4).join(pools, "pool")
     flip = F.col("is_flipped")
 
     def moved(token: int) -> Column:
@@ -258,35 +262,51 @@ def _lending(local_ts: Column | None) -> list[Column]:
 
 
 def src_lending_logs(logs: DataFrame, *, local_ts: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(reserve updates, liquidation calls) by first topic."""
-    rows = _words(logs, 5)
+    """(reserve updates, liquidation calls) by first topic.
+
+    Indices from 10^38 on do not fit their column: they are null, and
+    ``lending_dead_letters`` has their logs.
+    """
+    rows = _numbers(_words(logs, 3), "unsigned", "unsigned", "unsigned", "unsigned")
     topic = F.lower(F.get("topics", F.lit(0)))
 
     def named(i: int) -> Column:
         return address(F.get("topics", F.lit(i)))
 
-    updates = rows.where(topic == RESERVE_DATA_UPDATED).select(
+    update = _numbers(logs, "unsigned", "unsigned", "unsigned", "exact", "exact")
+    updates = update.where(topic == RESERVE_DATA_UPDATED).select(
         *_lending(local_ts),
         named(1).alias("reserve"),
-        (unsigned(F.col("_w0")) / RAY).alias("liquidity_rate"),
-        (unsigned(F.col("_w1")) / RAY).alias("stable_borrow_rate"),
-        (unsigned(F.col("_w2")) / RAY).alias("variable_borrow_rate"),
-        exact(F.col("_w3")).alias("liquidity_index"),
-        exact(F.col("_w4")).alias("variable_borrow_index"),
+        (F.col("_0") / RAY).alias("liquidity_rate"),
+        (F.col("_1") / RAY).alias("stable_borrow_rate"),
+        (F.col("_2") / RAY).alias("variable_borrow_rate"),
+        F.col("_3").alias("liquidity_index"),
+        F.col("_4").alias("variable_borrow_index"),
     )
     calls = rows.where(topic == LIQUIDATION_CALL).select(
         *_lending(local_ts),
         named(1).alias("collateral_asset"),
         named(2).alias("debt_asset"),
         named(3).alias("user"),
-        unsigned(F.col("_w0")).alias("debt_to_cover"),
-        unsigned(F.col("_w1")).alias("liquidated_collateral_amount"),
+        F.col("_0").alias("debt_to_cover"),
+        F.col("_1").alias("liquidated_collateral_amount"),
         address(F.col("_w2")).alias("liquidator"),
-        (unsigned(F.col("_w3")) > 0).alias("receive_a_token"),
+        (F.col("_3") > 0).alias("receive_a_token"),
     )
     return updates, calls
 
 
+def lending_dead_letters(logs: DataFrame) -> DataFrame:
+    """Reserve updates with an index that its column cannot hold: tx_hash, log_index, pool,
+    data and error."""
+    topic = F.lower(F.get("topics", F.lit(0)))
+    read = _numbers(logs.where(topic == RESERVE_DATA_UPDATED), *["fits"] * 5)
+    names = {"_3": "liquidity_index", "_4": "variable_borrow_index"}
+    wrong = F.concat_ws(", ", *[F.when(~F.col(c), F.lit(n)) for c, n in names.items()])
+    error = F.concat(wrong, F.lit(" beyond 38 digits"))
+    return read.where(wrong != "").select("tx_hash", "log_index", "pool", "data", error.alias("error"))
+
+
 def src_limit_order_logs(
     logs: DataFrame, transfers: DataFrame | None = None, *, local_ts: Column | None = None
 ) -> DataFrame:
@@ -298,7 +318,7 @@ def src_limit_order_logs(
     token and the last one to the maker the taker token. The match is an equi-join on
     (tx_hash, maker).
     """
-    logs = _words(logs, 7)
+    logs = _numbers(_words(logs, 7), *["unsigned"] * 6)
     topic = F.lower(F.get("topics", F.lit(0)))
     count = F.size("topics")
 
@@ -322,8 +342,8 @@ def src_limit_order_logs(
             ),
             "maker": words(address(F.col("_w1")), address(F.col("_w0")), spare(2)),
             "taker": words(address(F.col("_w2")), address(F.col("_w1")), spare(3)),
-            "maker_amount": words(*[unsigned(F.col(f"_w{i}")) for i in (4, 3, 1)]),
-            "taker_amount": words(*[unsigned(F.col(f"_w{i}")) for i in (5, 4, 2)]),
+            "maker_amount": words(*[F.col(f"_{i}") for i in (4, 3, 1)]),
+            "taker_amount": words(*[F.col(f"_{i}") for i in (5, 4, 2)]),
         }
     )
     keys = ["tx_hash", "maker"]
@@ -361,8 +381,8 @@ def src_limit_order_logs(
             "taker": pick(spare(2), address(F.col("_w1")), ZERO_ADDRESS),
             "maker_token": pick(address(F.col("_w0")), address(F.col("_w2")), ZERO_ADDRESS),
             "taker_token": pick(address(F.col("_w1")), address(F.col("_w3")), ZERO_ADDRESS),
-            "maker_amount": pick(unsigned(F.col("_w2")), unsigned(F.col("_w4")), 0.0),
-            "taker_amount": pick(unsigned(F.col("_w3")), unsigned(F.col("_w5")), 0.0),
+            "maker_amount": pick(F.col("_2"), F.col("_4"), 0.0),
+            "taker_amount": pick(F.col("_3"), F.col("_5"), 0.0),
             "order_hash": pick(hash_(F.col("_w4")), hash_(F.col("_w6")), ZERO_HASH),
         }
     )
