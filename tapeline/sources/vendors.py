@@ -330,19 +330,21 @@ def src_company_facts(
     An unreadable file gives no rows and an unreadable number is 0. ``tickers`` (cik,
     symbol) names the company; without an entry it is ``CIK`` and ten digits.
     """
-    parsed = payloads.select("cik", F.from_json("payload", FACTS_SCHEMA).alias("_p"))
-    taxa = parsed.select("cik", F.posexplode("_p.facts").alias("_o1", "taxonomy", "_tags"))
-    tags = taxa.select("cik", "_o1", "taxonomy", F.posexplode("_tags").alias("_o2", "tag", "_t"))
-    units = tags.select("cik", "_o1", "_o2", "taxonomy", "tag", F.posexplode("_t.units").alias("_o3", "unit", "_v"))
-    facts = units.select(
-        "cik", "_o1", "_o2", "_o3", "taxonomy", "tag", "unit", F.posexplode("_v").alias("_o4", "_f")
-    )
     if tickers is not None:
         named = tickers.select(F.col("cik").cast("long").alias("cik"), F.col("symbol").alias("_sym"))
-        facts = facts.join(named, "cik", "left")
+        payloads = payloads.join(named, "cik", "left")
     else:
-        facts = facts.withColumn("_sym", _null("string"))
-    symbol = F.coalesce("_sym", F.concat(F.lit("CIK"), normalize_cik(F.col("cik").cast("string"))))
+        payloads = payloads.withColumn("_sym", _null("string"))
+    # the company is named once per payload, before its facts multiply
+    own = F.coalesce("_sym", F.concat(F.lit("CIK"), normalize_cik(F.col("cik").cast("string"))))
+    parsed = payloads.select(own.alias("_sym"), F.from_json("payload", FACTS_SCHEMA).alias("_p"))
+    taxa = parsed.select("_sym", F.posexplode("_p.facts").alias("_o1", "taxonomy", "_tags"))
+    tags = taxa.select("_sym", "_o1", "taxonomy", F.posexplode("_tags").alias("_o2", "tag", "_t"))
+    units = tags.select("_sym", "_o1", "_o2", "taxonomy", "tag", F.posexplode("_t.units").alias("_o3", "unit", "_v"))
+    facts = units.select(
+        "_sym", "_o1", "_o2", "_o3", "taxonomy", "tag", "unit", F.posexplode("_v").alias("_o4", "_f")
+    )
+    symbol = F.col("_sym")
     fp = F.when(F.col("_f.fp").isin(*FISCAL_PERIODS), F.col("_f.fp"))
     return facts.select(
         *_record(provider, symbol, symbol, _null("long"), F.lit(0) if local_ts is None else local_ts),
