@@ -8,8 +8,8 @@ is packed by best fit again, and so on, until one group is left. A piece's place
 from the bins it passed through. Only lengths and ids travel, never texts or tokens.
 
 A document is its token ids by the given tokenizer without special tokens, then the id 0.
-Null and empty texts are the single id 0. Strings of special tokens in a text are
-ordinary text. Rows that repeat an id are packed each. An empty table gives an empty
+Null and empty texts are the single id 0. The file's added tokens are found in a text, as
+``tokenizers`` does. Rows that repeat an id are packed each. An empty table gives an empty
 result.
 """
 
@@ -44,7 +44,7 @@ def byte_characters() -> dict[str, int]:
 
 
 class TokenIds:
-    """Ids of texts under a ``tokenizers`` file of byte-level BPE without special tokens.
+    """Ids of texts under a ``tokenizers`` file of byte-level BPE; none are put around them.
 
     The file's vocabulary lists tokens in the order of their merges, so its ids serve as
     merge ranks; ``tiktoken`` applies them several times faster and to the same ids (the
@@ -57,7 +57,10 @@ class TokenIds:
 
         with open(path, encoding="utf-8") as lines:
             spec = json.load(lines)
-        special = {t["content"] for t in spec.get("added_tokens", ())}
+        added = spec.get("added_tokens", ())
+        if any(t[f] for t in added for f in ("lstrip", "rstrip", "single_word", "normalized")):
+            raise ValueError(f"{path}: added tokens that strip, normalise or want whole words")
+        special = {t["content"]: t["id"] for t in added}
         as_byte = byte_characters()
         ranks = {
             bytes(as_byte[c] for c in token): i
@@ -65,12 +68,12 @@ class TokenIds:
             if token not in special
         }
         self.encoding = tiktoken.Encoding(
-            os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+            os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special
         )
 
     def __call__(self, text: bytes) -> bytes:
         """Packed little-endian 32-bit ids of a valid UTF-8 text."""
-        ids = self.encoding.encode_to_numpy(text.decode("utf-8"), disallowed_special=())
+        ids = self.encoding.encode_to_numpy(text.decode("utf-8"), allowed_special="all")
         return ids.astype("<u4", copy=False).tobytes()
 
 
