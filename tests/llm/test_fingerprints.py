@@ -23,8 +23,6 @@ def mix(x):
 
 def plain_fingerprint(text):
     k, s = syncmers.K, syncmers.S
-    if 0 < len(text) < k:
-        return (xxhash.xxh32_intdigest(text.encode()),)
 
     def inner(i):
         h = 0
@@ -42,6 +40,8 @@ def plain_fingerprint(text):
                 h = mix((h * 0xD6E8FEB86659FD93 + hashes[step]) & M)
                 covered = step + s
             first.setdefault(h >> 32, i)
+    if text and not first:
+        return (xxhash.xxh32_intdigest(text.encode()),)
     least = sorted(first)[: syncmers.SKETCH]
     return tuple(sorted(least, key=first.get))
 
@@ -52,6 +52,16 @@ def test_fingerprints_equal_plain_python():
     assert syncmers.fingerprints(texts) == [plain_fingerprint(t) for t in texts]
 
 
+def test_every_text_has_a_fingerprint():
+    rng = random.Random(2)
+    texts = sorted({"".join(rng.choices("abcdefgh ", k=n)) for n in range(1, 19) for _ in range(30)})
+    found = syncmers.fingerprints(texts)
+    assert all(found) and found == [plain_fingerprint(t) for t in texts]
+    short = [f for f, t in zip(found, texts) if 12 <= len(t)]
+    assert len(set(short)) == len(short)
+    assert syncmers.fingerprints(["", "x"])[0] == ()
+
+
 def test_likeness():
     a = tuple(range(100, 200))
     assert syncmers.likeness(a, a) == 1 and syncmers.likeness((), ()) == 1
