@@ -35,13 +35,17 @@ MALE_CYRILLIC = "господин|г-н"
 FEMALE_CYRILLIC = "госпожа|г-жа"
 NEUTRAL = "Dr|Prof"
 
-# Quantifiers are bounded or start at a word boundary, so that long runs stay linear.
+SECRETS = "password|passwd|secret|api_key|apikey|token"
+
+# Quantifiers are bounded, possessive or start at a word boundary, so that long runs stay
+# linear.
 PATTERNS = {
     "EMAIL": r"\b[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "ACCESS_KEY": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    "API_KEY": r"\b(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,128}",
-    "HEX_SECRET": r"\b(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})\b",
-    "PASSWORD": r"(?i:password|passwd|secret|api_key|apikey|token)[=:][^\s\"'=:]{6,128}",
+    "API_KEY": r"\b(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,}+",
+    "HEX_SECRET": r"\b(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)\b",
+    # with blanks around the sign, as in prose, a secret has a digit or a symbol
+    "PASSWORD": rf"(?i:{SECRETS})(?:[=:]|[ \t]{{0,3}}[=:][ \t]{{0,3}}(?=[^\s\"'=:]*[0-9!#$%&*+@^_~]))[^\s\"'=:]{{6,}}+",
     "IBAN": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "IP": r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b",
     "PHONE": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}\b"
@@ -54,10 +58,12 @@ PATTERNS = {
 FIND = "|".join(PATTERNS.values())
 # What every mention without a digit or @ holds: texts without either are passed over.
 WITHOUT_DIGITS = (
-    r"(?i:password|passwd|secret|api_key|apikey|token)[=:]|AKIA|ASIA|\b(?:sk|pk|ghp|gho|xoxb|xoxp)[-_]"
+    rf"(?i:{SECRETS})[ \t]{{0,3}}[=:]|AKIA|ASIA|\b(?:sk|pk|ghp|gho|xoxb|xoxp)[-_]"
     rf"|[a-f]{{32}}|[A-F]{{32}}|(?:{MALE}|{FEMALE}|{NEUTRAL}|{MALE_CYRILLIC}|{FEMALE_CYRILLIC})\.? \p{{Lu}}"
 )
-KEYWORD = "^[A-Za-z_]+[=:]"
+#: Attempts at surrogates that are distinct and no one's own mention.
+ROUNDS = 100
+KEYWORD = r"^[A-Za-z_]+[ \t]{0,3}[=:][ \t]{0,3}"
 
 # Names to choose from, by gender and script; fixed values.
 GIVEN = {
@@ -136,8 +142,13 @@ def _number(digest: Column, place: Column, width: int = 2) -> Column:
     return F.conv(F.substr(digest, place * width + 1, F.lit(width)), 16, 10).cast("int")
 
 
-def _recoded(text: Column, digest: Column, keep: Column | None = None) -> Column:
-    """Each digit by a digit and each letter by a letter of its case; the first ``keep`` stay."""
+def _recoded(
+    text: Column, digest: Column, keep: Column | None = None, symbols: Column | None = None
+) -> Column:
+    """Each digit by a digit and each letter by a letter of its case; the first ``keep`` stay.
+
+    Letters of other scripts become Latin ones, and so do symbols where ``symbols`` holds.
+    """
     letters, capitals = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
     def one(c: Column, i: Column) -> Column:
@@ -146,6 +157,10 @@ def _recoded(text: Column, digest: Column, keep: Column | None = None) -> Column
             F.when(c.between("0", "9"), (n % 10).cast("string"))
             .when(c.between("a", "z"), F.substr(F.lit(letters), n % 26 + 1, F.lit(1)))
             .when(c.between("A", "Z"), F.substr(F.lit(capitals), n % 26 + 1, F.lit(1)))
+            .when(
+                c.rlike(r"[^\x00-\x7F]") | (F.lit(False) if symbols is None else symbols),
+                F.substr(F.lit(letters), n % 26 + 1, F.lit(1)),
+            )
             .otherwise(c)
         )
         return new if keep is None else F.when(i < keep, c).otherwise(new)
@@ -197,7 +212,8 @@ def _surrogate(key: str, kind: Column, normal: Column, attempt: Column) -> Colum
         for gender in "MFN":
             name = f"GIVEN_{gender}_{script}"
             chosen = chosen.when(kind == name, F.concat(_word(GIVEN[name], _number(digest, F.lit(0))), more))
-    return chosen.otherwise(_recoded(normal, digest))
+    # a mention of symbols alone differs from its surrogate from the second attempt on
+    return chosen.otherwise(_recoded(normal, digest, symbols=attempt > 0))
 
 
 def _rendered(kind: Column, mention: Column, surrogate: Column) -> Column:
@@ -238,10 +254,11 @@ def _rendered(kind: Column, mention: Column, surrogate: Column) -> Column:
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """type, normal, surrogate for distinct entities, free of collisions.
 
-    Each round writes its table; only entities that collided change in the next one.
+    Each round writes its table; only entities that collided change in the next one. Each
+    attempt draws anew, so rounds without end would mean that a type's surrogates ran out.
     """
     table = entities.select("type", "normal").distinct().withColumn("attempt", F.lit(0))
-    while True:
+    for _ in range(ROUNDS):
         table = table.withColumn(
             "surrogate", _surrogate(key, F.col("type"), F.col("normal"), F.col("attempt"))
         )
@@ -270,6 +287,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         ).select(
             "type", "normal", (F.col("attempt") + F.col("t").isNotNull().cast("int")).alias("attempt")
         )
+    raise RuntimeError(f"surrogates still collide after {ROUNDS} rounds")
 
 
 def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:

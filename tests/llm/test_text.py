@@ -4,6 +4,7 @@ import re
 
 import duckdb
 import pytest
+import pytest
 from helpers import ROWS, empty_documents, odd_documents, table
 from pyspark.sql import functions as F
 
@@ -217,3 +218,35 @@ def test_pipeline(spark, tmp_path):
     assert len(toxic & ids[1]) <= 0.5 * len(toxic & ids[0])
     assert not pii.mentions(kept[4]).where(F.col("part_text").rlike(r"mail\d\.example\.com")).count()
     assert corpus_pipeline.run(spark, sf).count() == kept[5].count()
+
+
+def test_secrets_of_any_length_and_script_go_whole(spark):
+    secrets = [
+        "password=********",
+        "token=тайныйпароль",
+        "sk-" + "aB3" * 100,
+        "f0" * 100,
+        "secret: hunter2secret",
+        "API_KEY = q" + "7" * 300,
+        "sk_" + "-" * 20,
+    ]
+    texts = [f"before {s} after" for s in secrets]
+    kept = ["the password: please enter it", "token = nothing"]
+    rows = pii.replace_pii(table(spark, list(enumerate(texts + kept))), count_col="n").collect()
+    got = {r.doc_id: (r.text, r.n) for r in rows}
+    for i, secret in enumerate(secrets):
+        text, n = got[i]
+        value = secret.split("=")[-1].split(": ")[-1].strip()
+        assert n == 1 and text.startswith("before ") and text.endswith(" after")
+        assert len(text) == len(texts[i]) and value not in text
+        tail = value[-40:]
+        assert len(tail) < 6 or tail not in text
+    assert [got[len(texts) + i] for i in range(2)] == [(k, 0) for k in kept]
+
+
+def test_surrogates_that_run_out_are_told(spark, monkeypatch):
+    monkeypatch.setattr(pii, "_surrogate", lambda key, kind, normal, attempt: normal)
+    monkeypatch.setattr(pii, "ROUNDS", 3)
+    entities = spark.createDataFrame([("SSN", "1")], "type string, normal string")
+    with pytest.raises(RuntimeError):
+        pii.surrogates(entities, "k")
