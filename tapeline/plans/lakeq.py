@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyarrow import fs, ipc
 from pyspark.sql import functions as F
 
 from tapeline.operators import lakejobs as jobs
@@ -294,6 +295,22 @@ def export(spark, d):
     return r6(both, "total", digits=4)
 
 
+@query(
+    "export_arrow",
+    f"""WITH {TRADES} SELECT symbol, CAST(id AS VARCHAR) AS id, local_ts, {rnd('price')} AS price FROM trades
+WHERE symbol IN ({_LISTED}) AND local_ts BETWEEN {START} AND {END}""",
+)
+def export_arrow(spark, d):
+    """A range of trades as one Arrow file, read back."""
+    dest = scratch_path(spark, "export-arrow")
+    jobs.lake_export(spark, shared_lake(spark, d), "trade", SYMBOLS, START, END, "arrow", dest, limit=out.ARROW_ROWS)
+    system, base = fs.FileSystem.from_uri(dest) if "://" in dest else (fs.LocalFileSystem(), dest)
+    with system.open_input_file(f"{base}/part-000000.arrow") as source:
+        rows = ipc.open_file(source).read_all()
+    back = spark.createDataFrame(rows.select(["symbol", "id", "local_ts", "price"]))
+    return r6(back, "price")
+
+
 @query(
     "dead_letter",
     """SELECT event_id AS id, event_type = 'error' AS broken FROM events""",

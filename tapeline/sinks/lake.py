@@ -16,6 +16,8 @@ from tapeline.sinks.conform import BUCKETS, conform_channel, derive_partition_co
 from tapeline.sources import catalog
 
 REJECTED = "_rejected"
+# Rows that an export as Arrow may bring to the driver.
+ARROW_ROWS = 1_000_000
 EXPORT_FORMATS = ("parquet", "csv", "arrow", "json", "jsonl")
 
 
@@ -144,57 +146,51 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select(*[text(f) for f in df.schema.fields])
 
 
-def _write_files(df: DataFrame, dest: str, suffix: str) -> None:
-    """One Arrow IPC or JSON-array file per partition, written by its own task.
+def _json_arrays(df: DataFrame) -> DataFrame:
+    """Lines of text that make one JSON array of each partition."""
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
 
-    A file appears under its final name only when complete, so a retried task
-    replaces its own output.
-    """
-
-    def write(batches: Iterator[Any]) -> Iterator[Any]:
+    def lines(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
-        from pyarrow import fs
-        from pyspark import TaskContext
-
-        system, base = fs.FileSystem.from_uri(dest) if "://" in dest else (fs.LocalFileSystem(), dest)
-        task = TaskContext.get()
-        part, attempt = task.partitionId(), task.taskAttemptId()
-        system.create_dir(base, recursive=True)
-        temp = f"{base}/.tmp-{part}-{attempt}"
-        rows, writer, sink = 0, None, None
+        import pyarrow.compute as pc
+
+        mark = "["
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            if sink is None:
-                sink = system.open_output_stream(temp)
-                if suffix == "arrow":
-                    writer = pa.ipc.new_file(sink, batch.schema)
-            if writer is not None:
-                writer.write_batch(batch)
-            else:
-                for text in batch.column("value").to_pylist():
-                    sink.write((("[" if rows == 0 else ",\n") + text).encode())
-                    rows += 1
-        if sink is not None:
-            if writer is not None:
-                writer.close()
-            else:
-                sink.write(b"]")
-            sink.close()
-            system.move(temp, f"{base}/part-{part:06d}.{suffix}")
-        return iter(())
-
-    df.mapInArrow(write, "done int").count()
+            if batch.num_rows:
+                marks = [mark] + [","] * (batch.num_rows - 1)
+                text = pc.binary_join_element_wise(pa.array(marks), batch.column("value").cast("string"), "")
+                yield pa.RecordBatch.from_arrays([text], names=["value"])
+                mark = ","
+        if mark == ",":
+            yield pa.RecordBatch.from_arrays([pa.array(["]"])], names=["value"])
+
+    return rows.mapInArrow(lines, "value string")
+
+
+def _write_arrow(df: DataFrame, dest: str) -> None:
+    """One Arrow IPC file of a bounded result, written by the driver."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    table = df.toArrow()
+    system, base = fs.FileSystem.from_uri(dest) if "://" in dest else (fs.LocalFileSystem(), dest)
+    system.create_dir(base, recursive=True)
+    with system.open_output_stream(f"{base}/part-000000.arrow") as sink:
+        with pa.ipc.new_file(sink, table.schema) as writer:
+            writer.write_table(table)
 
 
 def export(df: DataFrame, fmt: str, dest: str, limit: int | None = None) -> None:
     """Write a scan to a folder as parquet, csv, arrow, json (arrays) or jsonl.
 
-    With a limit, the first rows in time order are written. Every task writes its own
-    file; nothing passes through the driver.
+    With a limit, the first rows in time order are written. Spark's writers make the files;
+    only ``arrow``, for which there is none, passes through the driver and so needs a limit
+    of at most ``ARROW_ROWS``.
     """
     if fmt not in EXPORT_FORMATS:
         raise ValueError(f"fmt must be one of {EXPORT_FORMATS}, got {fmt!r}")
+    if fmt == "arrow" and (limit is None or limit > ARROW_ROWS):
+        raise ValueError(f"arrow needs a limit of at most {ARROW_ROWS}, got {limit}")
     df = limit_rows(df, limit)
     if fmt == "parquet":
         df.write.option("compression", "zstd").option(
@@ -205,10 +201,9 @@ def export(df: DataFrame, fmt: str, dest: str, limit: int | None = None) -> None
     elif fmt == "jsonl":
         df.write.option("ignoreNullFields", False).json(dest)
     elif fmt == "json":
-        rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
-        _write_files(rows, os.fspath(dest), "json")
+        _json_arrays(df).write.text(dest)
     else:
-        _write_files(df, os.fspath(dest), "arrow")
+        _write_arrow(df, os.fspath(dest))
 
 
 def limit_rows(df: DataFrame, limit: int | None, order: str = "local_ts") -> DataFrame:

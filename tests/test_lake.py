@@ -149,6 +149,8 @@ def test_export(spark, lake, tmp_path):
         out.export(df, "xml", str(tmp_path / "x"))
     with pytest.raises(ValueError):
         out.export(df, "csv", str(tmp_path / "x"), limit=-1)
+    with pytest.raises(ValueError):
+        out.export(df, "arrow", str(tmp_path / "x"))
 
 
 def test_eod_files(spark, tmp_path):
