@@ -13,6 +13,7 @@ from tapeline.sources.lake import read_channel
 from tapeline.streaming import bars as sb
 from tapeline.streaming import books as bk
 from tapeline.streaming.lake import drain, lake_write_stream
+from tapeline.streaming.totals import LiveTotals, watch_totals
 from tapeline.plans import roles
 
 WEEK = 168 * HOUR
@@ -206,3 +207,29 @@ def stream_book(spark, d):
     path = stored.inputFiles()[0].rsplit("/", 1)[0]
     live = spark.readStream.schema(stored.schema).parquet(path)
     return drain(bk.stream_book(live), "live-book")
+
+
+@query(
+    "live_totals",
+    f"""WITH {TRADES} SELECT count(*) AS rows, count(price) AS valued, {rnd('last(price ORDER BY local_ts, id)')} AS last_value,
+       max(local_ts) AS last_ts FROM trades""",
+)
+def live_totals(spark, d):
+    """What the micro-batches of the trade stream counted, added up."""
+    totals = LiveTotals()
+    spark.streams.addListener(totals)
+    try:
+        trades = trade_stream(spark, d).withColumn("channel", F.lit("trade"))
+        drain(watch_totals(trades, order=["local_ts", "id"]), "totals")
+        totals.ended.wait(30)
+    finally:
+        spark.streams.removeListener(totals)
+    rows = [(b["rows"], b["valued"], b["last_value"], b["last_ts"]) for b in totals.batches]
+    seen = spark.createDataFrame(rows, "rows long, valued long, last_value double, last_ts long")
+    out = seen.agg(
+        F.sum("rows").alias("rows"),
+        F.sum("valued").alias("valued"),
+        F.max_by("last_value", "last_ts").alias("last_value"),
+        F.max("last_ts").alias("last_ts"),
+    )
+    return r6(out, "last_value")

@@ -8,6 +8,7 @@ from tapeline.operators import book as bk
 from tapeline.plans import ORACLES, QUERIES
 from tapeline.streaming import books as live
 from tapeline.streaming.lake import drain
+from tapeline.streaming.totals import LiveTotals, watch_totals
 
 DEPTH = "symbol string, ord long, is_snapshot boolean, first_id long, final_id long, prev_id long"
 
@@ -97,6 +98,26 @@ def test_reorg_over_batches(spark, tmp_path):
     assert got == [(12, 11, "a11", "b11"), (13, 12, "b12", "c12")]
 
 
+def test_totals_of_every_batch(spark, tmp_path):
+    schema = "symbol string, channel string, local_ts long, price double"
+    parts = [
+        [("a", "trade", 1, 10.0), ("b", "trade", 2, 20.0)],
+        [("a", "trade", 5, 30.0), ("a", "trade", 4, 40.0), ("a", "book", 9, None)],
+        [("c", "trade", 3, 50.0)],
+    ]
+    told = []
+    totals = LiveTotals(told.append)
+    spark.streams.addListener(totals)
+    try:
+        drain(watch_totals(batches(spark, tmp_path, parts, schema)), "t")
+        assert totals.ended.wait(30)
+    finally:
+        spark.streams.removeListener(totals)
+    got = [(b["batch"], b["rows"], b["valued"], b["last_value"], b["last_ts"]) for b in told]
+    assert got == [(0, 2, 2, 20.0, 2), (1, 3, 2, 30.0, 9), (2, 1, 1, 50.0, 3)]
+    assert (totals.rows, totals.last_value) == (6, 30.0) and totals.batches == told
+
+
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLES)
 
