@@ -202,21 +202,33 @@ def src_pool_ladder_v3(spark, d):
 _CP_BASE = "CASE WHEN flip THEN reserve1 ELSE reserve0 END"
 
 
-@query(
-    "src_pool_ladder_cp",
-    _ladder_sql(
-        "1 + 0.0005 * #",
-        "1 - 0.0005 * #",
-        f"({_CP_BASE}) * (1 / sqrt(1 + 0.0005 * (# - 1)) - 1 / sqrt(1 + 0.0005 * #))",
-        f"({_CP_BASE}) * (1 / sqrt(1 - 0.0005 * #) - 1 / sqrt(1 - 0.0005 * (# - 1)))",
-        "NOT v3",
-    ),
+_CP = _ladder_sql(
+    "1 + 0.0005 * #",
+    "1 - 0.0005 * #",
+    f"({_CP_BASE}) * (1 / sqrt(1 + 0.0005 * (# - 1)) - 1 / sqrt(1 + 0.0005 * #))",
+    f"({_CP_BASE}) * (1 / sqrt(1 - 0.0005 * #) - 1 / sqrt(1 - 0.0005 * (# - 1)))",
+    "NOT v3",
 )
+
+
+@query("src_pool_ladder_cp", _CP)
 def src_pool_ladder_cp(spark, d):
     s = src.src_pool_state(states(spark, d), pools(spark, d)).where("pool_type <> 'uniswap_v3'")
     return _flat(src.src_pool_ladder_cp(s))
 
 
+@query(
+    "ladder_quote",
+    f"""SELECT id, bids_near AS bid_px, bids_near_size AS bid_sz, asks_near AS ask_px, asks_near_size AS ask_sz FROM ({_CP})""",
+)
+def ladder_quote(spark, d):
+    """The best levels of constant-product ladders as quotes, prices relative to the pool's."""
+    s = src.src_pool_state(states(spark, d), pools(spark, d)).where("pool_type <> 'uniswap_v3'")
+    quotes = src.ladder_quote(src.src_pool_ladder_cp(s))
+    quotes = quotes.withColumns({c: F.col(c) / F.col("price") for c in ("bid_px", "ask_px")})
+    return r6(quotes.select("id", "bid_px", "bid_sz", "ask_px", "ask_sz"), "bid_px", "bid_sz", "ask_px", "ask_sz")
+
+
 @query(
     "src_lending_logs",
     f"""SELECT 'lending:P' || l_suppkey AS symbol, 'update' AS kind, '0x' || lpad(lower(to_hex(l_partkey)), 40, '0') AS asset,
