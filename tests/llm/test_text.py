@@ -1,10 +1,11 @@
 """Surrogates, boilerplate lines, main text and the pipeline."""
 
+import random
 import re
+import time
 
 import duckdb
 import pytest
-import pytest
 from helpers import ROWS, empty_documents, odd_documents, table
 from pyspark.sql import functions as F
 
@@ -166,6 +167,78 @@ def test_main_text(body):
     assert html_text.main_text(PAGE.format(body=body)) == f"Head & line\n{LONG}\nYes.\n{LONG} bold"
 
 
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "with-comments", "header-fixed", "share-page"])
+def test_names_of_layout_and_state_mark_nothing(name):
+    body = f'<div class="{name}"><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div>'
+    assert html_text.main_text(PAGE.format(body=body)) == f"Head\n{LONG}\n{LONG}"
+
+
+def test_a_marked_wrapper_of_the_article_stays():
+    article = f"<article><h1>Head</h1><p>{LONG}</p></article>"
+    for tag in ("form", "div class=widget", "section id=search"):
+        page = PAGE.format(body=f"<{tag}>{article}</{tag.split()[0]}>")
+        assert html_text.main_text(page) == f"Head\n{LONG}"
+    replies = "".join(f"<article><p>{LONG} {i}</p></article>" for i in range(9))
+    page = PAGE.format(body=f"<div><h1>Head</h1><p>{LONG}</p></div><div class='comments'>{replies}</div>")
+    assert html_text.main_text(page) == f"Head\n{LONG}"
+
+
+def test_one_long_paragraph_moves_no_threshold():
+    def paragraphs(*sizes):
+        return ["word " * (n // 5 - 1) + "word" for n in sizes]
+
+    first, second = paragraphs(300, 6000, 300), paragraphs(*[300] * 5)
+    body = "".join(f"<section>{''.join(f'<p>{t}</p>' for t in part)}</section>" for part in (first, second))
+    assert html_text.main_text(f"<body><div>{body}</div></body>") == "\n".join(first + second)
+
+
+def test_passed_elements_do_not_break_a_line():
+    body = "<p>one <script>x()</script>two <span class='share'>tweet</span>three<button>Go</button> four</p>"
+    assert html_text.main_text(f"<article>{body}</article>") == "one two three four"
+
+
+def test_composed_pages_give_back_their_article():
+    """Articles of any shape in wrappers of any kind, among boilerplate of any kind."""
+    rng = random.Random(5)
+    wrappers = [
+        "<article>{}</article>",
+        "<main class='page-with-sidebar'>{}</main>",
+        "<div id='content'>{}</div>",
+        "<form><main>{}</main></form>",
+        "<div class='layout no-sidebar'><section>{}</section></div>",
+    ]
+    beside = [
+        "<nav><a href='/'>Home</a> <a href='/b'>All of our many stories</a></nav>",
+        "<div class='cookie-banner'>We use cookies to make this page work better for you.</div>",
+        "<ul id='main-menu'><li><a href='/x'>One</a></li><li><a href='/y'>Two</a></li></ul>",
+        "<footer><p>All rights reserved by the company that runs this page.</p></footer>",
+        "<script>var a = '<p>no</p>';</script><style>p {}</style>",
+        "<div class='comment-list'><p>A reader says that this is a very good story, and long.</p></div>",
+    ]
+    for _ in range(300):
+        blocks = [" ".join("w%d" % rng.randrange(99) for _ in range(rng.choice([4, 30, 60, 400]))) for _ in range(rng.randint(3, 9))]
+        blocks[0] = blocks[-1] = LONG
+        inner = ""
+        for text in blocks:
+            tag = rng.choice(["p", "h2", "blockquote", "div"])
+            words = text.split()
+            at = rng.randrange(len(words))
+            words[at] = rng.choice(["<b>{}</b>", "<a href='/z'>{}</a>", "{}<!-- c -->", "{}"]).format(words[at])
+            inner += f"<{tag}>{'  '.join(words)}</{tag}>\n"
+            inner += rng.choice(["", "", "<div class='ad-slot'>Buy now</div>", "<aside>Read also</aside>"])
+        rng.shuffle(beside)
+        cut = rng.randint(0, len(beside))
+        page = f"<html><body>{''.join(beside[:cut])}{rng.choice(wrappers).format(inner)}{''.join(beside[cut:])}</body></html>"
+        assert html_text.main_text(page) == "\n".join(blocks)
+
+
+def test_deep_markup_takes_linear_time():
+    for unit in ("<div>a", "<b>a", "<div>a</p>", "<b><i>a</b>"):
+        began = time.perf_counter()
+        assert "a" in html_text.main_text(unit * 30_000)
+        assert time.perf_counter() - began < 10
+
+
 def test_white_space_and_references():
     page = "<article><p>a&nbsp;b\t\n c &lt;d&gt; &#233;</p><ul><li>one</li><li>two</li></ul><p></p></article>"
     assert html_text.main_text(page) == "a b c <d> é\none\ntwo"
