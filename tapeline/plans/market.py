@@ -135,14 +135,14 @@ def vwap(spark, d):
 
 
 @query(
-    "stream_order_check",
+    "order_violations",
     f"""WITH {TRADES}, t AS (
   SELECT symbol, id, local_ts, max(local_ts) OVER (PARTITION BY symbol ORDER BY price, id
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_ts
   FROM trades)
 SELECT symbol, id, local_ts, prev_ts FROM t WHERE local_ts < prev_ts""",
 )
-def stream_order_check(spark, d):
+def order_violations(spark, d):
     bad = rs.order_violations(trades(spark, d), arrival=["price", "id"])
     return bad.select("symbol", "id", "local_ts", "prev_ts")
 

@@ -13,6 +13,7 @@ from tapeline.sources.lake import read_channel
 from tapeline.streaming import bars as sb
 from tapeline.streaming import books as bk
 from tapeline.streaming.lake import drain, lake_write_stream
+from tapeline.streaming.order import late_rows
 from tapeline.streaming.totals import LiveTotals, watch_totals
 from tapeline.plans import roles
 
@@ -135,13 +136,82 @@ def book_sync(spark, d):
     return drain(bk.book_sync(depth_events(spark, d), "spot"), "sync")
 
 
+@query(
+    "book_sync_futures",
+    f"""WITH {FEEDS} SELECT symbol, id AS ord, CASE WHEN sid IS NULL THEN 'DROP' WHEN id - sid = place THEN 'APPLY' ELSE 'RESYNC' END AS action
+FROM synced WHERE NOT snap""",
+)
+def book_sync_futures(spark, d):
+    """Deltas of three ids each; a snapshot's number lies within the delta after it."""
+    snap, n = F.col("provider") == "signup", 3 * F.col("id")
+    events = feeds(spark, d).select(
+        "symbol",
+        "ord",
+        snap.alias("is_snapshot"),
+        n.alias("first_id"),
+        F.when(snap, n + 4).otherwise(n + 2).alias("final_id"),
+        (n - 1).alias("prev_id"),
+    )
+    return drain(bk.book_sync(events, "futures"), "sync-futures")
+
+
+RESYNC_BUFFER = 3
+
+
 @query(
     "book_resync",
-    f"""WITH {FEEDS} SELECT symbol, id AS ord, CASE WHEN snap THEN 'snapshot' ELSE 'delta' END AS emitted
-FROM synced WHERE snap OR id - sid = place""",
+    f"""WITH {TRADES}, feeds AS (
+  SELECT 'feed:' || (id // 100) AS symbol, id, provider = 'signup' AS snap, id % 4 AS late FROM trades WHERE provider <> 'error'),
+parts AS (  -- part k of a feed follows its k-th snapshot and ends with the next
+  SELECT *, coalesce(sum(snap::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k, id - lag(id) OVER w AS step
+  FROM feeds WINDOW w AS (PARTITION BY symbol ORDER BY id)),
+runs AS (SELECT *, sum((step IS DISTINCT FROM 1)::INT) OVER (PARTITION BY symbol, k ORDER BY id) AS run FROM parts),
+placed AS (SELECT *, id - min(id) OVER (PARTITION BY symbol, k, run) AS pos FROM runs),
+snaps AS (SELECT *, late = 0 OR pos % {RESYNC_BUFFER} + 1 >= late AS covers, run > 0 AS broken FROM placed WHERE snap),
+rules AS (  -- whether a book waits at a snapshot, after waiting or not at the one before
+  SELECT *, k > 0 AND (broken OR NOT lag(covers) OVER w) AS after_wait, k > 0 AND (broken OR lag(late) OVER w <> 0) AS after_sync
+  FROM snaps WINDOW w AS (PARTITION BY symbol ORDER BY id)),
+sure AS (SELECT *, sum((after_wait = after_sync)::INT) OVER (PARTITION BY symbol ORDER BY id) AS grp FROM rules),
+waits AS (  -- where the two differ, waiting turns over
+  SELECT *, (first(after_wait::INT) OVER w + row_number() OVER w - 1) % 2 = 1 AS waiting
+  FROM sure WINDOW w AS (PARTITION BY symbol, grp ORDER BY id)),
+deltas AS (
+  SELECT p.*, p.k > 0 AND p.run = 0 AND CASE WHEN b.waiting THEN b.covers ELSE b.late = 0 END AS live,
+         coalesce(e.waiting AND e.covers AND p.id > e.id - e.late, false) AS kept
+  FROM placed p LEFT JOIN waits b ON b.symbol = p.symbol AND b.k = p.k - 1 LEFT JOIN waits e ON e.symbol = p.symbol AND e.k = p.k)
+SELECT symbol, 2 * id + 1 AS ord, CASE WHEN waiting AND NOT covers THEN 'resync_failed' ELSE 'snapshot' END AS emitted FROM waits
+UNION ALL SELECT symbol, 2 * id, 'delta' FROM deltas WHERE live
+UNION ALL SELECT symbol, 2 * id, 'kept' FROM deltas WHERE kept
+UNION ALL SELECT symbol, 2 * id, 'buffer_full' FROM deltas WHERE k > 0 AND NOT live AND pos > 0 AND pos % {RESYNC_BUFFER} = 0""",
 )
 def book_resync(spark, d):
-    return drain(bk.book_resync(depth_events(spark, d), "spot"), "resync")
+    """Every message is a delta; after a sign-up comes a snapshot that is up to three
+    messages old. A book keeps three deltas while it waits."""
+    snap, n = F.col("provider") == "signup", F.col("id")
+
+    def event(ord_, is_snapshot, first, final):
+        parts = {"ord": ord_, "is_snapshot": F.lit(is_snapshot), "first_id": first, "final_id": final, "prev_id": n - 1}
+        return F.struct(*[c.alias(name) for name, c in parts.items()])
+
+    delta, held = event(2 * n, False, n, n), event(2 * n + 1, True, n - n % 4, n - n % 4)
+    events = feeds(spark, d).select(
+        "symbol", F.explode(F.when(snap, F.array(delta, held)).otherwise(F.array(delta))).alias("e")
+    )
+    return drain(bk.book_resync(events.select("symbol", "e.*"), "spot", RESYNC_BUFFER), "resync")
+
+
+@query(
+    "stream_order_check",
+    f"""WITH {TRADES}, t AS (
+  SELECT symbol, id, local_ts, max(local_ts) OVER (PARTITION BY symbol ORDER BY id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_ts
+  FROM (SELECT symbol, (id * 1103515245) % 2147483647 AS id, local_ts FROM trades))
+SELECT symbol, id, local_ts, prev_ts FROM t WHERE local_ts < prev_ts""",
+)
+def stream_order_check(spark, d):
+    """Late rows of a stream whose messages arrive in another order than they were sent."""
+    arriving = trade_stream(spark, d).withColumn("id", F.col("id") * 1103515245 % 2147483647)
+    return drain(late_rows(arriving, arrival="id"), "late")
 
 
 @query(

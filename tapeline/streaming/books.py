@@ -18,6 +18,8 @@ from tapeline.operators.reorg import advance
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 VENUES = ("spot", "futures")
+#: Deltas that a book keeps while it waits for a snapshot.
+MAX_BUFFER = 5_000
 # Stands for a hash that stays in the state unread.
 _UNREAD = object()
 
@@ -120,8 +122,8 @@ def _covers(venue: str, snapshot: int, kept: list[tuple]) -> bool:
 class BookResync(StatefulProcessor):
     """Emit deltas while in sync; buffer them while waiting for a new snapshot."""
 
-    def __init__(self, venue: str):
-        self.venue = venue
+    def __init__(self, venue: str, max_buffer: int):
+        self.venue, self.max_buffer = venue, max_buffer
 
     def init(self, handle) -> None:
         self.state = handle.getValueState("sync", "snapshot long, last long, resyncing boolean")
@@ -168,6 +170,9 @@ class BookResync(StatefulProcessor):
             if waiting:
                 if buffer and not self.joins(buffer[-1], delta):
                     buffer, cleared = [], True
+                elif len(buffer) >= self.max_buffer:
+                    out.append((key[0], ord_, "buffer_full"))
+                    buffer, cleared = [], True
                 buffer.append(delta)
                 continue
             action = sync.feed(*delta[1:])
@@ -188,17 +193,22 @@ class BookResync(StatefulProcessor):
         pass
 
 
-def book_resync(events: DataFrame, venue: str = "spot") -> DataFrame:
-    """(symbol, ord, emitted) in output order: delta, snapshot, kept or resync_failed.
+def book_resync(events: DataFrame, venue: str = "spot", max_buffer: int = MAX_BUFFER) -> DataFrame:
+    """(symbol, ord, emitted) in output order: delta, snapshot, kept, resync_failed or
+    buffer_full.
 
     A break starts buffering; the next snapshot releases the buffered deltas past it
     when they continue it unbroken. A break among the buffered deltas starts the buffer
-    anew, since nothing before it could follow the snapshot.
+    anew, since nothing before it could follow the snapshot. So does a delta that finds
+    ``max_buffer`` others waiting, and ``buffer_full`` tells of it: a state never grows
+    beyond that, and a snapshot from before the new start fails.
     """
     _check(venue)
+    if max_buffer < 1:
+        raise ValueError(f"max_buffer must be positive, got {max_buffer}")
     _use_rocksdb(events)
     return events.groupBy("symbol").transformWithStateInPandas(
-        BookResync(venue), "symbol string, ord long, emitted string", "Append", "None"
+        BookResync(venue, max_buffer), "symbol string, ord long, emitted string", "Append", "None"
     )
 
 

@@ -1,7 +1,10 @@
 """Live state machines over several micro-batches."""
 
+import threading
+
 import pytest
 from conftest import SF
+from pyspark.sql.streaming import StreamingQueryListener
 from test_books import BOOK, FEED, gap_rule, random_records
 
 from tapeline.operators import book as bk
@@ -43,6 +46,85 @@ def test_resync_keeps_what_continues_the_snapshot(spark, tmp_path):
     ]
 
 
+def test_resync_keeps_a_bounded_buffer(spark, tmp_path):
+    def d(ord_, n):
+        return ("s", ord_, False, n, n, n - 1)
+
+    def snap(ord_, at):
+        return ("s", ord_, True, at, at, None)
+
+    parts = [
+        [snap(0, 5), d(1, 6), d(2, 10), d(3, 11)],
+        [d(4, 12), d(5, 13)],  # the fourth waiting delta starts the buffer anew
+        [d(6, 14), snap(7, 12), d(8, 15), d(9, 20), d(10, 21), d(11, 22)],
+        [d(12, 23), d(13, 24), snap(14, 21), d(15, 25)],
+    ]
+    out = drain(live.book_resync(batches(spark, tmp_path, parts, DEPTH), max_buffer=3), "t")
+    got = sorted((r.ord, r.emitted) for r in out.collect())
+    assert got == [
+        (0, "snapshot"), (1, "delta"),
+        (5, "buffer_full"), (5, "kept"), (6, "kept"), (7, "snapshot"), (8, "delta"),
+        (12, "buffer_full"), (14, "resync_failed"),
+    ]
+    with pytest.raises(ValueError):
+        live.book_resync(batches(spark, tmp_path, [], DEPTH), max_buffer=0)
+
+
+def test_late_rows_over_batches(spark, tmp_path):
+    import random
+
+    from tapeline.operators.resample import order_violations
+    from tapeline.streaming.order import ARRIVED, LATE, late_rows
+
+    class Told(StreamingQueryListener):
+        def __init__(self):
+            self.batches, self.ended = [], threading.Event()
+
+        def onQueryStarted(self, event):
+            pass
+
+        def onQueryProgress(self, event):
+            seen = event.progress.observedMetrics
+            if seen.get(ARRIVED) and seen[ARRIVED]["rows"]:
+                self.batches.append((seen[ARRIVED]["rows"], seen[LATE]["rows"]))
+
+        def onQueryTerminated(self, event):
+            self.ended.set()
+
+    rng = random.Random(3)
+    schema = "symbol string, venue string, ord long, local_ts long"
+    big = 1_700_000_000_000_000_000
+    rows = [
+        (rng.choice(["a", "b", None]), rng.choice("xy"), i, None if rng.random() < 0.1 else big + i + rng.randrange(-20, 20))
+        for i in range(300)
+    ]
+    keys = ["symbol", "venue"]
+    told = Told()
+    spark.streams.addListener(told)
+    try:
+        parts = [rows[:100], rows[100:130], rows[130:]]
+        out = drain(late_rows(batches(spark, tmp_path, parts, schema), keys=keys), "t")
+        assert told.ended.wait(30)
+    finally:
+        spark.streams.removeListener(told)
+    want = order_violations(spark.createDataFrame(rows, schema), keys=keys, arrival=["ord"])
+    want = sorted((r.ord, r.local_ts, r.prev_ts) for r in want.select("ord", "local_ts", "prev_ts").collect())
+    assert want and sorted((r.ord, r.local_ts, r.prev_ts) for r in out.collect()) == want
+    timed = [sum(r[3] is not None for r in part) for part in parts]
+    assert [b[0] for b in told.batches] == timed and sum(b[1] for b in told.batches) == len(want)
+
+
+def test_a_late_row_can_end_the_stream(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+
+    from tapeline.streaming.order import late_rows
+
+    schema = "symbol string, ord long, local_ts long"
+    parts = [[("a", 0, 5), ("b", 1, 9)], [("a", 2, 5), ("a", 3, 4)]]
+    with pytest.raises(StreamingQueryException, match="comes after 5"):
+        drain(late_rows(batches(spark, tmp_path, parts, schema), refuse=True), "t")
+
+
 @pytest.mark.parametrize("venue", live.VENUES)
 def test_sync_actions(venue):
     sync = live.Sync(venue, None, None)
