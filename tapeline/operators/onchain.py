@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Function selectors. Fixed values.
@@ -21,29 +21,45 @@ def trace_ancestor_join(calls: DataFrame) -> DataFrame:
     """Calls to an address that is already active further up: (tx_hash, ord).
 
     ``calls``: tx_hash, ord (order in the trace), call_type, from_addr, to_addr, path
-    ARRAY<INT>. Each call lists the proper prefixes of its own path (as many as its
-    depth) and meets an earlier call to the same address by an equi-join, so calls of
-    one transaction are never paired with each other.
+    ARRAY<INT>. A call's path is its entry on a tour of the tree of calls, and all it
+    makes lie between that and its exit. Intervals of one tree nest or are apart, so of
+    the calls to one address, sorted by entry, those before the farthest exit so far are
+    active ones' descendants: one sort by (tx_hash, address, entry), linear in the calls.
+    A trace lists a call before those it makes. Where one does not, the call at hand is
+    looked up by the prefixes of its path. Calls of an empty path have no caller.
     """
+    entry = F.array_join(F.transform("path", lambda n: F.lpad(F.hex(n), 8, "0")), "")
     live = calls.where(
         (F.coalesce("to_addr", F.lit("")) != "")
         & (F.coalesce("call_type", F.lit("")) != "staticcall")
-    ).select("tx_hash", "ord", F.lower("to_addr").alias("_to"), "path")
-    seen = live.groupBy("tx_hash", "_to", F.col("path").alias("_prefix")).agg(
-        F.min("ord").alias("_first")
-    )
-    deeper = live.where(F.size("path") > 0).select(
+        & F.col("path").isNotNull()
+    ).select("tx_hash", "ord", F.lower("to_addr").alias("_to"), entry.alias("_entry"))
+    tour = Window.partitionBy("tx_hash", "_to").orderBy("_entry", "ord")
+    before = tour.rowsBetween(Window.unboundedPreceding, -1)
+    # repeated paths see what their first row sees
+    alike = Window.partitionBy("tx_hash", "_to", "_entry").orderBy("ord")
+    alike = alike.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    exits = F.concat("_entry", F.lit("~"))  # after all hexadecimal digits
+    seen = live.select(
+        "*", F.max(exits).over(before).alias("_exit"), F.max("ord").over(before).alias("_latest")
+    ).select("*", F.first("_exit").over(alike).alias("_far"), F.first("_latest").over(alike).alias("_late"))
+    below = seen.where(F.col("_far") > F.col("_entry"))
+    sure = below.where(F.col("_late") < F.col("ord")).select("tx_hash", "ord")
+
+    unsure = below.where(F.col("_late") >= F.col("ord")).select(
         "tx_hash",
         "ord",
         "_to",
         F.explode(
             F.transform(
-                F.sequence(F.lit(0), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n)
+                F.sequence(F.lit(0), F.expr("length(_entry) div 8 - 1").cast("int")),
+                lambda n: F.substring("_entry", F.lit(1), n * 8),
             )
-        ).alias("_prefix"),
+        ).alias("_entry"),
     )
-    met = deeper.join(seen, ["tx_hash", "_to", "_prefix"]).where(F.col("_first") < F.col("ord"))
-    return met.select("tx_hash", "ord").distinct()
+    firsts = live.groupBy("tx_hash", "_to", "_entry").agg(F.min("ord").alias("_first"))
+    met = unsure.join(firsts, ["tx_hash", "_to", "_entry"]).where(F.col("_first") < F.col("ord"))
+    return sure.union(met.select("tx_hash", "ord")).distinct()
 
 
 def internal_swaps(calls: DataFrame) -> DataFrame:
@@ -68,17 +84,18 @@ def trace_summary(calls: DataFrame) -> DataFrame:
     The swaps themselves are the rows of ``internal_swaps``.
     """
     selector = F.lower(F.substring("input", 1, 10))
-    flags = calls.groupBy("tx_hash").agg(
-        F.coalesce(F.bool_or(selector.isin(*FLASH_LOAN_SELECTORS)), F.lit(False)).alias("flashloans"),
-        F.count(F.when(selector.isin(*SWAP_SELECTORS), F.lit(1))).alias("internal_swaps"),
-    )
-    again = trace_ancestor_join(calls).select("tx_hash").distinct()
-    again = again.withColumn("_again", F.lit(True))
-    return flags.join(again, "tx_hash", "left").select(
+    told = calls.select(
         "tx_hash",
-        "flashloans",
-        F.coalesce("_again", F.lit(False)).alias("reentrancy_detected"),
-        "internal_swaps",
+        F.coalesce(selector.isin(*FLASH_LOAN_SELECTORS), F.lit(False)).alias("_loan"),
+        F.coalesce(selector.isin(*SWAP_SELECTORS), F.lit(False)).alias("_swap"),
+        F.lit(False).alias("_again"),
+    )
+    none = F.lit(False)
+    again = trace_ancestor_join(calls).select("tx_hash", none, none, F.lit(True))
+    return told.union(again).groupBy("tx_hash").agg(
+        F.bool_or("_loan").alias("flashloans"),
+        F.bool_or("_again").alias("reentrancy_detected"),
+        F.count_if("_swap").alias("internal_swaps"),
     )
 
 

@@ -1,5 +1,6 @@
 """Hand-computed cases."""
 
+import random
 import datetime as dt
 import json
 import math
@@ -348,3 +349,35 @@ def test_traces(spark):
     df = spark.createDataFrame(rows, "tx_hash string, ord int, call_type string, from_addr string, to_addr string, input string, path array<int>")
     got = {r.tx_hash: (r.flashloans, r.reentrancy_detected, r.internal_swaps) for r in oc.trace_summary(df).collect()}
     assert got == {"t": (True, True, 1), "u": (False, False, 0), "v": (False, False, 0)}
+
+
+def test_reentrant_calls_of_random_traces(spark):
+    """Calls in the order of their trace, out of it, and of repeated paths."""
+    rng = random.Random(11)
+    rows = []
+    for tx in range(40):
+        paths = [[]]
+        for _ in range(30):
+            base = rng.choice(paths)
+            paths.append([*base, rng.choice([0, 1, 9, 10, 300])])
+        paths.sort()
+        if tx % 2:
+            rng.shuffle(paths)
+        for n, path in enumerate(paths):
+            kind = "staticcall" if rng.random() < 0.1 else rng.choice(["call", None])
+            rows.append((f"t{tx}", n, kind, rng.choice(["0xA", "0xa", "0xB", "", None]), path))
+    want = {
+        (x[0], x[1])
+        for x in rows
+        for y in rows
+        if x[0] == y[0] and y[1] < x[1] and x[3] and y[3] and x[3].lower() == y[3].lower()
+        and "staticcall" not in (x[2], y[2])
+        and len(y[4]) < len(x[4]) and x[4][: len(y[4])] == y[4]
+    }
+    df = spark.createDataFrame(rows, "tx_hash string, ord int, call_type string, to_addr string, path array<int>")
+    got = [(r.tx_hash, r.ord) for r in oc.trace_ancestor_join(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and any(int(t[1:]) % 2 for t, _ in want)
+    wide = df.withColumns({"from_addr": F.lit("0xf"), "input": F.lit(None).cast("string")})
+    summary = {r.tx_hash: r.reentrancy_detected for r in oc.trace_summary(wide).collect()}
+    assert summary == {f"t{tx}": any(t == f"t{tx}" for t, _ in want) for tx in range(40)}
+    assert oc.trace_summary(wide.limit(0)).count() == 0
