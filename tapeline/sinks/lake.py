@@ -44,15 +44,27 @@ def lake_rows(df: DataFrame, channel: str, buckets: int = BUCKETS) -> DataFrame:
     return conform_channel(derive_partition_cols(df, channel, buckets), channel)
 
 
-def lake_write(df: DataFrame, channel: str, root: str, *, buckets: int = BUCKETS) -> None:
+def lake_write(
+    df: DataFrame,
+    channel: str,
+    root: str,
+    *,
+    buckets: int = BUCKETS,
+    batch: tuple[str, int] | None = None,
+) -> None:
     """Append records to ``root/provider=/channel=/date=/bucket=``.
 
     The new files are seen when their row stands in the catalog. Rows whose provider may
     not name a folder go to ``root/_rejected/<channel>``; only if there are any is the
     input computed again for them. The number of buckets is noted with the lake, so that
     scans can prune by it; a lake keeps the number it began with.
+
+    ``batch`` names a stream and the number of its micro-batch. It enters the catalog in
+    the commit that shows the files, so a batch is there once, wherever a driver stopped.
     """
     spark = df.sparkSession
+    if batch and catalog.has_batch(spark, root, channel, *batch):
+        return
     note_buckets(spark, root, buckets)
     if catalog.entries(spark, root) is None:
         catalog.adopt(spark, root)
@@ -68,8 +80,8 @@ def lake_write(df: DataFrame, channel: str, root: str, *, buckets: int = BUCKETS
     added = catalog.written(spark, root, folders)
     if unsafe:
         rows.where(~safe).write.mode("append").parquet(f"{root}/{REJECTED}/{channel}")
-    if added:
-        catalog.commit(spark, root, channel, added)
+    if added or batch:
+        catalog.commit(spark, root, channel, added, batch=batch)
 
 
 def _observed(seen: Observation) -> tuple[list[str], bool]:

@@ -2,7 +2,8 @@
 
 ``root/_files/channel=<channel>`` holds commits, one Parquet file each, so a commit is
 there whole or not at all. A row adds a file (path below the root, provider, date, bucket,
-rows, first and last time, symbols) or removes one. Up to ``LISTED`` symbols are listed; a
+rows, first and last time, symbols), removes one, or notes a stream's micro-batch whose
+files the same commit adds (stream as path, number of the batch as rows). Up to ``LISTED`` symbols are listed; a
 file of more has a Bloom filter alone: ``HASHES`` positions a symbol in ``BITS`` bits.
 
 A lake that has a catalog is read through it, and no folder is listed. Files that another
@@ -50,6 +51,14 @@ def live_files(spark: SparkSession, root: str, channel: str | None = None) -> Da
     return found.where("op = 'add'").dropDuplicates(["path"]).join(removed, "path", "left_anti")
 
 
+def has_batch(spark: SparkSession, root: str, channel: str, stream: str, number: int) -> bool:
+    """Whether a stream's micro-batch, or a later one, stands in the catalog."""
+    found = entries(spark, root, channel)
+    if found is None:
+        return False
+    return not found.where((F.col("op") == "batch") & (F.col("path") == stream) & (F.col("rows") >= number)).isEmpty()
+
+
 def _bits(symbol: Column) -> Column:
     return F.transform(
         F.array(*[F.lit(k) for k in range(HASHES)]), lambda k: F.pmod(F.xxhash64(symbol, k), F.lit(BITS))
@@ -117,11 +126,18 @@ def statistics(spark: SparkSession, root: str, paths: Sequence[str]) -> DataFram
 
 
 def commit(
-    spark: SparkSession, root: str, channel: str, added: Sequence[str], removed: Iterable[str] = ()
+    spark: SparkSession,
+    root: str,
+    channel: str,
+    added: Sequence[str],
+    removed: Iterable[str] = (),
+    batch: tuple[str, int] | None = None,
 ) -> None:
-    """Add and remove files of a channel in one step."""
+    """Add and remove files of a channel in one step; ``batch`` names the stream and number
+    of the micro-batch they come from."""
     columns = [c.split(" ")[0] for c in SCHEMA.split(", ")][:-1]
-    rows = spark.createDataFrame([("remove", p) for p in removed], "op string, path string")
+    changes = [("remove", p, None) for p in removed] + ([("batch", *batch)] if batch else [])
+    rows = spark.createDataFrame(changes, "op string, path string, rows long")
     if added:
         rows = rows.unionByName(statistics(spark, root, added), allowMissingColumns=True)
     else:
@@ -182,8 +198,8 @@ def adopt(spark: SparkSession, root: str) -> None:
 def fold(spark: SparkSession, root: str, channel: str) -> None:
     """Write a channel's commits anew as one.
 
-    The new commit repeats the rows of live files. The old ones go from the oldest on, so
-    that a file's removal never goes before its addition.
+    The new commit repeats the rows of live files and the last batch of each stream. The
+    old ones go from the oldest on, so that a file's removal never goes before its addition.
     """
     folder = f"{root}/{FILES}/channel={channel}"
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -191,6 +207,9 @@ def fold(spark: SparkSession, root: str, channel: str) -> None:
     old = sorted((s.getModificationTime(), str(s.getPath())) for s in system.listStatus(path))
     old = [name for _, name in old if name.endswith(".parquet")]
     live = live_files(spark, root, channel).drop("channel")
+    streams = entries(spark, root, channel).where("op = 'batch'")
+    streams = streams.groupBy("op", "path").agg(F.max("rows").alias("rows"))
+    live = live.unionByName(streams, allowMissingColumns=True)
     live.repartition(1).write.mode("append").parquet(folder)
     for name in old:
         system.delete(spark._jvm.org.apache.hadoop.fs.Path(name), False)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -35,24 +34,6 @@ def decode_frames(frames: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]
     return good, parsed.where(broken).select("local_ts", "raw", reason.alias("error"))
 
 
-def once(spark: SparkSession, checkpoint: str, batch_id: int, write: Callable[[], None]) -> None:
-    """Run the write of a micro-batch unless it was completed before.
-
-    A note per batch lies beside the query's checkpoint, so a batch that Spark delivers
-    again after a restart is not written twice. Only a stop between the write and its
-    note can repeat a batch.
-    """
-    note = f"{checkpoint}/lake-batches/{batch_id}"
-    try:
-        if not spark.read.schema("done boolean").parquet(note).isEmpty():
-            return
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-    write()
-    spark.range(1).select(F.lit(True).alias("done")).coalesce(1).write.mode("overwrite").parquet(note)
-
-
 def lake_write_stream(
     records: DataFrame,
     channel: str,
@@ -62,15 +43,17 @@ def lake_write_stream(
     every: str | None = "5 seconds",
     buckets: int = BUCKETS,
 ) -> StreamingQuery:
-    """Append a stream to a channel; ``every=None`` drains what is there and stops."""
+    """Append a stream to a channel; ``every=None`` drains what is there and stops.
+
+    A micro-batch that Spark delivers again after a restart is written once: the commit
+    that shows its files names it, by the checkpoint and its number. Only rows that no
+    folder can hold (``_rejected``) may stand there twice.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist()
         try:
-            once(
-                batch.sparkSession, checkpoint, batch_id,
-                lambda: lake_write(held, channel, root, buckets=buckets),
-            )
+            lake_write(held, channel, root, buckets=buckets, batch=(checkpoint, batch_id))
         finally:
             held.unpersist()
 
@@ -90,18 +73,18 @@ def frames_write_stream(
     every: str | None = "5 seconds",
     buckets: int = BUCKETS,
 ) -> StreamingQuery:
-    """Decode raw frames; records go to the lake, malformed frames to a table."""
+    """Decode raw frames; records go to the lake, malformed frames to a table.
+
+    Both hold a micro-batch once: its records as ``lake_write_stream`` says, its dead
+    letters in a folder of its own (``batch``), which a second delivery overwrites.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist()  # decoded for both tables, read once
-
-        def both() -> None:
-            good, bad = decode_frames(held, schema)
-            lake_write(to_records(good), channel, root, buckets=buckets)
-            bad.write.mode("append").parquet(dead_letters)
-
         try:
-            once(batch.sparkSession, checkpoint, batch_id, both)
+            good, bad = decode_frames(held, schema)
+            bad.write.mode("overwrite").parquet(f"{dead_letters}/batch={batch_id}")
+            lake_write(to_records(good), channel, root, buckets=buckets, batch=(checkpoint, batch_id))
         finally:
             held.unpersist()
 

@@ -5,6 +5,7 @@ import os
 
 import pyarrow as pa
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tapeline.schema import CHANNELS
@@ -13,7 +14,7 @@ from tapeline.sinks import lake as out
 from tapeline.sources import catalog
 from tapeline.sources import lake as src
 from tapeline.sources import vendors as vn
-from tapeline.streaming.lake import decode_frames, frames_write_stream, once
+from tapeline.streaming.lake import decode_frames, frames_write_stream, lake_write_stream
 
 DAY1, DAY2 = 1700000000 * 10**9, 1700006400 * 10**9
 S = 10**9
@@ -181,19 +182,55 @@ def test_frames_and_dead_letters(spark, tmp_path):
     )
     query.awaitTermination()
     assert src.read_channel(spark, root, "trade").count() == 1
-    assert spark.read.parquet(dead).count() == 2
+    assert sorted(r.error for r in spark.read.parquet(f"{dead}/batch=0").collect()) == ["empty frame", "malformed json"]
     assert os.path.isdir(root)
 
 
-def test_a_repeated_batch_is_written_once(spark, tmp_path):
-    done = []
-    for batch in (0, 0, 1):
-        once(spark, str(tmp_path), batch, lambda batch=batch: done.append(batch))
-    assert done == [0, 1]
-    with pytest.raises(RuntimeError):
-        once(spark, str(tmp_path), 2, lambda: (_ for _ in ()).throw(RuntimeError("stopped")))
-    once(spark, str(tmp_path), 2, lambda: done.append(2))
-    assert done == [0, 1, 2]
+@pytest.mark.parametrize("stop", ["before", "after"])
+def test_a_repeated_batch_is_written_once(spark, tmp_path, monkeypatch, stop):
+    """The driver stops before or after the commit of a stream's second batch."""
+    inbox, root, state = (str(tmp_path / n) for n in ("in", "lake", "state"))
+    rows = days_of_symbols(spark, 1, 2)
+    for part in (0, 1):
+        rows.where(F.col("price") % 4 >= 2 * part).coalesce(1).write.mode("append").parquet(inbox)
+    total = rows.count() + rows.where("price % 4 >= 2").count()
+    real, calls = catalog.commit, []
+
+    def commit(*args, **more):
+        calls.append(more["batch"])
+        if len(calls) == 2 and stop == "before":
+            raise RuntimeError("stopped")
+        real(*args, **more)
+        if len(calls) == 2:
+            raise RuntimeError("stopped")
+
+    monkeypatch.setattr(catalog, "commit", commit)
+
+    def run():
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+        lake_write_stream(stream, "trade", root, checkpoint=state, every=None, buckets=1).awaitTermination()
+
+    with pytest.raises(StreamingQueryException):
+        run()
+    run()
+    assert calls == [(state, 0), (state, 1)] + [(state, 1)] * (stop == "before")
+    assert src.read_channel(spark, root, "trade").count() == total
+
+
+def test_batches_are_known_after_compaction(spark, tmp_path):
+    root = str(tmp_path)
+    rows = days_of_symbols(spark, 1, 2)
+    for n in (0, 1):
+        out.lake_write(rows, "trade", root, buckets=1, batch=("s", n))
+    out.lake_write(rows.limit(0), "trade", root, buckets=1, batch=("s", 2))
+    out.compact(spark, root, "trade", "2023-11-15")
+    catalog.fold(spark, root, "trade")
+    for n in (0, 1, 2):
+        out.lake_write(rows, "trade", root, buckets=1, batch=("s", n))
+    assert src.read_channel(spark, root, "trade").count() == 2 * rows.count()
+    out.lake_write(rows, "trade", root, buckets=1, batch=("other", 0))
+    out.lake_write(rows, "trade", root, buckets=1, batch=("s", 3))
+    assert src.read_channel(spark, root, "trade").count() == 4 * rows.count()
 
 
 def days_of_symbols(spark, days=3, symbols=40):
