@@ -20,8 +20,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Nanoseconds of a day: the width of a segment along a numeric order column.
+# Nanoseconds of a day: the width of a segment along a time.
 DAY_NS = 86_400_000_000_000
+# The width of a segment along an integer of another unit, such as a sequence number.
+STEPS = 65_536
 Segment = Column | int | None
 SEGMENT = "_seg"
 OWN = "_own"
@@ -82,15 +84,24 @@ class Layout:
         return out.drop(SEGMENT, OWN)
 
 
+def is_time(name: str) -> bool:
+    """Whether a column's name says nanoseconds, as the channel tables have them."""
+    return name == "bar" or name == "ts" or name.endswith("_ts")
+
+
 def _segment_of(df: DataFrame, order: Sequence[str], width: int) -> Column | None:
     """Segments along the first order column: steps of ``width``, or days of a timestamp.
 
+    A day is no step for integers whose name says no time; these are cut every ``STEPS``.
+
     Dates fall into years, other types are not cut. A missing time counts as the first.
     """
     name = order[0].lstrip("-")
     kind, col = df.schema[name].dataType, F.col(name)
     if isinstance(kind, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
         at = col.cast("long")
+        if width == DAY_NS and not is_time(name):
+            width = STEPS
         return F.coalesce(F.call_function("div", at - F.pmod(at, F.lit(width)), F.lit(width)), F.lit(-(2**62)))
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.coalesce(F.unix_date(F.to_date(col)), F.lit(-(2**30)))
@@ -106,7 +117,9 @@ def lay_out(
 
     ``segment`` is a column that never falls along the order (never rises, if the first
     order column is descending), or the width of a step along the first order column, or
-    None for keys that are short as a whole.
+    None for keys that are short as a whole. Without one, nanosecond times are cut by
+    days and other integers, whose unit nobody knows, every ``STEPS``. Results are the
+    same at any width; pass one where values are further apart.
     """
     if isinstance(segment, int):
         segment = _segment_of(df, order, segment)

@@ -90,7 +90,9 @@ def closing_bars(records: DataFrame, interval: str, *, ts: str = "local_ts", del
 
     ``records`` is the same source read as a table. A stream emits a bar once the newest
     row is ``delay`` past its end; this gives the other bars, from their rows alone, so
-    that both together are complete.
+    that both together are complete but for rows that came later than ``delay``: the
+    stream left them out of bars it had closed (``streaming.order.late_rows`` tells late
+    rows apart).
     """
     width = parse_interval(interval)
     wait = F.expr(f"INTERVAL {delay}") if delay else F.expr(f"INTERVAL {width // 1000} MICROSECONDS")

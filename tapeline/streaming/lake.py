@@ -45,6 +45,9 @@ def lake_write_stream(
 ) -> StreamingQuery:
     """Append a stream to a channel; ``every=None`` drains what is there and stops.
 
+    A micro-batch is a flush. It comes every so many seconds (``every``) or, with a bound on
+    the source (``maxFilesPerTrigger``, ``maxBytesPerTrigger``, ``maxOffsetsPerTrigger``), as
+    often as the bound is reached.
     A micro-batch that Spark delivers again after a restart is written once: the commit
     that shows its files names it, by the checkpoint and its number. Only rows that no
     folder can hold (``_rejected``) may stand there twice.

@@ -11,7 +11,7 @@ from tapeline.operators import indicators as ind
 from tapeline.operators import resample as rs
 from tapeline.operators import returns as ret
 from tapeline.operators import sequence as sq
-from tapeline.operators.ordered import lag_columns, lay_out, running
+from tapeline.operators.ordered import SEGMENT, STEPS, is_time, lag_columns, lay_out, running
 
 
 def prices(seed=1, n=60, holes=0.0):
@@ -257,6 +257,19 @@ def test_building_a_plan_starts_no_job(spark):
     sc.setJobGroup("", "")
 
 
+def test_integers_that_are_no_times_are_cut(spark):
+    """A key of sequence numbers lies in many segments, and its results stay."""
+    df = spark.range(300_000).select(
+        F.lit("hot").alias("symbol"), F.col("id").alias("seq"), (F.col("id") * 7 % 101).cast("double").alias("price")
+    )
+    cut = lay_out(df, ["symbol"], ["seq"]).df.groupBy(SEGMENT).count()
+    assert cut.count() == 5 and cut.agg(F.max("count")).first()[0] == STEPS
+    whole = ind.sma(df, 20, order=["seq"], segment=None)
+    apart = ind.sma(df, 20, order=["seq"])
+    assert whole.exceptAll(apart).isEmpty() and apart.count() == 300_000
+    assert is_time("local_ts") and is_time("bar") and not is_time("bits") and not is_time("seq")
+
+
 def test_descending_order(spark, segments):
     """Running values and lags from the newest row back."""
     rows = prices(11, holes=0.3)
