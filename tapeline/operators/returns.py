@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,21 +95,26 @@ def realized_vol(
     ret: str = "ret",
     keys: Sequence[str] = ("symbol",),
     annualization: float = 252.0,
-    method: str = "standard",
+    method: str | Mapping[str, str] = "standard",
 ) -> DataFrame:
-    """Annualized volatility per key; non-finite returns are left out."""
+    """Annualized volatility per key; non-finite returns are left out.
+
+    Several methods, by the names of their columns, come from one aggregate.
+    """
     if not math.isfinite(annualization) or annualization < 0:
         raise ValueError("annualization must be finite and >= 0")
     ok = finite(F.col(ret))
     r = F.when(ok, F.col(ret))
     n = F.count(r)
-    method = method.lower()
-    if method == "standard":
-        value = F.when(n >= 2, F.stddev_samp(r) * math.sqrt(annualization))
-    elif method == "sum_of_squares":
-        value = F.when(n >= 1, F.sqrt(F.try_divide(F.sum(r * r) * annualization, n)))
-    else:
-        raise ValueError(f"method must be 'standard' or 'sum_of_squares', got {method!r}")
+    values = {
+        "standard": F.when(n >= 2, F.stddev_samp(r) * math.sqrt(annualization)),
+        "sum_of_squares": F.when(n >= 1, F.sqrt(F.try_divide(F.sum(r * r) * annualization, n))),
+    }
+    wanted = {"realized_vol": method} if isinstance(method, str) else dict(method)
+    for chosen in wanted.values():
+        if chosen.lower() not in values:
+            raise ValueError(f"method must be 'standard' or 'sum_of_squares', got {chosen!r}")
     return returns.groupBy(*keys).agg(
-        n.alias("n"), F.coalesce(value, F.lit(NAN)).alias("realized_vol")
+        n.alias("n"),
+        *[F.coalesce(values[chosen.lower()], F.lit(NAN)).alias(out) for out, chosen in wanted.items()],
     )

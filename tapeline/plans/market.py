@@ -333,11 +333,8 @@ FROM r GROUP BY 1""",
 )
 def realized_vol(spark, d):
     r = ret.simple_returns(trades(spark, d), order=["local_ts", "id"], out="ret")
-    std = ret.realized_vol(r)
-    sq = ret.realized_vol(r, method="sum_of_squares").select(
-        "symbol", F.col("realized_vol").alias("realized_vol_sq")
-    )
-    return r6(std.join(sq, "symbol"), "realized_vol", "realized_vol_sq")
+    both = ret.realized_vol(r, method={"realized_vol": "standard", "realized_vol_sq": "sum_of_squares"})
+    return r6(both, "realized_vol", "realized_vol_sq")
 
 
 # -- indicators -------------------------------------------------------------------

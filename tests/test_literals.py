@@ -155,6 +155,10 @@ def test_risk(spark):
     one = asset.where("t = 0")
     assert math.isnan(ret.realized_vol(one).first().realized_vol)
     assert ret.realized_vol(one, method="sum_of_squares").first().realized_vol == pytest.approx(0.01 * math.sqrt(252))
+    both = ret.realized_vol(one, method={"std": "standard", "sq": "sum_of_squares"}).first()
+    assert both.n == 1 and math.isnan(both.std) and both.sq == pytest.approx(0.01 * math.sqrt(252))
+    with pytest.raises(ValueError):
+        ret.realized_vol(one, method={"x": "other"})
     for kw in ({"annualization": -1.0}, {"method": "other"}):
         with pytest.raises(ValueError):
             ret.realized_vol(asset, **kw)
