@@ -82,28 +82,22 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = f"""
 WITH docs AS (SELECT doc_id, text, coalesce(source, '') AS site, md5(text) AS k FROM documents),
-lines AS (
-  SELECT k, site, unnest(string_split(text, chr(10))) AS line FROM docs
-),
+texts AS (SELECT k, min(site) AS site, any_value(text) AS text FROM docs GROUP BY k),
+lines AS (SELECT k, site, unnest(string_split(text, chr(10))) AS line FROM texts),
 spread AS (
   SELECT line FROM lines WHERE length(line) >= {linededup.MIN_CHARS}
   GROUP BY line HAVING count(DISTINCT site) >= {linededup.MIN_SITES}
 ),
-parts AS (
-  SELECT d.k, any_value(d.text) AS text, list_filter(string_split(any_value(d.text), chr(10)),
-    lambda x: length(x) < {linededup.MIN_CHARS} OR NOT list_contains(any_value(s.gone), x)) AS kept
-  FROM docs d JOIN (
+kept AS (
+  SELECT k, list_filter(string_split(text, chr(10)),
+    lambda x: length(x) < {linededup.MIN_CHARS} OR NOT list_contains(gone, x)) AS kept
+  FROM texts JOIN (
     SELECT k, list(DISTINCT line) AS gone FROM lines JOIN spread USING (line) GROUP BY k
-  ) s USING (k) GROUP BY d.k
-),
-shorter AS (
-  SELECT k, array_to_string(kept, chr(10)) AS fresh,
-    len(string_split(text, chr(10))) - len(kept) AS gone
-  FROM parts WHERE 2 * length(array_to_string(kept, chr(10))) >= length(text)
+  ) USING (k)
 )
-SELECT doc_id, CASE WHEN s.k IS NULL THEN text ELSE fresh END AS text,
-  CAST(coalesce(s.gone, 0) AS BIGINT) AS n_dropped
-FROM docs d LEFT JOIN shorter s ON d.k = s.k
+SELECT doc_id, CASE WHEN s.k IS NULL THEN text ELSE array_to_string(kept, chr(10)) END AS text,
+  CAST(CASE WHEN s.k IS NULL THEN 0 ELSE len(string_split(text, chr(10))) - len(kept) END AS BIGINT) AS n_dropped
+FROM docs d LEFT JOIN kept s ON d.k = s.k
 """
 
 

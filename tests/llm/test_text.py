@@ -134,6 +134,21 @@ def test_sketches_settle_what_is_far_from_the_threshold(spark):
     assert {r.h for r in linededup.spread_lines(lines, 8).collect()} == {1, 2}
 
 
+def test_a_passage_goes_from_every_carrier_and_copies_are_one_text(spark):
+    passage = "a passage of sixty words " + "that many sites carry " * 14
+    rows = [(i, f"{passage}\nend {i}", f"s{i}") for i in range(9)]
+    rows += [(20 + i, f"{passage}\nend 0", f"s{i}") for i in range(3)]
+    # one text on all sites, with a line that two other texts hold as well
+    rows += [(40 + i, "the line of a page that is copied as a whole\nand its end", f"s{i}") for i in range(12)]
+    rows += [(60 + i, f"the line of a page that is copied as a whole\nnumber {i} of its quoters", f"s{i}") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("__line_set", F.lit(1))
+    out = linededup.drop_boilerplate(docs, count_col="gone")
+    assert out.columns == [*docs.columns, "gone"]
+    got = {r.doc_id: (r.text, r.gone) for r in out.collect()}
+    want = {i: (t if passage not in t else t.split("\n")[1], int(passage in t)) for i, t, _ in rows}
+    assert got == want
+
+
 def test_lines_of_edge_cases(spark):
     docs = odd_documents(spark)
     out = linededup.drop_boilerplate(docs)
