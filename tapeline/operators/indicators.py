@@ -19,6 +19,7 @@ from tapeline.operators.ordered import (
     lag_columns,
     lay_out,
     recurrences,
+    rows_since,
     running,
     with_context,
 )
@@ -79,18 +80,12 @@ def bollinger(
     return layout.with_df(layout.df.withColumns(_bands(layout, price, period, k))).done()
 
 
-_GAP, _SEEN = "_gap", "_seen"
+_GAP = "_gap"
 
 
 def _mark_gaps(layout: Layout, price: str) -> Layout:
     """Rows since the last usable price (null before the first one)."""
-    layout = running(layout, {"_pos": ("count", F.lit(1))})
-    layout = running(
-        layout,
-        {_SEEN: ("last", F.when(_usable(price).isNotNull(), F.col("_pos")))},
-        inclusive=False,
-    )
-    return layout.with_df(layout.df.withColumn(_GAP, F.col("_pos") - F.col(_SEEN)).drop(_SEEN))
+    return rows_since(layout, _usable(price).isNotNull(), "_pos", _GAP)
 
 
 def _ema_terms(period: int, price: str, tag: str) -> dict[str, Column]:

@@ -223,6 +223,36 @@ def running(
     return layout.with_df(df)
 
 
+def rows_since(layout: Layout, marked: Column, place: str, gap: str) -> Layout:
+    """Add each row's place in its key (from 1) and the rows since the last earlier one where
+    ``marked`` holds (null before the first).
+
+    Segments are numbered by themselves. A segment is summarised by its length and the
+    place of its last marked row; these give the rows ahead of the next segments.
+    """
+    spec = layout.window()
+    df = layout.df.withColumn("_row", F.row_number().over(spec))
+    df = df.withColumn("_hit", F.when(marked, F.col("_row")))
+    # hits rise along the order, so the greatest is the last
+    earlier = spec.rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_last", F.max("_hit").over(earlier))
+    if not layout.split:
+        out = df.withColumns({place: F.col("_row"), gap: F.col("_row") - F.col("_last")})
+        return layout.with_df(out.drop("_row", "_hit", "_last"))
+
+    before = layout.segments().rowsBetween(Window.unboundedPreceding, -1)
+    ends = df.groupBy(*layout.part).agg(F.max("_row").alias("_rows"), F.max("_hit").alias("_end"))
+    ends = ends.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    ends = ends.withColumn("_past", F.max(F.col("_start") + F.col("_end")).over(before))
+    carried = ends.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(layout.part)], "_start", "_past")
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(layout.part)]
+    out = df.join(carried, same, "left").withColumn(place, F.col("_start") + F.col("_row"))
+    last = F.coalesce(F.col("_start") + F.col("_last"), F.col("_past"))
+    out = out.withColumn(gap, F.col(place) - last)
+    spent = [f"_k{i}" for i in range(len(layout.part))]
+    return layout.with_df(out.drop("_row", "_hit", "_last", "_start", "_past", *spent))
+
+
 @dataclass(frozen=True)
 class Blend:
     """The input of a second-stage recurrence: ``scale * sum(weight * first-stage value)``."""
