@@ -244,13 +244,12 @@ def rows_since(layout: Layout, marked: Column, place: str, gap: str) -> Layout:
     ends = df.groupBy(*layout.part).agg(F.max("_row").alias("_rows"), F.max("_hit").alias("_end"))
     ends = ends.withColumn("_start", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
     ends = ends.withColumn("_past", F.max(F.col("_start") + F.col("_end")).over(before))
-    carried = ends.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(layout.part)], "_start", "_past")
-    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(layout.part)]
-    out = df.join(carried, same, "left").withColumn(place, F.col("_start") + F.col("_row"))
-    last = F.coalesce(F.col("_start") + F.col("_last"), F.col("_past"))
-    out = out.withColumn(gap, F.col(place) - last)
-    spent = [f"_k{i}" for i in range(len(layout.part))]
-    return layout.with_df(out.drop("_row", "_hit", "_last", "_start", "_past", *spent))
+    # rows lie by the join's key already, so only the summaries are shuffled
+    out = df.join(ends.select(*layout.part, "_start", "_past"), layout.part, "left")
+    start = F.coalesce(F.col("_start"), F.lit(0))
+    last = F.coalesce(start + F.col("_last"), F.col("_past"))
+    out = out.withColumns({place: start + F.col("_row"), gap: start + F.col("_row") - last})
+    return layout.with_df(out.drop("_row", "_hit", "_last", "_start", "_past"))
 
 
 @dataclass(frozen=True)
@@ -297,6 +296,7 @@ def recurrences(
                 out = out.with_df(out.df.drop(col))
         return out
 
+    # both readers of the solved rows reuse this one exchange
     numbered = (
         layout.df.repartition(*[F.col(c) for c in layout.part])
         .sortWithinPartitions(*[F.col(c) for c in layout.part], *sort_columns(layout.order))

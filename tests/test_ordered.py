@@ -11,7 +11,7 @@ from tapeline.operators import indicators as ind
 from tapeline.operators import resample as rs
 from tapeline.operators import returns as ret
 from tapeline.operators import sequence as sq
-from tapeline.operators.ordered import SEGMENT, STEPS, is_time, lag_columns, lay_out, running
+from tapeline.operators.ordered import SEGMENT, STEPS, is_time, lag_columns, lay_out, rows_since, running
 
 
 def prices(seed=1, n=60, holes=0.0):
@@ -210,6 +210,19 @@ def test_running(spark, segments):
     check(out, "seen", rows, rule(lambda k: k[-1]))
 
 
+def test_rows_since(spark):
+    rows = prices(9, holes=0.6)
+    for width in (10, 70, 10_000, None):
+        layout = lay_out(frame(spark, rows), ["symbol"], ["local_ts"], width)
+        out = rows_since(layout, F.col("price").isNotNull(), "place", "gap").done()
+        assert out.columns == ["symbol", "local_ts", "price", "place", "gap"]
+        places, gaps = column(out, "place"), column(out, "gap")
+        for symbol, xs in per_symbol(rows).items():
+            assert places[symbol] == list(range(1, len(xs) + 1))
+            want = [next((i - j for j in range(i - 1, -1, -1) if xs[j] is not None), None) for i in range(len(xs))]
+            assert gaps[symbol] == want
+
+
 def test_seq_gap(spark, segments):
     rng = random.Random(9)
     rows, n = [], 0
