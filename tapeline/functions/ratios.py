@@ -6,6 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def ieee_ratio(a: Column, b: Column) -> Column:
+    """The quotient of doubles by IEEE 754: by zero an infinity or NaN; null if a side is null."""
+    return F.when(b == 0.0, a * F.pow(b, F.lit(-1.0))).otherwise(F.try_divide(a, b))
+
+
+def ieee_ln(a: Column) -> Column:
+    """The logarithm by IEEE 754: -inf of zero, NaN below; null if ``a`` is null."""
+    below = F.when(a == 0.0, F.lit(float("-inf"))).when(a < 0.0, F.lit(float("nan")))
+    return F.when(a <= 0.0, below).otherwise(F.ln(a))
+
+
 def ratio(a: Column, b: Column) -> Column:
     ok = a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b) & (b != 0.0)
     return F.when(ok, F.try_divide(a, b)).otherwise(F.lit(float("nan")))

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tapeline.functions.ratios import ieee_ln, ieee_ratio
 from tapeline.operators.ordered import DAY_NS, Segment, lag_columns, lay_out
 
 NAN = float("nan")
@@ -44,9 +45,14 @@ def simple_returns(
     order: Sequence[str] = ("local_ts",),
     out: str = "simple_return",
     segment: Segment = DAY_NS,
+    ieee: bool = False,
 ) -> DataFrame:
-    """(p - prev) / prev per key; NaN on the first row and where either side is unusable."""
-    return _returns(prices, simple_return, out, price, keys, order, segment)
+    """(p - prev) / prev per key; NaN on the first row and where either side is unusable.
+
+    With ``ieee`` null there, and a price of zero before gives an infinity or NaN.
+    """
+    formula = (lambda p, prev: ieee_ratio(p - prev, prev)) if ieee else simple_return
+    return _returns(prices, formula, out, price, keys, order, segment)
 
 
 def log_returns(
@@ -57,9 +63,14 @@ def log_returns(
     order: Sequence[str] = ("local_ts",),
     out: str = "log_return",
     segment: Segment = DAY_NS,
+    ieee: bool = False,
 ) -> DataFrame:
-    """ln(p / prev) per key; NaN on the first row and where either side is not positive."""
-    return _returns(prices, log_return, out, price, keys, order, segment)
+    """ln(p / prev) per key; NaN on the first row and where either side is not positive.
+
+    With ``ieee`` null on the first row, and zeros give infinities or NaN.
+    """
+    formula = (lambda p, prev: ieee_ln(ieee_ratio(p, prev))) if ieee else log_return
+    return _returns(prices, formula, out, price, keys, order, segment)
 
 
 def beta(
@@ -70,22 +81,29 @@ def beta(
     ret: str = "ret",
     market_ret: str = "market_ret",
     keys: Sequence[str] = ("symbol",),
+    ieee: bool = False,
 ) -> DataFrame:
     """Sample covariance over sample variance against a benchmark, per key.
 
     Pairs with a non-finite side are left out; fewer than two pairs or a market
-    variance near zero give NaN. ``market`` has one row per ``on`` value.
+    variance near zero give NaN. ``market`` has one row per ``on`` value. With ``ieee``
+    only pairs with a null are left out, a non-finite side makes the result NaN, and
+    what is undefined is null.
     """
-    pairs = asset.join(market, list(on)).where(finite(F.col(ret)) & finite(F.col(market_ret)))
+    both = finite(F.col(ret)) & finite(F.col(market_ret))
+    used = F.col(ret).isNotNull() & F.col(market_ret).isNotNull() if ieee else both
+    pairs = asset.join(market, list(on)).where(used)
     stats = pairs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.covar_samp(ret, market_ret).alias("_cov"),
         F.var_samp(market_ret).alias("_var"),
+        F.bool_and(both).alias("_finite"),
     )
     floor = max(1e-18, 10 * 2.220446049250313e-16)
-    value = F.when(
-        (F.col("n") >= 2) & (F.col("_var") > floor), F.try_divide(F.col("_cov"), F.col("_var"))
-    ).otherwise(F.lit(NAN))
+    # a sum's order must not decide between an infinity and NaN
+    value = F.when(F.col("_finite"), F.try_divide(F.col("_cov"), F.col("_var"))).otherwise(F.lit(NAN))
+    value = F.when((F.col("n") >= 2) & (F.col("_var") > floor), value)
+    value = value if ieee else F.coalesce(value, F.lit(NAN))
     return stats.select(*keys, "n", value.alias("beta"))
 
 

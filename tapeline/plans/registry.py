@@ -39,16 +39,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def r6(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    """Round doubles so that the order of a sum does not show; NaN becomes null.
+def r6(df: DataFrame, *names: str, digits: int = 6, keep_nan: bool = False) -> DataFrame:
+    """Round doubles so that the order of a sum does not show; NaN becomes null unless kept.
 
     Exact halves are common in prices with few decimals and could fall either way, so
     both sides shift by a small part of the last digit before they round.
     """
     shift = 2.7 * 10.0 ** -(digits + 2)
-    return df.withColumns(
-        {n: F.round(F.when(~F.isnan(F.col(n)), F.col(n)) + shift, digits) for n in names}
-    )
+    value = {n: F.col(n) if keep_nan else F.when(~F.isnan(F.col(n)), F.col(n)) for n in names}
+    return df.withColumns({n: F.round(v + shift, digits) for n, v in value.items()})
 
 
 def rnd(expr: str, digits: int = 6) -> str:
