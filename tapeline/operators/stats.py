@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeline.functions.ratios import ieee_ratio
+
 
 def value_projection(columns: Sequence[str]) -> Column:
     """A record's value: trade price, quote mid or bar close; null for other channels."""
@@ -27,9 +29,12 @@ def ingest_stats(
     order: Sequence[str] = ("local_ts",),
     last_n: int = 30,
     keys: Sequence[str] = ("symbol", "channel"),
+    ieee: bool = False,
 ) -> DataFrame:
     """Count, last value, the last ``last_n`` values and their change, and rows per second.
 
+    The change from a value of zero is null, or with ``ieee`` an infinity or NaN.
+
     The last values are a top-n per key, which Spark limits per map task before the
     shuffle; everything else is a partial aggregate.
     """
@@ -52,12 +57,13 @@ def ingest_stats(
         .select(*keys, F.transform("_v", lambda v: v["value"]).alias("last_values"))
     )
     first, last = F.get("last_values", F.lit(0)), F.col("last_value")
+    divide = ieee_ratio if ieee else F.try_divide
     seconds = (F.col("last_ts") - F.col("first_ts")) / 1e9
     return totals.join(recent, list(keys), "left").select(
         *keys,
         "count",
         "last_value",
         "last_values",
-        (F.try_divide(last - first, first) * 100.0).alias("change_pct"),
+        (divide(last - first, first) * 100.0).alias("change_pct"),
         F.try_divide(F.col("count"), seconds).alias("rows_per_second"),
     )

@@ -505,7 +505,7 @@ SELECT symbol, channel, count, {rnd('last_value')} AS last_value, {rnd('kept_sum
 def ingest_stats(spark, d):
     m = mixed(spark, d)
     m = m.withColumn("v", st.value_projection(m.columns))
-    out = st.ingest_stats(m, order=["local_ts", "id", "v"])
+    out = st.ingest_stats(m, order=["local_ts", "id", "v"], ieee=True)
     total = F.aggregate("last_values", F.lit(0.0), lambda a, v: a + v)
     out = out.select(
         "symbol",
@@ -517,4 +517,4 @@ def ingest_stats(spark, d):
         "change_pct",
         "rows_per_second",
     )
-    return r6(out, "last_value", "kept_sum", "change_pct", "rows_per_second")
+    return r6(out, "last_value", "kept_sum", "change_pct", "rows_per_second", keep_nan=True)

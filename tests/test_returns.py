@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-QUERIES = ["beta"]
+QUERIES = ["beta", "ingest_stats"]
 
 
 @pytest.fixture(scope="module")
