@@ -114,15 +114,16 @@ def realized_vol(
     keys: Sequence[str] = ("symbol",),
     annualization: float = 252.0,
     method: str | Mapping[str, str] = "standard",
+    ieee: bool = False,
 ) -> DataFrame:
     """Annualized volatility per key; non-finite returns are left out.
 
+    With ``ieee`` they count, and what is undefined is null, not NaN.
     Several methods, by the names of their columns, come from one aggregate.
     """
     if not math.isfinite(annualization) or annualization < 0:
         raise ValueError("annualization must be finite and >= 0")
-    ok = finite(F.col(ret))
-    r = F.when(ok, F.col(ret))
+    r = F.col(ret) if ieee else F.when(finite(F.col(ret)), F.col(ret))
     n = F.count(r)
     values = {
         "standard": F.when(n >= 2, F.stddev_samp(r) * math.sqrt(annualization)),
@@ -132,7 +133,8 @@ def realized_vol(
     for chosen in wanted.values():
         if chosen.lower() not in values:
             raise ValueError(f"method must be 'standard' or 'sum_of_squares', got {chosen!r}")
+    missing = F.lit(None if ieee else NAN).cast("double")
     return returns.groupBy(*keys).agg(
         n.alias("n"),
-        *[F.coalesce(values[chosen.lower()], F.lit(NAN)).alias(out) for out, chosen in wanted.items()],
+        *[F.coalesce(values[chosen.lower()], missing).alias(out) for out, chosen in wanted.items()],
     )

@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-QUERIES = ["beta", "ingest_stats"]
+QUERIES = ["beta", "ingest_stats", "realized_vol"]
 
 
 @pytest.fixture(scope="module")
