@@ -6,11 +6,9 @@ boilerplate, one well below settles it as the site's own; lines whose estimate c
 near the threshold get an exact count of their distinct sites. So the outcome equals an
 exact count for all lines, while nearly all lines only pass a small sketch.
 
-Copies of one text are one text, published on the least of its sites. So the lines of a
-page that many sites carry as a whole are not boilerplate by that alone; near-duplicate
-removal keeps one of its copies. A line is boilerplate if different texts on at least
-``MIN_SITES`` sites hold it, and such lines of ``MIN_CHARS`` code points or more go from
-every text, however much of it they are.
+A line is boilerplate if documents of at least ``MIN_SITES`` sites hold it, copies of one
+text among them: every document counts with its own site. Such lines of ``MIN_CHARS`` code
+points or more go from every document, however much of it they are.
 
 Lines are what ``\\n`` parts; they are compared as they are. Null sites count as one site
 named by the empty text; null and empty texts stay as they are. Rows that repeat an id
@@ -79,7 +77,7 @@ def drop_boilerplate(
 ) -> DataFrame:
     """``docs`` without boilerplate lines; ``count_col`` names a column of their number."""
     text, site = docs[text_col], docs[site_col]
-    # tasks put copies together before the shuffle, so a text of many copies is no hot key
+    # tasks put a site's copies together before the shuffle, so many copies are no hot key
     texts = (
         docs.select(
             _text_key(text).alias("text_key"),
@@ -87,8 +85,8 @@ def drop_boilerplate(
             F.array_distinct(_keys(text, min_chars)).alias("lines"),
         )
         .where(F.size("lines") > 0)
-        .groupBy("text_key")
-        .agg(F.min("site").alias("site"), F.first("lines").alias("lines"))
+        .groupBy("text_key", "site")
+        .agg(F.first("lines").alias("lines"))
     )
     texts = materialize(texts, "texts")
     lines = texts.select("text_key", "site", F.explode("lines").alias("line"))

@@ -82,8 +82,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = f"""
 WITH docs AS (SELECT doc_id, text, coalesce(source, '') AS site, md5(text) AS k FROM documents),
-texts AS (SELECT k, min(site) AS site, any_value(text) AS text FROM docs GROUP BY k),
-lines AS (SELECT k, site, unnest(string_split(text, chr(10))) AS line FROM texts),
+texts AS (SELECT k, any_value(text) AS text FROM docs GROUP BY k),
+lines AS (SELECT k, site, unnest(string_split(text, chr(10))) AS line FROM (SELECT DISTINCT k, site, text FROM docs)),
 spread AS (
   SELECT line FROM lines WHERE length(line) >= {linededup.MIN_CHARS}
   GROUP BY line HAVING count(DISTINCT site) >= {linededup.MIN_SITES}

@@ -149,6 +149,16 @@ def test_a_passage_goes_from_every_carrier_and_copies_are_one_text(spark):
     assert got == want
 
 
+def test_copies_count_with_the_sites_of_all_their_documents(spark):
+    line = "the line of a page that is copied as a whole"
+    rows = [(i, f"{line}\nand its end, {i % 2} of two", f"s{i}") for i in range(8)]
+    rows += [(20, f"{line}\nof a quoter", "s0"), (21, "a page on seven sites only", "s9")]
+    rows += [(30 + i, "a page on seven sites only", f"s{i}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.text, r.gone) for r in linededup.drop_boilerplate(docs, count_col="gone").collect()}
+    assert got == {i: (t.removeprefix(line + "\n"), int(line in t)) for i, t, _ in rows}
+
+
 def test_lines_of_edge_cases(spark):
     docs = odd_documents(spark)
     out = linededup.drop_boilerplate(docs)
