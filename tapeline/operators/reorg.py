@@ -30,6 +30,9 @@ from pyspark.sql import functions as F
 
 from tapeline.session import materialize
 
+#: Blocks of a segment, about; a task's Python holds one segment at a time.
+SEGMENT_ROWS = 100_000
+
 _HELD = "array<struct<number:long,hash:string>>"
 _FORKS = "array<struct<block_number:long,fork_point:long,expected:string,got:string>>"
 
@@ -80,15 +83,16 @@ def reorg_detect(
 
     ``blocks`` has the keys, ``arrival`` (equal ones follow by number and hash),
     block_number, block_hash and parent_hash; rows without a number are left out.
-    ``segments`` sets their number, otherwise that of shuffle partitions.
+    ``segments`` sets their number, otherwise one for every ``SEGMENT_ROWS`` rows.
     """
     keys = list(keys)
     rows = blocks.select(
         *keys, F.col(arrival).alias("_at"), "block_number", "block_hash", "parent_hash"
     ).where(F.col("block_number").isNotNull())
     marked = _mark_doubtful(rows, keys)
-    place = [*keys, "_at"]
-    dealt = marked.repartitionByRange(segments, *place) if segments else marked.repartitionByRange(*place)
+    # a number of its own, as partitions without one are merged until they are many MB
+    segments = segments or rows.count() // SEGMENT_ROWS + 1
+    dealt = marked.repartitionByRange(segments, *keys, "_at")
     dealt = materialize(dealt.withColumn("_part", F.spark_partition_id()), "blocks")
     segment = [*keys, "_part"]
     starts = dealt.select(*segment).distinct().withColumn("start", F.array().cast(_HELD))

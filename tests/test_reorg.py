@@ -87,3 +87,19 @@ def test_stream_equals_the_rule(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
     got = drain(live.stream_reorg(stream, depth=30), "reorg")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(plain(rows, 30), key=repr)
+
+
+def test_a_segment_stays_small_however_few_partitions_there_are(spark, monkeypatch):
+    rows = [("c", i, i, f"h{i}", f"h{i - 1}" if i % 7 else "odd") for i in range(1, 2001)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    sizes, ran = [], reorg._run
+
+    def watched(dealt, starts, segment, max_depth):
+        sizes.extend(r["count"] for r in dealt.groupBy(*segment).count().collect())
+        return ran(dealt, starts, segment, max_depth)
+
+    monkeypatch.setattr(reorg, "_run", watched)
+    monkeypatch.setattr(reorg, "SEGMENT_ROWS", 100, raising=False)
+    got = reorg.reorg_detect(df)
+    assert sorted(map(tuple, got.collect())) == plain(rows, 100)
+    assert max(sizes) <= 300
