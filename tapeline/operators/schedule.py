@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tapeline.functions.calendar import is_trading_day, period_key
 
+#: Tasks of a partition, about: each grows to the dates since its last run.
+PARTITION_ROWS = 50_000
 INTERVALS = ("daily", "weekly", "semi_monthly", "monthly", "bi_monthly")
 
 
@@ -24,7 +26,11 @@ def due_periods(tasks: DataFrame, today: str, *, include_today: bool = True) ->
     )
     last = F.lit(today).cast("date")
     last = last if include_today else F.date_sub(last, 1)
-    # a task expands to the dates since its last run, a span of calendar days
+    # a task expands to the dates since its last run, a span of calendar days; dealt out
+    # before that, as a small file's tasks lie in one partition
+    spark = tasks.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tasks.count() // PARTITION_ROWS + 1)
+    tasks = tasks.repartition(parts, "name", "interval")
     days = tasks.withColumns({"_first": first, "_last": last}).where(F.col("_first") <= F.col("_last"))
     days = days.withColumn("date", F.explode(F.sequence("_first", "_last")))
     days = days.where(F.col("run_on_non_trading_days") | is_trading_day(day))
