@@ -20,7 +20,7 @@ JAN_1 = 1_704_067_200 * 10**9
 START, END = JAN_1 + 4 * DAY + 6 * HOUR, JAN_1 + 8 * DAY + 18 * HOUR
 SYMBOLS = ["ev:7", "ev:17", "ev:27"]
 _LISTED = ", ".join(f"'{s}'" for s in SYMBOLS)
-_roots: dict[tuple[str, str], str] = {}
+_roots: dict[tuple[str, str], tuple[str, set[str]]] = {}
 
 
 # a lake of this size wants few folders
@@ -46,15 +46,18 @@ def quotes(spark, d):
     )
 
 
-def shared_lake(spark, d):
-    """Trades and quotes of the events, written once per session."""
+CHANNELS = {"trade": feed, "quote": quotes}
+
+
+def shared_lake(spark, d, *channels):
+    """Trades and quotes of the events, or the channels named, each written once per session."""
     key = (spark.sparkContext.applicationId, d)
-    if key not in _roots:
-        root = scratch_path(spark, "lake")
-        out.lake_write(feed(spark, d), "trade", root, buckets=FEW)
-        out.lake_write(quotes(spark, d), "quote", root, buckets=FEW)
-        _roots[key] = root
-    return _roots[key]
+    root, written = _roots.setdefault(key, (scratch_path(spark, "lake"), set()))
+    for channel in channels or CHANNELS:
+        if channel not in written:
+            out.lake_write(CHANNELS[channel](spark, d), channel, root, buckets=FEW)
+            written.add(channel)
+    return root
 
 
 @query(
@@ -107,7 +110,7 @@ def lake_write(spark, d):
     f"WITH {TRADES} SELECT CAST(id AS VARCHAR) AS id, local_ts, price, size FROM trades WHERE symbol = 'ev:17' AND local_ts BETWEEN {START} AND {END}",
 )
 def lake_scan(spark, d):
-    df = src.lake_scan(spark, shared_lake(spark, d), "trade", "ev:17", START, END)
+    df = src.lake_scan(spark, shared_lake(spark, d, "trade"), "trade", "ev:17", START, END)
     return df.select("id", "local_ts", "price", "size")
 
 
@@ -116,7 +119,7 @@ def lake_scan(spark, d):
     f"WITH {TRADES} SELECT symbol, CAST(id AS VARCHAR) AS id, local_ts, price FROM trades WHERE symbol IN ({_LISTED}) AND local_ts BETWEEN {START} AND {END}",
 )
 def lake_scan_many(spark, d):
-    df = src.lake_scan_many(spark, shared_lake(spark, d), "trade", SYMBOLS, START, END)
+    df = src.lake_scan_many(spark, shared_lake(spark, d, "trade"), "trade", SYMBOLS, START, END)
     return df.select("symbol", "id", "local_ts", "price")
 
 
@@ -127,7 +130,7 @@ FROM trades WHERE local_ts BETWEEN {START} AND {END} GROUP BY 1""",
 )
 def partition_prune(spark, d):
     """Rows per date folder that a time range touches."""
-    df = src.lake_scan_many(spark, shared_lake(spark, d), "trade", None, START, END, ordered=False)
+    df = src.lake_scan_many(spark, shared_lake(spark, d, "trade"), "trade", None, START, END, ordered=False)
     return df.groupBy("date").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -171,7 +174,7 @@ def lake_summary(spark, d):
 
 @query("lake_symbols", f"WITH {TRADES} SELECT DISTINCT symbol FROM trades")
 def lake_symbols(spark, d):
-    return src.lake_symbols(spark, shared_lake(spark, d), "trade")
+    return src.lake_symbols(spark, shared_lake(spark, d, "trade"), "trade")
 
 
 @query(
@@ -179,7 +182,7 @@ def lake_symbols(spark, d):
     f"WITH {TRADES} SELECT min(local_ts) AS first_ts, max(local_ts) AS last_ts FROM trades WHERE symbol IN ({_LISTED})",
 )
 def lake_time_range(spark, d):
-    return src.lake_time_range(spark, shared_lake(spark, d), "trade", SYMBOLS)
+    return src.lake_time_range(spark, shared_lake(spark, d, "trade"), "trade", SYMBOLS)
 
 
 @query(
@@ -223,7 +226,7 @@ def compact(spark, d):
 FROM trades WHERE symbol IN ({_LISTED}) AND local_ts BETWEEN {START} AND {END} GROUP BY 1, 2""",
 )
 def lake_resample(spark, d):
-    bars = jobs.lake_resample(spark, shared_lake(spark, d), SYMBOLS, START, END, "6h", tie=["id"])
+    bars = jobs.lake_resample(spark, shared_lake(spark, d, "trade"), SYMBOLS, START, END, "6h", tie=["id"])
     return r6(bars.select("symbol", "bar", "high", "low", "volume", "trade_count"), "high", "low", "volume")
 
 
@@ -244,7 +247,7 @@ WHERE symbol IN ({_LISTED}) AND local_ts BETWEEN {START} AND {END}""",
 )
 def lake_export(spark, d):
     dest = scratch_path(spark, "lake-export")
-    jobs.lake_export(spark, shared_lake(spark, d), "trade", SYMBOLS, START, END, "parquet", dest)
+    jobs.lake_export(spark, shared_lake(spark, d, "trade"), "trade", SYMBOLS, START, END, "parquet", dest)
     return r6(spark.read.parquet(dest).select("symbol", "id", "local_ts", "price"), "price")
 
 
@@ -275,7 +278,7 @@ SELECT f.fmt, e.* FROM e, (VALUES ('parquet'), ('csv'), ('json'), ('jsonl')) f(f
 )
 def export(spark, d):
     """The quotes in every format that Spark can read back."""
-    q = src.read_channel(spark, shared_lake(spark, d), "quote")
+    q = src.read_channel(spark, shared_lake(spark, d, "quote"), "quote")
     schema = q.schema
     parts = []
     for fmt in ("parquet", "csv", "json", "jsonl"):
@@ -303,7 +306,7 @@ WHERE symbol IN ({_LISTED}) AND local_ts BETWEEN {START} AND {END}""",
 def export_arrow(spark, d):
     """A range of trades as one Arrow file, read back."""
     dest = scratch_path(spark, "export-arrow")
-    jobs.lake_export(spark, shared_lake(spark, d), "trade", SYMBOLS, START, END, "arrow", dest, limit=out.ARROW_ROWS)
+    jobs.lake_export(spark, shared_lake(spark, d, "trade"), "trade", SYMBOLS, START, END, "arrow", dest, limit=out.ARROW_ROWS)
     system, base = fs.FileSystem.from_uri(dest) if "://" in dest else (fs.LocalFileSystem(), dest)
     with system.open_input_file(f"{base}/part-000000.arrow") as source:
         rows = ipc.open_file(source).read_all()

@@ -330,3 +330,20 @@ def test_compact_is_one_step(spark, tmp_path, monkeypatch):
     assert src.read_channel(spark, root, "trade").count() == count
     assert src.lake_scan(spark, root, "trade", "s7", DAY1, DAY2 + 86_400 * S).count() == 50
     assert src.lake_scan(spark, root, "trade", "s0", DAY1, DAY2 + 86_400 * S).count() == 50 + 24
+
+
+def test_queries_write_only_the_channels_they_read(spark, monkeypatch):
+    from tapeline.plans import QUERIES, lakeq
+
+    written, write = [], out.lake_write
+
+    def noted(df, channel, *args, **kwargs):
+        written.append(channel)
+        return write(df, channel, *args, **kwargs)
+
+    monkeypatch.setattr(lakeq, "_roots", {})
+    monkeypatch.setattr(lakeq.out, "lake_write", noted)
+    QUERIES["lake_scan_many"](spark, "/root/testdata/sf0.001").collect()
+    assert written == ["trade"]
+    QUERIES["lake_views"](spark, "/root/testdata/sf0.001").collect()
+    assert written == ["trade", "quote"]
