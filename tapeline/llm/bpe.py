@@ -36,6 +36,8 @@ from tapeline.llm.common import char_starts, chunks, code_points, id_text, text_
 NONE = 1 << 62
 #: Slices that a task remembers; beyond that it starts its memory anew.
 REMEMBERED = 300_000
+#: Bytes of text or ids worked on at a time; the arrays about them are many times larger.
+PIECE_BYTES = 250_000
 
 LETTER, NUMBER, OTHER, SPACE, BLANK = range(5)
 # classes after the look ahead
@@ -306,7 +308,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=PIECE_BYTES):
             whole, ends = valid_text(*text_bytes(batch.column("text")))
             slices, _, cut = pre_tokens(whole, ends)
             packed = own.ids_of(slices)
@@ -335,7 +337,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in chunks(batches, "ids"):
+        for batch in chunks(batches, "ids", PIECE_BYTES):
             pairs = zip(batch.column("ids").to_pylist(), batch.column("offsets").to_pylist())
             texts = [
                 own.decode(np.frombuffer(i, "<u4"), np.frombuffer(o, "<u4").astype(np.int64))
