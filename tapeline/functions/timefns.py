@@ -83,7 +83,8 @@ def rfc3339_to_ns(text: Column) -> Column:
     frac = F.rpad(F.regexp_extract(text, r":\d{2}\.(\d{1,9})", 1), 9, "0")
     zone = F.regexp_extract(text, r"([+-]\d{2}):?(\d{2})$", 1)
     zone_min = F.regexp_extract(text, r"([+-]\d{2}):?(\d{2})$", 2)
-    has_zone = text.rlike(r"[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?[+-]\d{2}:?\d{2}$")
+    # most times end in Z and need no search
+    has_zone = ~text.endswith("Z") & text.rlike(r"[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?[+-]\d{2}:?\d{2}$")
     sign = F.when(zone.startswith("-"), -1).otherwise(1)
     shift = F.when(
         has_zone, sign * (F.abs(zone.try_cast("long")) * 3600 + zone_min.try_cast("long") * 60)

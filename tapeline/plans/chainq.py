@@ -12,10 +12,15 @@ from tapeline.sources import onchain as src
 UNIT = 10**12
 
 
+def padded(digits, width, digit="0"):
+    """At most ``width`` digits, filled up from the left; ``lpad`` copies byte by byte."""
+    return F.right(F.concat(F.lit(digit * width), digits), F.lit(width))
+
+
 def word(value):
     """A BIGINT column as a 256-bit two's complement word."""
     low = F.lower(F.hex(value.cast("long")))
-    return F.when(value < 0, F.lpad(low, 64, "f")).otherwise(F.lpad(low, 64, "0"))
+    return F.when(value < 0, padded(low, 64, "f")).otherwise(padded(low, 64))
 
 
 def wide(high, low):
@@ -27,7 +32,7 @@ def wide(high, low):
 
 def addr(col):
     """An address word for a key."""
-    return F.lpad(F.lower(F.hex(col.cast("long"))), 64, "0")
+    return padded(F.lower(F.hex(col.cast("long"))), 64)
 
 
 def items(spark, d):
@@ -320,7 +325,7 @@ def src_limit_order_logs(spark, d):
         .otherwise(F.concat(zero, n, m))
     )
     logs = i.select("tx_hash", "log_index", "block_ts", topics.alias("topics"), F.concat(F.lit("0x"), data).alias("data"))
-    token = F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(line.cast("long") + 7)), 40, "0"))
+    token = F.concat(F.lit("0x"), padded(F.lower(F.hex(line.cast("long") + 7)), 40))
     transfers = i.select(
         "tx_hash",
         "log_index",

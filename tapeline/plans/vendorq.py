@@ -361,20 +361,18 @@ UNION ALL SELECT 'quote', symbol, source_ts, NULL, {rnd('value')}, {rnd('value +
 UNION ALL SELECT 'bar', symbol, source_ts, NULL, {rnd('value + 1')}, {rnd('value')}, NULL, NULL FROM e""",
 )
 def src_trade_quote_bar_frames(spark, d):
-    parts = vn.src_trade_quote_bar_frames(message_frames(spark, d))
-    none = F.lit(None).cast("string")
-    trade = parts["trade"].select(
-        F.lit("trade").alias("channel"), "symbol", "source_ts", "id", F.col("price").alias("a"), F.col("size").alias("b"), "tape",
-        F.array_join("conditions", ",").alias("cond"),
-    )
-    quote = parts["quote"].select(
-        F.lit("quote").alias("channel"), "symbol", "source_ts", none.alias("id"), F.col("bid_px").alias("a"), F.col("ask_px").alias("b"), "tape",
+    records = vn.trade_quote_bar_records(message_frames(spark, d))
+    out = records.select(
+        "channel",
+        "symbol",
+        "source_ts",
+        "id",
+        F.coalesce("price", "bid_px", "high").alias("a"),
+        F.coalesce("size", "ask_px", "close").alias("b"),
+        "tape",
         F.array_join("conditions", ",").alias("cond"),
     )
-    bar = parts["bar"].select(
-        F.lit("bar").alias("channel"), "symbol", "source_ts", none.alias("id"), F.col("high").alias("a"), F.col("close").alias("b"), none.alias("tape"), none.alias("cond")
-    )
-    return r6(trade.unionByName(quote).unionByName(bar), "a", "b")
+    return r6(out, "a", "b")
 
 
 @query(

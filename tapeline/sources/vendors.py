@@ -453,73 +453,90 @@ def src_identifier_map(jobs: DataFrame, mapping: DataFrame) -> DataFrame:
 
 # -- message frames ---------------------------------------------------------------
 
-def src_trade_quote_bar_frames(
+#: Names of a message item by their JSON names, which differ only in case (``S`` symbol, ``s`` size).
+_ITEM = {
+    "T": "kind", "S": "symbol", "t": "at", "i": "id", "p": "price", "s": "size", "c": "c", "z": "tape", "x": "venue",
+    "bp": "bid_px", "bs": "bid_sz", "ap": "ask_px", "as": "ask_sz",
+    "o": "open", "h": "high", "l": "low", "v": "volume", "vw": "vwap", "n": "count",
+}
+
+
+def trade_quote_bar_records(
     frames: DataFrame, *, provider: str = "alpaca", consolidated: bool = False
-) -> dict[str, DataFrame]:
-    """JSON frame arrays (local_ts, payload) to trade, quote and bar records by their ``T``.
+) -> DataFrame:
+    """JSON frame arrays (local_ts, payload) to one table of trade, quote and bar records:
+    their ``channel`` and the columns of all three, null where a channel has none.
 
     An unknown tape reads ``unknown``; an item without symbol, time or a needed number
-    is skipped and leaves the rest of its frame. Items are read as text maps, since
-    their names differ only in case (``S`` symbol, ``s`` size) and ``c`` is a list in
-    trades and quotes but the close in bars.
+    is skipped and leaves the rest of its frame. Items are read as text, since ``c`` is a
+    list in trades and quotes but the close in bars.
     """
-    items = frames.select(
-        "local_ts", F.explode(F.from_json("payload", "array<map<string,string>>")).alias("_i")
-    )
+    read = ", ".join(f"`{name}`: string" for name in _ITEM)
+    named = ", ".join(f"`{name}`: string" for name in _ITEM.values())
+    parsed = F.from_json("payload", f"array<struct<{read}>>").cast(f"array<struct<{named}>>")
+    items = frames.select("local_ts", F.explode(parsed).alias("_i"))
 
     def text(name: str) -> Column:
-        return F.col("_i")[name]
+        return F.col(f"_i.{name}")
 
     def num(name: str) -> Column:
         return text(name).try_cast("double")
 
-    source = rfc3339_to_ns(text("t"))
-    common = _record(provider, text("S"), text("S"), source, F.col("local_ts"))
-    tape = F.when(text("z").isin(*TAPES), text("z")).otherwise("unknown").alias("tape")
-    conditions = F.from_json(text("c"), "array<string>").alias("conditions")
-    whole = text("S").isNotNull() & source.isNotNull()
-
-    def having(kind: str, *needed: str) -> DataFrame:
-        ok = whole & (text("T") == kind)
+    def having(kind: str, *needed: str) -> Column:
+        ok = text("kind") == kind
         for name in needed:
             ok = ok & num(name).isNotNull()
-        return items.where(ok)
-
-    return {
-        "trade": having("t", "p", "s").select(
-            *common,
-            F.coalesce(text("i"), F.lit("")).alias("id"),
-            num("p").alias("price"),
-            num("s").alias("size"),
-            conditions,
-            tape,
-            text("x").alias("venue"),
-        ),
-        "quote": having("q", "bp", "bs", "ap", "as").select(
-            *common,
-            num("bp").alias("bid_px"),
-            num("bs").alias("bid_sz"),
-            num("ap").alias("ask_px"),
-            num("as").alias("ask_sz"),
-            F.lit(False).alias("is_nbbo"),
-            F.lit(consolidated).alias("is_consolidated"),
-            conditions,
-            tape,
-        ),
-        "bar": having("b", "o", "h", "l", "c", "v").select(
-            *common,
-            *_bar(
-                F.lit("1m"),
-                num("o"),
-                num("h"),
-                num("l"),
-                num("c"),
-                num("v"),
-                num("vw"),
-                text("n").try_cast("long"),
-            ),
-        ),
+        return ok
+
+    source = rfc3339_to_ns(text("at"))
+    kinds = {
+        "trade": having("t", "price", "size"),
+        "quote": having("q", "bid_px", "bid_sz", "ask_px", "ask_sz"),
+        "bar": having("b", "open", "high", "low", "c", "volume"),
+    }
+    items = items.where(text("symbol").isNotNull() & (kinds["trade"] | kinds["quote"] | kinds["bar"]))
+    items = items.where(source.isNotNull())
+    trade, quote, bar = (text("kind") == kind for kind in ("t", "q", "b"))
+    tape = F.when(text("tape").isin(*TAPES), text("tape")).otherwise("unknown")
+    bars = _bar(
+        F.lit("1m"),
+        num("open"),
+        num("high"),
+        num("low"),
+        num("c"),
+        num("volume"),
+        num("vwap"),
+        text("count").try_cast("long"),
+    )
+    return items.select(
+        F.when(trade, "trade").when(quote, "quote").otherwise("bar").alias("channel"),
+        *_record(provider, text("symbol"), text("symbol"), source, F.col("local_ts")),
+        F.when(trade, F.coalesce(text("id"), F.lit(""))).alias("id"),
+        F.when(trade, num("price")).alias("price"),
+        F.when(trade, num("size")).alias("size"),
+        *[F.when(quote, num(name)).alias(name) for name in ("bid_px", "bid_sz", "ask_px", "ask_sz")],
+        F.when(quote, F.lit(False)).alias("is_nbbo"),
+        F.when(quote, F.lit(consolidated)).alias("is_consolidated"),
+        F.when(~bar, F.from_json(text("c"), "array<string>")).alias("conditions"),
+        F.when(~bar, tape).alias("tape"),
+        F.when(trade, text("venue")).alias("venue"),
+        F.when(bar, F.struct(*bars)).alias("_bar"),
+    ).select("*", "_bar.*").drop("_bar")
+
+
+def src_trade_quote_bar_frames(
+    frames: DataFrame, *, provider: str = "alpaca", consolidated: bool = False
+) -> dict[str, DataFrame]:
+    """The trade, quote and bar records of ``trade_quote_bar_records`` as a table each."""
+    records = trade_quote_bar_records(frames, provider=provider, consolidated=consolidated)
+    common = ["provider", "symbol", "symbol_raw", "source_ts", "local_ts"]
+    quote = ["bid_px", "bid_sz", "ask_px", "ask_sz", "is_nbbo", "is_consolidated", "conditions", "tape"]
+    own = {
+        "trade": ["id", "price", "size", "conditions", "tape", "venue"],
+        "quote": quote,
+        "bar": records.columns[records.columns.index("venue") + 1 :],
     }
+    return {c: records.where(F.col("channel") == c).select(*common, *names) for c, names in own.items()}
 
 
 def src_trade_frames(frames: DataFrame, *, provider: str = "finnhub") -> DataFrame:
