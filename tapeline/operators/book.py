@@ -12,10 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeline.operators.ordered import lag_columns, lay_out, running
 from tapeline.operators.resample import time_grid
 
 _PLACE = ("local_ts", "seq")
+#: Groups of prices that a key's levels are dealt to.
+DEALS = 8
+#: Where a record without a time stands.
+_NO_TIME = -(2**62)
 
 
 def book_records(snapshots: DataFrame, deltas: DataFrame, *, keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -39,8 +42,11 @@ def _place() -> Column:
 _NO_LEVELS = "array<struct<price:double,size:double>>"
 
 
-def _levels(records: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """One row per level with its position ``i`` in the record; price rounded to 8 digits."""
+def _levels(records: DataFrame, keep: Sequence[str], marks: Column | None = None) -> DataFrame:
+    """One row per level with its position ``i`` in the record; price rounded to 8 digits.
+
+    ``marks`` are entries of the same fields that a record has besides.
+    """
 
     def entries(name: str, side: str) -> Column:
         return F.transform(
@@ -53,7 +59,7 @@ def _levels(records: DataFrame, keep: Sequence[str]) -> DataFrame:
             ),
         )
 
-    sided = F.concat(entries("bids", "bid"), entries("asks", "ask"))
+    sided = F.concat(entries("bids", "bid"), entries("asks", "ask"), *([] if marks is None else [marks]))
     return records.select(*keep, F.explode(sided).alias("_lv")).select(*keep, "_lv.*")
 
 
@@ -99,55 +105,92 @@ def book_resample(
     """
     if interval_ns <= 0:
         raise ValueError(f"interval_ns must be positive; got {interval_ns!r}")
-    ts = F.col("local_ts")
-    layout = lay_out(records, keys, _PLACE)
-    layout = running(layout, {"_epoch": ("count", F.when(F.col("is_snapshot"), F.lit(1)))})
+    ts, step = F.col("local_ts"), F.lit(interval_ns)
     # first boundary whose book includes the record: on the boundary itself only
     # the first record of that timestamp counts
-    layout = running(layout, {"_prev_ts": ("last", ts)}, inclusive=False)
-    up = ts + F.pmod(-ts, F.lit(interval_ns))
-    late = (up == ts) & F.coalesce(F.col("_prev_ts") == ts, F.lit(False))
-    started = layout.done().where(F.col("_epoch") > 0)
-    started = started.withColumn("_from", F.when(late, up + interval_ns).otherwise(up)).drop("_prev_ts")
-
-    spans = started.groupBy(*keys).agg(
-        F.min("local_ts").alias("_t0"), F.max("local_ts").alias("_hi")
+    up = ts + F.pmod(-ts, step)
+    nth = F.row_number().over(Window.partitionBy(*keys, "local_ts").orderBy(F.col("seq").asc_nulls_first()))
+    placed = records.withColumn("_nth", nth).withColumn("_late", (up == ts) & (F.col("_nth") > 1)).drop("_nth")
+
+    # with a snapshot ahead of all times, a key starts at its least time
+    untimed = F.max(F.when(F.col("is_snapshot"), ts.isNull()))
+    spans = records.groupBy(*keys).agg(
+        F.when(untimed, F.min("local_ts")).otherwise(F.min(F.when(F.col("is_snapshot"), ts))).alias("_t0"),
+        F.max("local_ts").alias("_hi"),
+        F.min(F.when(F.col("is_snapshot"), _place())).alias("_start"),
     )
-    spans = spans.select(
+    spans = spans.where(F.col("_start").isNotNull()).select(
         *keys,
-        (F.col("_t0") - F.pmod(F.col("_t0"), F.lit(interval_ns)) + interval_ns).alias("_first"),
-        (F.col("_hi") - F.pmod(F.col("_hi"), F.lit(interval_ns))).alias("_last"),
+        (F.col("_t0") - F.pmod(F.col("_t0"), step) + step).alias("_first"),
+        (F.col("_hi") - F.pmod(F.col("_hi"), step)).alias("_last"),
+        "_start",
     )
-    epochs = started.where("is_snapshot").select(*keys, "_epoch", F.col("_from").alias("_reset"))
-    ends = epochs.select(
-        *keys, (F.col("_epoch") - 1).alias("_epoch"), F.col("_reset").alias("_stop")
-    )
-    levels = _levels(started, [*keys, "_epoch", "_from", *_PLACE])
-    # the last change of a price that a boundary sees
-    per_boundary = levels.groupBy(*keys, "_epoch", "side", "price", "_from").agg(
-        F.max_by("size", F.struct(*_PLACE, "i")).alias("size")
+    points = time_grid(_lives(placed, spans, interval_ns, keys), interval_ns, "local_ts")
+    if as_levels and top_n is None:
+        return points.select(*keys, "local_ts", "side", "price", "size")
+    return _assemble(points, spans, interval_ns, top_n, keys, as_levels)
+
+
+def _lives(placed: DataFrame, spans: DataFrame, interval_ns: int, keys: Sequence[str]) -> DataFrame:
+    """(keys, side, price, size, _lo, _hi): first and last boundary of each level.
+
+    The prices of a key are dealt to ``DEALS`` groups. Each group gets the key's snapshots
+    and its end as marks among its levels, so that one shuffle serves the next record of a
+    price as well as the next snapshot.
+    """
+    named = F.lit(True)
+    for key in keys:
+        named = named & F.col(key).isNotNull()
+    # a mark has its group's number below zero for a position, so it lies before the levels
+    marks = F.transform(
+        F.when(F.col("is_snapshot"), F.sequence(F.lit(1), F.lit(DEALS))).otherwise(F.array().cast("array<int>")),
+        lambda n: F.struct(
+            F.lit(None).cast("string").alias("side"),
+            F.lit(None).cast("double").alias("price"),
+            F.lit(None).cast("double").alias("size"),
+            (-n).alias("i"),
+        ),
     )
-    # at most one change per price and boundary is left
-    changes = lay_out(
-        per_boundary, [*keys, "_epoch", "side", "price"], ["-_from"], segment=None
+    rows = _levels(placed.where(named), [*keys, *_PLACE, "_late"], marks)
+    deal = F.when(F.col("i") < 0, -F.col("i")).otherwise(F.pmod(F.hash("side", "price"), F.lit(DEALS)) + 1)
+    ends = spans.where(named).select(
+        *keys,
+        F.explode(F.sequence(F.lit(1), F.lit(DEALS))).alias("_deal"),
+        F.col("_last").alias("local_ts"),
+        F.lit(True).alias("_late"),  # counts from the boundary after the last
+        "_first",
+        "_start",
     )
-    until = lag_columns(changes, {"_next": (F.col("_from"), 1)}).done()
-    lived = (
-        until.where(F.col("size") > 0)
-        .join(ends, [*keys, "_epoch"], "left")
-        .join(spans, list(keys))
-        .withColumn("_lo", F.greatest("_from", "_first"))
-        .withColumn(
-            "_hi",
-            F.least(F.col("_last"), F.col("_next") - interval_ns, F.col("_stop") - interval_ns),
-        )
+    rows = rows.withColumn("_deal", deal).unionByName(ends, allowMissingColumns=True)
+    rows = rows.repartition(*keys, "_deal")
+    up, step = F.col("local_ts") + F.pmod(-F.col("local_ts"), F.lit(interval_ns)), F.lit(interval_ns)
+    # a record without a time comes before all others
+    rows = rows.withColumn("_from", F.coalesce(F.when(F.col("_late"), up + step).otherwise(up), F.lit(_NO_TIME)))
+
+    backwards = [F.col(c).desc_nulls_last() for c in (*_PLACE, "i")]
+    # the end of a key is met first
+    ahead = Window.partitionBy(*keys, "_deal").orderBy(F.col("_start").isNull(), *backwards)
+    ahead = ahead.rowsBetween(Window.unboundedPreceding, -1)
+    stop = F.when((F.col("i") < 0) | F.col("_start").isNotNull(), F.col("_from"))
+    rows = rows.withColumns(
+        {
+            "_stop": F.last(stop, ignorenulls=True).over(ahead),
+            "_open": F.last("_first", ignorenulls=True).over(ahead),
+            "_begin": F.last("_start", ignorenulls=True).over(ahead),
+        }
     )
-    points = time_grid(
-        lived.select(*keys, "side", "price", "size", "_lo", "_hi"), interval_ns, "local_ts"
+    # no level before the first snapshot
+    rows = rows.where((F.col("i") >= 0) & (_place() >= F.col("_begin")))
+    price = Window.partitionBy(*keys, "_deal", "side", "price").orderBy(*backwards)
+    rows = rows.withColumn("_next", F.lag("_from").over(price)).where(F.col("size") > 0)
+    return rows.select(
+        *keys,
+        "side",
+        "price",
+        "size",
+        F.greatest("_from", "_open").alias("_lo"),
+        (F.least("_next", "_stop") - F.lit(interval_ns)).alias("_hi"),
     )
-    if as_levels and top_n is None:
-        return points.select(*keys, "local_ts", "side", "price", "size")
-    return _assemble(points, spans, interval_ns, top_n, keys, as_levels)
 
 
 def _assemble(points, spans, interval_ns, top_n, keys, as_levels):

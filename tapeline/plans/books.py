@@ -139,26 +139,42 @@ def book_table(spark, d):
         101.0 + F.round(F.col("l_tax") * 100)
     )
     size = F.when(F.col("l_returnflag") == "R", 0.0).otherwise(F.col("l_quantity"))
-    levels = (
+    # one shuffle, by symbol and time
+    held = (
         li.select(
             F.concat(F.lit("li:"), F.col("l_suppkey").cast("string")).alias("symbol"),
             micros_to_ns(F.col("l_shipdate")).alias("local_ts"),
-            (F.dayofmonth("l_shipdate") == 1).alias("is_snapshot"),
-            F.when(bid, "bid").otherwise("ask").alias("side"),
-            price.alias("price"),
-            (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
-            size.alias("size"),
+            F.struct(
+                F.coalesce(bid, F.lit(False)).alias("bid"),
+                price.alias("price"),
+                (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"),
+                size.alias("size"),
+            ).alias("level"),
         )
-        .groupBy("symbol", "local_ts", "is_snapshot", "side", "price")
-        .agg(F.max_by("size", F.struct("id", "size")).alias("size"))
+        .groupBy("symbol", "local_ts")
+        .agg(F.array_sort(F.collect_list("level")).alias("levels"))
     )
 
-    def side(name):
-        return F.array_sort(F.collect_list(F.when(F.col("side") == name, F.struct("price", "size"))))
+    def replaced(level, i):
+        """The next level sets the same price."""
+        later = F.get("levels", i + 1)
+        same = (later["bid"] == level["bid"]) & later["price"].eqNullSafe(level["price"])
+        return F.coalesce(same, F.lit(False))
 
-    return levels.groupBy("symbol", "local_ts", "is_snapshot").agg(
-        side("bid").alias("bids"), side("ask").alias("asks")
-    ).withColumn("seq", F.lit(0).cast("long"))
+    def side(bids):
+        of_side = F.filter("levels", lambda v: v["bid"] == bids)
+        return F.transform(of_side, lambda v: F.struct(v["price"].alias("price"), v["size"].alias("size")))
+
+    last = held.withColumn("levels", F.filter("levels", lambda v, i: ~replaced(v, i)))
+    days = (F.col("local_ts") - F.pmod("local_ts", F.lit(24 * HOUR))) / F.lit(24 * HOUR)
+    return last.select(
+        "symbol",
+        "local_ts",
+        (F.dayofmonth(F.date_from_unix_date(days.cast("int"))) == 1).alias("is_snapshot"),
+        side(True).alias("bids"),
+        side(False).alias("asks"),
+        F.lit(0).cast("long").alias("seq"),
+    )
 
 
 BOOK = """lv AS (

@@ -98,6 +98,45 @@ def test_resample_literal(spark):
         bk.book_resample(spark.createDataFrame(rows, BOOK), 0)
 
 
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_resample_shuffles_levels_once(spark):
+    rows = [(s, *r) for s in "xy" for r in random_records(ord(s))]
+    df = spark.createDataFrame(rows, BOOK)
+    # ties of a time, spans, levels
+    assert shuffles(bk.book_resample(df, 10, as_levels=True)) <= 3
+
+
+def test_book_table_takes_one_shuffle_and_equals_the_sql(spark, tmp_path):
+    import duckdb
+
+    from tapeline.plans.books import BOOK as SQL
+    from tapeline.plans.books import book_table
+
+    con = duckdb.connect()
+    con.sql(
+        f"""COPY (SELECT (i % 400)::BIGINT AS l_orderkey, CASE WHEN i % 11 > 0 THEN i % 3 END::BIGINT AS l_suppkey,
+        (i % 7 + 1)::INTEGER AS l_linenumber, (i * 7 % 50)::DOUBLE AS l_quantity,
+        CASE WHEN i % 17 > 0 THEN i % 3 / 100.0 END::DOUBLE AS l_discount, (i % 2 / 100.0)::DOUBLE AS l_tax,
+        CASE WHEN i % 5 = 0 THEN 'R' ELSE 'A' END AS l_returnflag,
+        CASE WHEN i % 19 > 0 THEN TIMESTAMP '1969-12-20' + INTERVAL (i * i % 37) DAY + INTERVAL (i % 2) HOUR END AS l_shipdate
+        FROM range(3000) t(i)) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)"""
+    )
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    want = con.sql(f"WITH {SQL} SELECT symbol, local_ts, is_snapshot, side, price, size FROM levels").fetchall()
+    books = book_table(spark, str(tmp_path))
+    assert shuffles(books) == 1
+    got = [
+        (r.symbol, r.local_ts, r.is_snapshot, side, v.price, v["size"])
+        for r in books.collect()
+        for side, levels in (("bid", r.bids), ("ask", r.asks))
+        for v in levels
+    ]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
 def snapshots(spark):
     row = [("X", 1, [(100.0, 5.0), (99.0, 10.0)], [(102.0, 8.0), (101.0, 4.0)])]
     return spark.createDataFrame(row, f"symbol string, local_ts long, bids {LV}, asks {LV}")
