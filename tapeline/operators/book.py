@@ -17,6 +17,8 @@ from tapeline.operators.resample import time_grid
 _PLACE = ("local_ts", "seq")
 #: Groups of prices that a key's levels are dealt to.
 DEALS = 8
+#: Boundaries whose books are put together in one task.
+CELL = 16
 #: Where a record without a time stands.
 _NO_TIME = -(2**62)
 
@@ -125,10 +127,10 @@ def book_resample(
         (F.col("_hi") - F.pmod(F.col("_hi"), step)).alias("_last"),
         "_start",
     )
-    points = time_grid(_lives(placed, spans, interval_ns, keys), interval_ns, "local_ts")
+    lives = _lives(placed, spans, interval_ns, keys)
     if as_levels and top_n is None:
-        return points.select(*keys, "local_ts", "side", "price", "size")
-    return _assemble(points, spans, interval_ns, top_n, keys, as_levels)
+        return time_grid(lives, interval_ns, "local_ts").select(*keys, "local_ts", "side", "price", "size")
+    return _assemble(lives, spans, interval_ns, top_n, keys, as_levels)
 
 
 def _lives(placed: DataFrame, spans: DataFrame, interval_ns: int, keys: Sequence[str]) -> DataFrame:
@@ -193,27 +195,30 @@ def _lives(placed: DataFrame, spans: DataFrame, interval_ns: int, keys: Sequence
     )
 
 
-def _assemble(points, spans, interval_ns, top_n, keys, as_levels):
-    best = F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price"))
+def _assemble(lives, spans, interval_ns, top_n, keys, as_levels):
+    # the boundaries of a key stand as lives without a level, so that empty books show
+    spans = spans.select(*keys, F.col("_first").alias("_lo"), F.col("_last").alias("_hi"))
+    lives = lives.unionByName(spans, allowMissingColumns=True).where(F.col("_lo") <= F.col("_hi"))
+    # lives are shuffled by cells of boundaries, before they grow to points
+    cell = interval_ns * max(1, min(CELL, 2**60 // interval_ns))
+    lives = lives.withColumns({"_a": F.col("_lo"), "_z": F.col("_hi")})
+    lives = lives.withColumns({c: F.col(c) - F.pmod(c, F.lit(cell)) for c in ("_lo", "_hi")})
+    dealt = time_grid(lives, cell, "_cell").repartition(*keys, "_cell")
+    bounds = {"_lo": F.greatest("_a", "_cell"), "_hi": F.least("_z", F.col("_cell") + (cell - interval_ns))}
+    points = time_grid(dealt.withColumns(bounds).drop("_a", "_z"), interval_ns, "local_ts")
+    moment = [*keys, "_cell", "local_ts"]
     if top_n is not None:
-        spec = Window.partitionBy(*keys, "local_ts", "side").orderBy(best)
-        points = points.withColumn("_r", F.row_number().over(spec)).where(F.col("_r") <= top_n).drop("_r")
+        best = F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price"))
+        spec = Window.partitionBy(*moment, "side").orderBy(best)
+        points = points.withColumn("_r", F.row_number().over(spec))
+        points = points.where((F.col("_r") <= top_n) | F.col("side").isNull()).drop("_r")
     if as_levels:
-        return points.select(*keys, "local_ts", "side", "price", "size")
+        return points.where(F.col("side").isNotNull()).select(*keys, "local_ts", "side", "price", "size")
 
     def side(name: str) -> Column:
         # the levels of one book at one moment
         held = F.array_sort(F.collect_list(F.when(F.col("side") == name, F.struct("price", "size"))))
         return F.reverse(held) if name == "bid" else held
 
-    books = points.groupBy(*keys, "local_ts").agg(side("bid").alias("bids"), side("ask").alias("asks"))
-    grid = time_grid(
-        spans.select(*keys, F.col("_first").alias("_lo"), F.col("_last").alias("_hi")),
-        interval_ns,
-        "local_ts",
-    )
-    none = F.array().cast(_NO_LEVELS)
-    out = grid.join(books, [*keys, "local_ts"], "left").withColumns(
-        {"bids": F.coalesce("bids", none), "asks": F.coalesce("asks", none)}
-    )
-    return out.withColumn("depth", (F.size("bids") + F.size("asks")).cast("long"))
+    books = points.groupBy(*moment).agg(side("bid").alias("bids"), side("ask").alias("asks"))
+    return books.drop("_cell").withColumn("depth", (F.size("bids") + F.size("asks")).cast("long"))

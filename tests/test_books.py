@@ -107,6 +107,36 @@ def test_resample_shuffles_levels_once(spark):
     df = spark.createDataFrame(rows, BOOK)
     # ties of a time, spans, levels
     assert shuffles(bk.book_resample(df, 10, as_levels=True)) <= 3
+    # spans once more, lives by cells of boundaries
+    assert shuffles(bk.book_resample(df, 10, top_n=2)) <= 5
+
+
+def test_resample_top_without_keys_and_times(spark, monkeypatch):
+    records = random_records(5, n=200)
+    snap = [(100.0, 1.0)]
+    rows = [("x", *r) for r in records] + [("x", None, 900 + i, False, [(90.0 + i, 9.0)], []) for i in range(3)]
+    # levels of no key show in no book
+    rows += [(None, 3, 0, True, snap, snap), (None, 24, 1, True, snap, [])]
+    # a snapshot ahead of all times: the later of two prices holds
+    rows += [("t", None, 0, True, snap, []), ("t", None, 1, False, [(100.0, 2.0)], []), ("t", 12, 2, False, [], snap)]
+    rows += [("t", 31, 3, False, [(100.0, 0.0)], [])]
+    df = spark.createDataFrame(rows, BOOK).repartition(3)
+    want, _ = replay(records, 10)
+
+    def top(book, side, sign):
+        return sorted((p for s, p in book if s == side), key=lambda p: sign * p)[:2]
+
+    for cell in (16, 1):
+        monkeypatch.setattr(bk, "CELL", cell)
+        books = bk.book_resample(df, 10, top_n=2).collect()
+        got = {r.local_ts: ([v.price for v in r.bids], [v.price for v in r.asks]) for r in books if r.symbol == "x"}
+        assert got == {at: (top(b, "bid", -1), top(b, "ask", 1)) for at, b in want.items()}
+        assert sorted((r.local_ts, r.depth) for r in books if r.symbol is None) == [(10, 0), (20, 0)]
+        held = sorted((r.local_ts, r.bids, r.asks) for r in books if r.symbol == "t")
+        assert held == [(20, [(100.0, 2.0)], snap), (30, [(100.0, 2.0)], snap)]
+        levels = bk.book_resample(df, 10, top_n=2, as_levels=True).collect()
+        assert len(levels) == sum(len(r.bids) + len(r.asks) for r in books)
+        assert {r.depth for r in bk.book_resample(df, 10, top_n=0).collect()} == {0}
 
 
 def test_book_table_takes_one_shuffle_and_equals_the_sql(spark, tmp_path):
