@@ -256,6 +256,23 @@ def test_near_copies_of_the_pipeline_equal_all_pairs(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == want
 
 
+def test_one_row_of_each_class_stays_where_ids_repeat_or_are_null(spark):
+    import corpus_pipeline
+
+    def text(seed, changed=False):
+        words = [f"w{seed}x{i}" for i in range(80)]
+        return " ".join(words[:-1] + ["other"] if changed else words)
+
+    rows = [(1, text(1)), (2, text(1, True)), (2, text(2)), (3, text(2, True)), (3, text(3)), (3, text(3))]
+    rows += [(5, text(4)), (5, text(4, True)), (None, text(1).upper()), (None, text(5)), (None, text(5, True))]
+    rows += [(None, text(6)), (7, None), (7, ""), (8, "")]
+    docs = table(spark, rows).repartition(3)
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    got = sorted(((r.doc_id, (r.text or "").split(" ")[0].lower()) for r in stage(spark, docs, "").collect()), key=repr)
+    want = [(1, "w1x0"), (2, "w2x0"), (3, "w3x0"), (5, "w4x0"), (None, "w5x0"), (None, "w6x0"), (7, "")]
+    assert got == sorted(want, key=repr)
+
+
 def test_near_copies_of_edge_cases(spark):
     ids = [r.doc_id for r in jaccard.keep_one(odd_documents(spark)).collect()]
     assert sorted(i for i in ids if i is not None) == [1, 2, 4, 6, 8, 9] and ids.count(None) == 1
