@@ -8,6 +8,8 @@ absolute size at its price, size 0 removes it, and a snapshot starts a new epoch
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -41,6 +43,10 @@ def _place() -> Column:
     return F.struct(*_PLACE)
 
 
+def _named(keys: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(key).isNotNull() for key in keys], F.lit(True))
+
+
 _NO_LEVELS = "array<struct<price:double,size:double>>"
 
 
@@ -118,7 +124,8 @@ def book_resample(
     untimed = F.max(F.when(F.col("is_snapshot"), ts.isNull()))
     spans = records.groupBy(*keys).agg(
         F.when(untimed, F.min("local_ts")).otherwise(F.min(F.when(F.col("is_snapshot"), ts))).alias("_t0"),
-        F.max("local_ts").alias("_hi"),
+        # the empty books of records without a key end with their last snapshot
+        F.max(F.when(_named(keys) | F.col("is_snapshot"), ts)).alias("_hi"),
         F.min(F.when(F.col("is_snapshot"), _place())).alias("_start"),
     )
     spans = spans.where(F.col("_start").isNotNull()).select(
@@ -140,9 +147,7 @@ def _lives(placed: DataFrame, spans: DataFrame, interval_ns: int, keys: Sequence
     and its end as marks among its levels, so that one shuffle serves the next record of a
     price as well as the next snapshot.
     """
-    named = F.lit(True)
-    for key in keys:
-        named = named & F.col(key).isNotNull()
+    named = _named(keys)
     # a mark has its group's number below zero for a position, so it lies before the levels
     marks = F.transform(
         F.when(F.col("is_snapshot"), F.sequence(F.lit(1), F.lit(DEALS))).otherwise(F.array().cast("array<int>")),
